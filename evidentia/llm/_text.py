@@ -111,8 +111,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hash(prefix_hash(BYTE_VALUES[data]), starts, ends)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """Hashes of the words, a piece of the data at a time."""
+    if len(data) <= piece or not len(starts):
+        return range_hash(prefix_hash(BYTE_VALUES[data]), starts, ends)
+    out, i = [], 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + piece, "right")))
+        low = starts[i]
+        out.append(range_hash(prefix_hash(BYTE_VALUES[data[low : ends[j - 1]]]), starts[i:j] - low, ends[i:j] - low))
+        i = j
+    return np.concatenate(out)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
