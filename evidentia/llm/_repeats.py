@@ -171,7 +171,7 @@ def _contexts(w: Windows):
                             pa.array(gram[mine[cut]]), pa.array(owner[cut]), pa.array(at[mine[cut]]), pa.array(times[mine[cut]]), pa.array(variants[mine[cut]]),
                             pa.array([bytes(raw[a * unit : b * unit]) for a, b in zip(begin[cut], end[cut], strict=True)], pa.binary()),
                         ],
-                        names=["gram", "rid", "at", "times", "context"],
+                        names=["gram", "rid", "at", "times", "variants", "context"],
                     )
 
     return run
