@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import url_filter
 from ._tables import table
+from .exact_dedup import exact_duplicates
+from .language_id import fit, held_out, identify
 from .near_dedup import near_duplicates
 from .substring_dedup import remove_repeated_bytes, remove_repeated_passages
 
+#: The rules that op6 applies before its vocabulary.
+RULES = (
+    url_filter.Rule("net/", allow=False),
+    url_filter.Rule("example.net/en/", allow=True),
+    url_filter.Rule("example.com/de/", allow=False),
+    url_filter.Rule("org/fr/", allow=True),
+)
+
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, threshold=0.8)
@@ -21,15 +32,68 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_passages(table(spark, sf_dir, "documents"), words=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return exact_duplicates(table(spark, sf_dir, "documents"), text_sha256=digest)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = held_out(F.col("doc_id"))
+    return identify(docs, fit(docs.where(~apart)), held_out=apart)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_language_id": op9_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+
+def _url_sql() -> str:
+    def distinct(terms) -> str:
+        edge = "[^\\p{L}\\p{N}]"
+        listed = ", ".join(f"'{t}'" for t in terms)
+        return f"len(list_filter([{listed}], lambda t: regexp_matches(lower(url), '(^|{edge})' || t || '($|{edge})')))"
+
+    fits = " UNION ALL ".join(
+        f"SELECT '{r.place}' AS place, '{r.host}' AS rule_host, '{r.path}' AS rule_path, {str(r.allow).lower()} AS allow_it" for r in RULES
+    )
+    return f"""
+    WITH parts AS (
+      SELECT page_id, coalesce(url, '') AS url,
+        translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+      FROM pages),
+    rules AS ({fits}),
+    ruled AS (
+      SELECT parts.*, (
+        SELECT struct_pack(place := place, allow_it := allow_it) FROM rules
+        WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        ORDER BY length(place) DESC, place DESC LIMIT 1) AS found
+      FROM parts)
+    SELECT page_id, host, path, found.place AS rule,
+      CASE WHEN coalesce(found.allow_it, NOT ({distinct(url_filter.STRICT)} >= 1 OR {distinct(url_filter.SOFT)} >= {url_filter.SOFT_HITS}))
+        THEN 'allow' ELSE 'block' END AS verdict
+    FROM ruled"""
+
+
+ORACLES: dict[str, str] = {
+    "op6_url_filter": _url_sql(),
+    "op8_exact_dedup": """
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+      doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+}
