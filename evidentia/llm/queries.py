@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import url_filter
 from ._tables import table
+from .chat_format import format_conversations, under_mask
 from .exact_dedup import exact_duplicates
 from .language_id import fit, held_out, identify
 from .near_dedup import near_duplicates
@@ -22,6 +23,9 @@ RULES = (
     url_filter.Rule("org/fr/", allow=True),
 )
 
+#: What both turns of conversation -7 say.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, threshold=0.8)
@@ -32,6 +36,17 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    found = format_conversations(rows).withColumn("learned", under_mask(F.col("formatted"), F.col("loss_spans")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -55,6 +70,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_chat_format": op3_chat_format,
     "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
@@ -91,6 +107,21 @@ def _url_sql() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op3_chat_format": f"""
+    WITH turns AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '{HARD_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{HARD_TEXT}'),
+    sized AS (
+      SELECT *, (length(text) - length(replace(text, '### ', ''))) // 4 + (length(text) - length(replace(text, '</turn>', ''))) // 7 AS added,
+        CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role)
+          ELSE 1 + length(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), ':', '%3A')) END AS head
+      FROM turns)
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sum(length(text) + added + head + 15)::BIGINT AS formatted_chars
+    FROM sized GROUP BY conv_id""",
     "op6_url_filter": _url_sql(),
     "op8_exact_dedup": """
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
