@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,10 @@ from ._tables import table
 from .chat_format import format_conversations, under_mask
 from .exact_dedup import exact_duplicates
 from .language_id import fit, held_out, identify
+from .mixing import mix
 from .near_dedup import near_duplicates
+from .order_minhash import compare_with_next
+from .packing import pack_documents
 from .substring_dedup import remove_repeated_bytes, remove_repeated_passages
 
 #: The rules that op6 applies before its vocabulary.
@@ -47,6 +51,14 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -67,14 +79,22 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs.where(~apart)), held_out=apart)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(table(spark, sf_dir, "documents"), fraction=0.5, power=0.5)
+    return found.withColumn("probability", F.round("probability", 4))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_chat_format": op3_chat_format,
+    "op4_order_minhash": op4_order_minhash,
+    "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
+    "op10_mixing": op10_mixing,
 }
 
 
@@ -127,4 +147,25 @@ ORACLES: dict[str, str] = {
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
     FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op10_mixing": f"""
+    WITH RECURSIVE docs AS (
+      SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+        CASE WHEN contains(text, ' | ') THEN 'table' WHEN regexp_matches(text, '[0-9]') THEN 'record'
+          WHEN strlen(coalesce(text, '')) < 500 THEN 'note' ELSE 'prose' END AS topic,
+        greatest(ceil(strlen(coalesce(text, '')) / 4), 1)::BIGINT AS tokens
+      FROM documents),
+    cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL),
+    {", ".join(f"to_{c} AS (SELECT {c}, sqrt(sum(tokens)) / sum(sqrt(sum(tokens))) OVER () AS to_{c} FROM cells GROUP BY {c})" for c in ("source", "lang", "topic"))},
+    fit AS (
+      SELECT 0 AS it, source, lang, topic, tokens, tokens AS weight, to_source, to_lang, to_topic
+      FROM cells JOIN to_source USING (source) JOIN to_lang USING (lang) JOIN to_topic USING (topic)
+      UNION ALL
+      SELECT it + 1, source, lang, topic, tokens, w2 * to_topic / sum(w2) OVER (PARTITION BY topic), to_source, to_lang, to_topic
+      FROM (SELECT *, w1 * to_lang / sum(w1) OVER (PARTITION BY lang) AS w2
+        FROM (SELECT *, weight * to_source / sum(weight) OVER (PARTITION BY source) AS w1 FROM fit WHERE it < 60))),
+    chance AS (
+      SELECT source, lang, topic, least(weight * 0.5 * (SELECT sum(tokens) FROM cells) / tokens, 1.0) AS p FROM fit WHERE it = 60)
+    SELECT doc_id, source, lang, topic, tokens, round(p, 4) AS probability,
+      ('0x' || substr(sha256(doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 < p AS kept
+    FROM docs JOIN chance USING (source, lang, topic)""",
 }
