@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,57 +20,119 @@ TIERS = (2048, 1024, 512, 256)
 #: Tokens of one step group.
 STEP_TOKENS = 32_768
 #: Bytes of text that are packed together in a task.
-UNIT = 1 << 24
+UNIT = 1 << 22
 #: Distinct words whose tokens a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 #: Id after each document.
 END = 1
 
 
+#: Words that are one run of letters and one of marks to tokenizers that lower the case and spell bytes
+#: as signs. Other words, and CHECKED of these in each call, go through the whole tokenizer.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
+CHECKED = 50
+#: Signs of the bytes: printable bytes are their own, the others follow from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class WordTokens:
     """Token ids of words, each distinct word tokenised once. Words end at white space, and so do the
-    tokens of this kind of vocabulary, so a text's ids are the ids of its words."""
+    tokens of this kind of vocabulary, so a text's ids are the ids of its words.
+
+    Words are remembered by a 64-bit hash, in sorted arrays; among REMEMBERED words two have the same
+    hash with a probability of 1e-7.
+    """
+
+    #: A character that is a token of its own between spaces; words that hold it are tokenised alone.
+    SEPARATOR = "\0"
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        (self.separator,) = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
+        self.model, self.marks, self.plain = self.tokenizer.model, {}, True
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.count = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
-        self.bounds = np.zeros(1, dtype=np.int64)
 
-    def codes_of(self, distinct: list[bytes]) -> np.ndarray:
-        if len(self.codes) + len(distinct) > REMEMBERED:
+    def _tokenise(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and how many each has."""
+        found = [None if (m := _PLAIN.match(w)) is None else self._plain(*m.groups()) for w in words] if self.plain else [None] * len(words)
+        rest = [k for k, x in enumerate(found) if x is None]
+        sample = [k for k, x in enumerate(found) if x is not None][:CHECKED]
+        for k, x in zip((*rest, *sample), self._whole([words[k] for k in (*rest, *sample)]), strict=True):
+            if found[k] is not None and found[k] != x:
+                self.plain = False  # not such a tokenizer
+                return self._tokenise(words)
+            found[k] = x
+        return np.array([x for y in found for x in y], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
+
+    def _plain(self, letters: str, marks: str) -> list[int]:
+        """Ids of letters that need no other treatment than lower case, and of marks after them."""
+        low = letters.lower()
+        out = [t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_SIGNS))]
+        if marks:
+            if marks not in self.marks:
+                self.marks[marks] = [t.id for t in self.model.tokenize(marks)]
+            out += self.marks[marks]
+        return out
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word by the whole tokenizer, many words in one text."""
+        out: list[list[int]] = []
+        for k in range(0, len(words), 200):
+            part = words[k : k + 200]
+            joined = f" {self.SEPARATOR} ".join("" if self.SEPARATOR in w else w for w in part)
+            ids = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+            pieces: list[list[int]] = [[]]
+            for x in ids:
+                if x == self.separator:
+                    pieces.append([])
+                else:
+                    pieces[-1].append(x)
+            out += [self.tokenizer.encode(w, add_special_tokens=False).ids if self.SEPARATOR in w else x for w, x in zip(part, pieces, strict=True)]
+        return out
+
+    def places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word where its ids begin in self.ids, and how many it has."""
+        keys, first, which = np.unique(T.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > REMEMBERED:
             self.clear()
-        fresh = [w for w in distinct if w not in self.codes]
-        if fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)]
-            base = len(self.codes)
-            self.codes.update(zip(fresh, range(base, base + len(fresh)), strict=True))
-            self.ids = np.concatenate([self.ids, np.array([x for y in found for x in y], dtype=np.uint32)])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(y) for y in found])])
-        return np.array([self.codes[w] for w in distinct], dtype=np.int64)
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            raw = data.tobytes()
+            ids, count = [], []
+            for k in range(0, len(fresh), 20_000):
+                part = first[fresh[k : k + 20_000]]
+                x, y = self._tokenise([raw[i:j].decode() for i, j in zip(starts[part].tolist(), ends[part].tolist(), strict=True)])
+                ids.append(x)
+                count.append(y)
+            new = np.concatenate(count)
+            begin = len(self.ids) + np.cumsum(new) - new
+            self.ids = np.concatenate([self.ids, *ids])
+            self.keys, self.begin, self.count = (np.insert(old, at[fresh], x) for old, x in ((self.keys, keys[fresh]), (self.begin, begin), (self.count, new)))
+            at = np.searchsorted(self.keys, keys)
+        return self.begin[at][which], self.count[at][which]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, END after each, and the bounds of each text's ids."""
         starts, ends, first = T.words(data, offsets)
-        texts = len(offsets) - 1
-        if len(starts):
-            solid = data[~T.SPACE[data]]
-            bounds = np.concatenate([[0], np.cumsum(ends - starts)])
-            words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(solid)]).dictionary_encode()
-            code = self.codes_of(words.dictionary.to_pylist())[words.indices.to_numpy()]
-            count = np.diff(self.bounds)[code]
-        else:
-            code = count = np.zeros(0, dtype=np.int64)
+        begin, count = self.places(data, starts, ends) if len(starts) else (np.zeros(0, dtype=np.int64),) * 2
         total = np.concatenate([[0], np.cumsum(count)])
         size = total[first[1:]] - total[first[:-1]] + 1
         at = np.concatenate([[0], np.cumsum(size)])
-        out = np.full(at[-1], END, dtype=np.uint32)
-        text_of = np.repeat(np.arange(texts), np.diff(first))
-        place = np.arange(total[-1]) + np.repeat(text_of, count)
-        out[place] = self.ids[np.arange(total[-1]) + np.repeat(self.bounds[code] - total[:-1], count)]
+        out = np.empty(at[-1], dtype=np.uint32)
+        tokens = np.ones(at[-1], dtype=bool)
+        tokens[at[1:] - 1] = False
+        out[~tokens] = END
+        out[tokens] = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], count)]
         return out, at
 
 

@@ -16,10 +16,10 @@ from . import helpers as H
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-@pytest.mark.parametrize("unit", [1 << 24, 1 << 12])
+@pytest.mark.parametrize("unit", [1 << 22, 1 << 12])
 def test_every_token_once(spark, unit, monkeypatch):
     monkeypatch.setattr(packing, "UNIT", unit)
-    rows = H.corpus(6, 120) + [(9_000, "It's <|endoftext|>x 12km　ideo nbsp é İ ΣσΣ. ́alone\x85next\x1cfs", "en", "s", 0)]
+    rows = H.corpus(6, 120) + [(9_000, "It's <|endoftext|>x 12km　ideo nbsp é İ ΣσΣ. ́alone\x85next\x1cfs a\0b \0 Ā \0\0c", "en", "s", 0)]
     tokenizer = Tokenizer.from_file(PATH)
     ids = {r[0]: [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in rows}
     pieces, sequences = defaultdict(list), defaultdict(list)
@@ -59,3 +59,17 @@ def test_odd_tables(spark):
     rows = [(None, None, None, None, None), (4, "", None, None, None), (4, "", None, None, None)]
     got = packing.pack_documents(H.docs(spark, rows), PATH).collect()
     assert sorted((r.doc_id or 0, r.length) for r in got) == [(0, 1), (4, 1), (4, 1)]
+
+
+def test_word_tokens_are_the_tokenizers():
+    rng = random.Random(3)
+    letters = "abcXYZéÉüÜßçÀÿñ'’.,!?-_1²٣ſKÅıİσΣ́\0"
+    texts = ["".join(rng.choice(letters + "  ") for _ in range(60)) for _ in range(400)]
+    tokenizer, words = Tokenizer.from_file(PATH), packing.WordTokens(PATH)
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    for _ in range(2):  # the second time from memory
+        ids, bounds = words.encode(data, offsets)
+        for k, text in enumerate(texts):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    assert words.plain
