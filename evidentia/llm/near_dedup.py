@@ -1,10 +1,12 @@
 """Near-duplicate documents: MinHash bands for candidates, odd sketches to thin them, exact sets to decide.
 
 A document's set holds its distinct word shingles. K MinHash samples of the set are cut into bands;
-documents that agree on a band share a bucket. The same samples are folded into an odd sketch: each
-sample flips one bit, so the XOR of two sketches has few bits where the sets are alike, and its
-population count estimates the similarity. Only pairs whose sketches leave the threshold possible are
-compared on their full sets.
+documents that agree on a band share a bucket. For the candidates a second set of MinHash samples, the
+least shingle of each of 2^BIN_BITS bins of the hash space, is folded into an odd sketch: each sample
+flips one bit, so the XOR of two sketches has few bits where the sets are alike, and its population
+count estimates how many samples differ. A set smaller than the bins is its own sample, so the
+estimate is close where sets are small, and within about 0.012 of the similarity where they are large.
+Only pairs whose sizes and sketches leave the threshold possible are compared on their full sets.
 
 Pairs within a bucket are not all formed. First each member meets the smallest id of its bucket; the
 links found so far make components. Only buckets that still hold several components are looked at
@@ -18,7 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -29,7 +31,10 @@ from ._tables import materialise, small
 #: 32 bands of 5 samples: a pair of similarity 0.8 shares no band with probability 3e-6.
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
+BIN_BITS = 11
+SKETCH_BITS = 1024
+#: Standard deviations of sampling and of folding that a sketch may be off.
+DEVIATIONS = 5
 #: Documents in one block when a bucket is compared again.
 BLOCK = 512
 #: Bytes of text hashed at once in a task.
@@ -39,17 +44,17 @@ _rng = np.random.default_rng(7)
 _LOW = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint64).astype(np.uint32)[:, None] | np.uint32(1)
 _HIGH = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint64).astype(np.uint32)[:, None] | np.uint32(1)
 _BAND_WEIGHTS = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SAMPLE_SALT = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 
 
-def far_bits(threshold: float) -> int:
-    """The most bits in which sketches of a pair at the threshold differ, five standard deviations out."""
-    n, k = SKETCH_BITS, SAMPLES
-    differ = k * (1 - threshold)
-    expected = n / 2 * (1 - np.exp(-4 * differ / n))
-    spread = 2 * np.exp(-4 * differ / n) * np.sqrt(k * threshold * (1 - threshold))
-    noise = np.sqrt(n / 4 * (1 - np.exp(-8 * differ / n)) / 2)
-    return int(np.ceil(expected + 5 * np.hypot(spread, noise)))
+def far_bits(threshold: float, n_a, n_b, s_a, s_b, sqrt, exp, low, high):
+    """The most bits in which the sketches of a pair at the threshold differ, given set sizes n and sample
+    sizes s. Works on numpy arrays and on columns alike, with the functions that are passed."""
+    t = threshold
+    samples, union = high(s_a, s_b), low(n_a, n_b) / t
+    left = high(1 - samples / union, 0 * union)  # what sampling leaves out; 0 if the sample is the set
+    differ = s_a + s_b - 2 * t * samples + 2 * DEVIATIONS * sqrt((s_a + s_b) / 2 * (t * (1 - t)) * left)
+    n = SKETCH_BITS
+    return n / 2 * (1 - exp(-2 / n * differ)) + DEVIATIONS * sqrt(n / 4 * (1 - exp(-4 / n * differ))) + 1
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -80,12 +85,14 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """The parity bitmap of the samples (rows of the argument), as SKETCH_BITS / 64 words each."""
-    bits = (T.mix(samples.astype(np.uint64) ^ _SAMPLE_SALT) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    rows = len(samples)
-    flips = np.bincount((bits + np.arange(rows)[:, None] * SKETCH_BITS).ravel(), minlength=rows * SKETCH_BITS) & 1
-    return np.packbits(flips.astype(np.uint8).reshape(rows, SKETCH_BITS), axis=1, bitorder="little").view(np.uint64)
+def odd_sketch(shingles: np.ndarray) -> tuple[np.ndarray, int]:
+    """The parity bitmap of a sorted set's least shingle in each bin, as SKETCH_BITS / 64 words, and the number of samples."""
+    bins = shingles >> np.uint64(64 - BIN_BITS)
+    first = np.ones(len(bins), dtype=bool)
+    first[1:] = bins[1:] != bins[:-1]
+    samples = T.mix(shingles[first] * T.MULTIPLIER)
+    flips = np.bincount((samples % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64), len(samples)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -104,23 +111,27 @@ def _signatures(width: int):
                 part = batch.slice(at, 2000)
                 n = part.num_rows
                 size, one, two = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
-                samples = np.zeros((n, SAMPLES), dtype=np.uint32)
+                samples, sketch, filled = np.zeros((n, SAMPLES), dtype=np.uint32), np.zeros((n, SKETCH_BITS // 64), dtype=np.uint64), np.zeros(n, dtype=np.int64)
                 for i, s in enumerate(shingle_sets(part.column("text"), width)):
                     size[i] = len(s)
                     if len(s):
                         samples[i] = minhash(s)
+                        sketch[i], filled[i] = odd_sketch(s)
                         one[i], two[i] = s.sum(dtype=np.uint64), T.mix(s).sum(dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _lists(odd_sketch(samples)), _lists(band_keys(samples))],
-                    names=["doc_id", "n_shingles", "s1", "s2", "sketch", "bands"],
+                    [part.column("doc_id"), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(filled), _lists(sketch), _lists(band_keys(samples))],
+                    names=["doc_id", "n_shingles", "s1", "s2", "filled", "sketch", "bands"],
                 )
 
     return run
 
 
-def _far(a: str, b: str):
-    """Bits in which two sketches differ."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+def _possible(threshold: float) -> Column:
+    """Whether sizes and sketches of the columns x and y (structs size, filled, sketch) leave the threshold possible."""
+    x, y = F.col("x"), F.col("y")
+    far = sum((F.bit_count(x["sketch"][i].bitwiseXOR(y["sketch"][i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(x["sketch"][0].bitwiseXOR(y["sketch"][0])))
+    most = far_bits(threshold, x["size"], y["size"], x["filled"], y["filled"], F.sqrt, F.exp, F.least, F.greatest)
+    return (F.least(x["size"], y["size"]) >= F.greatest(x["size"], y["size"]) * (threshold - 1e-9)) & (far <= most)
 
 
 def _verify(width: int, threshold: Fraction):
@@ -154,23 +165,25 @@ def _verified(docs: DataFrame, pairs: DataFrame, n_pairs: int, width: int, thres
     return joined.mapInArrow(_verify(width, threshold), "a long, b long")
 
 
-def _across(most: int):
+def _across(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, starts in whole_groups(batches, ["key", "i", "j"]):
-            doc, root = group.column("doc_id").to_numpy(), group.column("root").to_numpy()
-            home = group.column("home").to_numpy()
-            i_, j_ = group.column("i").to_numpy(), group.column("j").to_numpy()
+            doc, root, home, i_, j_, size, filled = (group.column(c).to_numpy() for c in ("doc_id", "root", "home", "i", "j", "size", "filled"))
             sketch = group.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(doc), -1)
             for a, b in zip(starts, [*starts[1:], len(doc)], strict=True):
                 mine = np.flatnonzero(home[a:b] == i_[a]) + a
                 theirs = np.flatnonzero(home[a:b] == j_[a]) + a
-                close = np.zeros((len(mine), len(theirs)), dtype=np.int64)
+                small_, large = np.minimum.outer(size[mine], size[theirs]), np.maximum.outer(size[mine], size[theirs])
+                x, y = np.nonzero((small_ >= large * (threshold - 1e-9)) & (root[mine][:, None] != root[theirs][None, :]))
+                x, y = mine[x], theirs[y]
+                if i_[a] == j_[a]:
+                    once = doc[x] < doc[y]
+                    x, y = x[once], y[once]
+                far = np.zeros(len(x), dtype=np.int64)
                 for w in range(sketch.shape[1]):
-                    close += np.bitwise_count(sketch[mine, w][:, None] ^ sketch[theirs, w][None, :])
-                x, y = np.nonzero((close <= most) & (root[mine][:, None] != root[theirs][None, :]))
-                x, y = doc[mine[x]], doc[theirs[y]]
-                once = x < y if i_[a] == j_[a] else slice(None)
-                x, y = x[once], y[once]
+                    far += np.bitwise_count(sketch[x, w] ^ sketch[y, w])
+                good = far <= far_bits(threshold, size[x], size[y], filled[x], filled[y], np.sqrt, np.exp, np.minimum, np.maximum)
+                x, y = doc[x[good]], doc[y[good]]
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
@@ -192,23 +205,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     """
     limit = Fraction(threshold).limit_denominator(10_000)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed, _ = materialise(source.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>, bands array<long>"))
+    signed, _ = materialise(source.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, s1 long, s2 long, filled long, sketch array<long>, bands array<long>"))
 
     # documents with equal sets are one class, represented by its smallest id
     full = signed.where("n_shingles > 0")
-    classes = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sketch", "bands"), "doc_id").alias("sig"))
-    reps, _ = materialise(classes.where("rep is not null").select("rep", "sig.sketch", "sig.bands"))
+    classes = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("filled", "sketch", "bands"), "doc_id").alias("sig"))
+    reps, _ = materialise(classes.where("rep is not null").select("rep", F.struct(F.col("n_shingles").alias("size"), "sig.filled", "sig.sketch").alias("sig"), "sig.bands"))
 
     members = reps.select("rep", F.explode("bands").alias("key"))
     hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets, _ = materialise(members.join(hubs, "key").select("key", "rep", "hub"))
-    most = far_bits(float(threshold))
-    sketches = reps.groupBy("rep").agg(F.first("sketch").alias("sketch"))
+    sketches = reps.groupBy("rep").agg(F.first("sig").alias("sig"))
     pairs = buckets.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = (
-        pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a")
-        .join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
-        .where(_far("x", "y") <= most)
+        pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a")
+        .join(sketches.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b")
+        .where(_possible(float(threshold)))
         .select("a", "b")
     )
     pairs, seen = materialise(pairs)
@@ -222,9 +234,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     rest = placed.join(blocks, "key").withColumn("home", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     spread = rest.select("key", "rep", "root", "home", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     spread = spread.select("key", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "home", F.col("rep").alias("doc_id"), "root")
-    spread = spread.join(sketches.select(F.col("rep").alias("doc_id"), "sketch"), "doc_id").select("key", "i", "j", "home", "doc_id", "root", "sketch")
+    spread = spread.join(sketches.select(F.col("rep").alias("doc_id"), "sig.*"), "doc_id").select("key", "i", "j", "home", "doc_id", "root", "size", "filled", "sketch")
     spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more, seen = materialise(spread.mapInArrow(_across(most), "a long, b long").distinct())
+    more, seen = materialise(spread.mapInArrow(_across(float(threshold)), "a long, b long").distinct())
     if seen["rows"]:
         late, found = materialise(_verified(source, more, seen["rows"], shingle, limit))
         if found["rows"]:
