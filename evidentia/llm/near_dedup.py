@@ -5,7 +5,7 @@ documents that agree on a band share a bucket. For the candidates a second set o
 least shingle of each of 2^BIN_BITS bins of the hash space, is folded into an odd sketch: each sample
 flips one bit, so the XOR of two sketches has few bits where the sets are alike, and its population
 count estimates how many samples differ. A set smaller than the bins is its own sample, so the
-estimate is close where sets are small, and within about 0.012 of the similarity where they are large.
+estimate is close where sets are small, and within about 0.01 of the similarity where they are large.
 Only pairs whose sizes and sketches leave the threshold possible are compared on their full sets.
 
 Pairs within a bucket are not all formed. First each member meets the smallest id of its bucket; the
@@ -31,8 +31,8 @@ from ._tables import materialise, small
 #: 32 bands of 5 samples: a pair of similarity 0.8 shares no band with probability 3e-6.
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
-BIN_BITS = 11
-SKETCH_BITS = 1024
+BIN_BITS = 12
+SKETCH_BITS = 2048
 #: Standard deviations of sampling and of folding that a sketch may be off.
 DEVIATIONS = 5
 #: Documents in one block when a bucket is compared again.
@@ -49,12 +49,18 @@ _BAND_WEIGHTS = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uin
 def far_bits(threshold: float, n_a, n_b, s_a, s_b, sqrt, exp, low, high):
     """The most bits in which the sketches of a pair at the threshold differ, given set sizes n and sample
     sizes s. Works on numpy arrays and on columns alike, with the functions that are passed."""
-    t = threshold
-    samples, union = high(s_a, s_b), low(n_a, n_b) / t
-    left = high(1 - samples / union, 0 * union)  # what sampling leaves out; 0 if the sample is the set
-    differ = s_a + s_b - 2 * t * samples + 2 * DEVIATIONS * sqrt((s_a + s_b) / 2 * (t * (1 - t)) * left)
+    t, bins = threshold, 1 << BIN_BITS
+    union = (n_a + n_b) / (1 + t)
+    more = high(union - high(n_a, n_b), 0 * union)  # shingles of the union that the larger set lacks
+    fresh = exp(-union / bins)  # share of them that fall into empty bins
+    samples = high(s_a, s_b) + more * fresh  # bins that the union fills
+    left = high(1 - samples / union, 0 * union)  # what sampling leaves out; 0 if the samples are the set
+    spread = sqrt(samples * (t * (1 - t)) * left + t * t * more * (1 - fresh))
+    differ = s_a + s_b - 2 * t * samples + 2 * DEVIATIONS * spread
     n = SKETCH_BITS
-    return n / 2 * (1 - exp(-2 / n * differ)) + DEVIATIONS * sqrt(n / 4 * (1 - exp(-4 / n * differ))) + 1
+    # each differing sample flips one bit, so there are never more bits than samples that differ
+    folded = low(sqrt(n / 4 * (1 - exp(-4 / n * differ))), differ * (2 / n) ** 0.5)
+    return low(differ, n / 2 * (1 - exp(-2 / n * differ)) + DEVIATIONS * folded) + 1e-6
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
