@@ -18,6 +18,8 @@ BUCKETS = 1 << 14
 #: More labels than this aren't languages; the matrix that is broadcast has LANGUAGES x BUCKETS entries at most.
 LANGUAGES = 512
 PIECE = 1 << 18
+#: Rows of a batch that are handled at once.
+PART = 500
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -54,9 +56,16 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
                 yield i, j, part, np.array([0, len(part)])
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most PART rows, so that copies of texts in a task stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART):
+            yield batch.slice(at, PART)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in _parts(batches):
         langs = batch.column("lang").to_pylist()
         for i, j, data, offsets in _pieces(batch.column("text")):
             codes = {x: k for k, x in enumerate(dict.fromkeys(langs[i:j]))}
@@ -95,7 +104,7 @@ def _score(langs: list[str], matrix):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = matrix.value
         names = np.array([*langs, "und"], dtype=object)
-        for batch in batches:
+        for batch in _parts(batches):
             n = batch.num_rows
             total = np.zeros((n, max(1, len(langs))))
             if langs:
