@@ -34,6 +34,15 @@ def test_near_in_small_blocks(spark, monkeypatch):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == H.brute_near(rows, 2)
 
 
+def test_near_around_the_limit_of_fine_sketches(spark):
+    """Pairs of small, of large and of small and large sets meet by sketches of the same kind."""
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(k, " ".join(words[(at := 97 * k % 211) : at + 1000 + 40 * (k % 14)]), "en", "s", 0) for k in range(30)]
+    rows += [(100 + k, " ".join(f"v{k % 5}-{i}" for i in range(1050 + 37 * k)), "en", "s", 0) for k in range(15)]
+    got = H.by_id(near_duplicates(H.docs(spark, rows), shingle=2))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == H.brute_near(rows, 2)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_bytes(spark, seed):
     rows = H.corpus(seed)
