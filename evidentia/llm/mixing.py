@@ -16,6 +16,8 @@ TOLERANCE = 1e-9
 MOST_JOBS = 25
 #: Cells up to this number are fitted in one task, more of them in a shuffle for each marginal.
 LOCAL_CELLS = 100_000
+#: A weight grows to this multiple of its bound at most where bounded marginals contradict each other.
+STEEPEST = 1e12
 
 
 def text_form(text: Column) -> Column:
@@ -42,32 +44,73 @@ def _targets(cells: DataFrame, column: str, power: float, given: Mapping[str, fl
     return sums.crossJoin(F.broadcast(total)).select(F.col(column).alias(name + "_of"), (F.col("raw") / F.col("total")).alias(name))
 
 
-def rake(cells: DataFrame, columns: list[str], power: float, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+def _scaled(state: DataFrame, by: list[str], amount: str, cap: str, to: Column, ties: list[str]) -> DataFrame:
+    """amount times one factor for each group of by, so that the sum of least(amount, cap) is to.
+
+    That sum is the least of the lines "the first k amounts times the factor, and the caps of the others"
+    over amounts in order of amount / cap, so the factor is the largest at which such a line meets to.
+    """
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy(F.col(amount) / F.col(cap), *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    free = F.sum(amount).over(upto)
+    line = F.when(free > 0, (to - (F.sum(cap).over(whole) - F.sum(cap).over(upto))) / free)
+    state = state.withColumn("__line", line)
+    factor = F.coalesce(F.max("__line").over(whole), F.lit(0.0))
+    return state.withColumn(amount, F.least(F.col(amount) * factor, F.col(cap) * F.lit(STEEPEST))).drop("__line")
+
+
+def _reachable(cells: DataFrame, column: str, to: DataFrame, wanted: float) -> DataFrame:
+    """Targets of which none asks for more than all tokens of its value; what such values can't give is
+    spread over the other values in proportion to their targets."""
+    name = f"__to_{column}"
+    held = cells.groupBy(F.col(column).alias(name + "_of")).agg((F.sum("tokens") / F.lit(wanted)).alias("held"))
+    rows = to.join(held, name + "_of").coalesce(1).withColumn("all", F.lit(1))
+    total = F.least(F.lit(1.0), F.sum(F.when(F.col(name) > 0, F.col("held"))).over(Window.partitionBy("all")))
+    rows = _scaled(rows.withColumn("total", total), ["all"], name, "held", F.col("total"), [name + "_of"])
+    return rows.select(name + "_of", F.least(name, "held").alias(name))
+
+
+def rake(
+    cells: DataFrame, columns: list[str], power: float, targets: Mapping[str, Mapping[str, float]] | None = None, wanted: float | None = None,
+) -> DataFrame:
     """Weights (sum 1) of the cells that meet the target share of every value of every column.
 
     cells: the columns (strings) and tokens (positive). Each sweep scales the weights to one marginal
     after another. Values of target 0 get weight 0. The ratios between cells that a marginal doesn't
     force stay as they are in the corpus.
+
+    wanted is the number of tokens that weight 1 stands for. A cell then never gets more than its tokens:
+    a sweep fixes the cells that would at all their tokens and scales the others to what is left of the
+    marginal. First, targets beyond all tokens of a value are lowered to these, and the other values of
+    the column take the rest (_reachable). Marginals that still contradict each other under these bounds
+    end with the last column met, the others missed, and the sum at 1.
     """
     current, seen = materialise(cells.select(*columns, F.col("tokens").cast("double").alias("tokens")))
     count = seen["rows"]
     weighted = current.withColumn("weight", F.col("tokens"))
+    if wanted is not None:
+        weighted = weighted.withColumn("__cap", F.col("tokens") / F.lit(wanted))
     for column in columns:
-        to = small(_targets(current, column, power, (targets or {}).get(column)), count)
+        to = _targets(current, column, power, (targets or {}).get(column))
+        to = small(to if wanted is None else _reachable(current, column, to, wanted), count)
         weighted = weighted.join(to, weighted[column] == to[f"__to_{column}_of"], "left").drop(f"__to_{column}_of")
+    held = F.col("weight") if wanted is None else F.least("weight", "__cap")
     for _ in range(MOST_JOBS):
         state = weighted.coalesce(1) if count <= LOCAL_CELLS else weighted
         for sweep in range(SWEEPS):
             for k, column in enumerate(columns):
-                now = F.sum("weight").over(Window.partitionBy(column))
+                to, now = F.col(f"__to_{column}"), F.sum(held).over(Window.partitionBy(column))
                 if sweep == SWEEPS - 1 and k == 0:  # by how much the marginals were missed before the last sweep
-                    state = state.withColumn("__off", F.when(F.col(f"__to_{column}") > 0, F.abs(now / F.col(f"__to_{column}") - 1)).otherwise(F.lit(0.0)))
-                state = state.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"__to_{column}") / now).otherwise(F.lit(0.0)))
+                    state = state.withColumn("__off", F.when(to > 0, F.abs(now / to - 1)).otherwise(F.lit(0.0)))
+                if wanted is None:
+                    state = state.withColumn("weight", F.when(now > 0, F.col("weight") * to / now).otherwise(F.lit(0.0)))
+                else:
+                    state = _scaled(state, [column], "weight", "__cap", to, columns)
         weighted, seen = materialise(state, off=F.max("__off"))
         weighted = weighted.drop("__off")
         if not seen["off"] or seen["off"] <= TOLERANCE:
             break
-    return weighted.select(*columns, "tokens", "weight")
+    return weighted.select(*columns, "tokens", held.alias("weight"))
 
 
 def uniform(key: Column) -> Column:
@@ -83,8 +126,9 @@ def mix(
     """Documents with calibrated sampling probabilities, and which of them are drawn.
 
     Token counts by (source, lang, topic) are raked to the target shares of sources, languages and
-    topics. A document's probability is its cell's weight over the cell's natural share, times the
-    wanted fraction of all tokens, at most 1. It is drawn if a number that only depends on its doc_id
+    topics, where no cell gets more than all its tokens: what a full cell can't give, others give. A
+    document's probability is its cell's weight over the cell's natural share, times the wanted fraction
+    of all tokens. So the wanted tokens are reached, and every target that the corpus can meet. It is drawn if a number that only depends on its doc_id
     is below that, so repeated rows are drawn or left together, and a rerun draws the same.
 
     docs: doc_id, text, source, lang; other columns are ignored. Null source, lang or topic are a value of their own (""). topic
@@ -106,8 +150,8 @@ def mix(
     )
     columns = ["source", "lang", "topic"]
     cells, seen = materialise(rows.groupBy(*columns).agg(F.sum("tokens").alias("tokens")), total=F.sum("tokens"))
-    raked = rake(cells, columns, power, targets)
-    wanted = fraction * float(seen["total"] or 1)
+    wanted = max(fraction * float(seen["total"] or 1), 1e-9)
+    raked = rake(cells, columns, power, targets, wanted)
     chance = raked.select(*columns, F.least(F.col("weight") * F.lit(wanted) / F.col("tokens"), F.lit(1.0)).alias("probability"))
     found = rows.join(small(chance, seen["rows"]), columns)
     return found.select("doc_id", *columns, "tokens", "probability", (uniform(F.col("doc_id")) < F.col("probability")).alias("kept"), *carry)

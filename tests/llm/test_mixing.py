@@ -66,3 +66,16 @@ def test_odd_tables(spark):
     assert mixing.mix(H.docs(spark, [])).count() == 0
     rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "", None, "s", 0)]
     assert mixing.mix(H.docs(spark, rows)).count() == 3
+
+
+def test_full_cells_are_made_up_for(spark):
+    sizes = {("s0", "en", "a"): 4000, ("s0", "en", "b"): 100, ("s0", "de", "a"): 900, ("s1", "en", "a"): 60, ("s1", "de", "b"): 500, ("s1", "de", "a"): 440}
+    rows = [(1000 * k + i, "x", *cell[:2], cell[2], size // 20) for k, (cell, size) in enumerate(sizes.items()) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, kind string, size long")
+    targets = {"source": {"s0": 0.7, "s1": 0.3}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"a": 0.5, "b": 0.5}}
+    found = mixing.mix(df, fraction=0.5, topic=df.kind, tokens=df["size"], targets=targets).collect()
+    want = {"source": targets["source"], "lang": targets["lang"], "topic": {"a": 0.8, "b": 0.2}}  # all 600 tokens of b are a fifth of the 3,000 wanted
+    for column, shares in want.items():
+        for value, share in shares.items():
+            assert abs(sum(r.probability * r.tokens for r in found if r[column] == value) / 3000 - share) < 1e-6, (column, value)
+    assert all(r.probability <= 1 for r in found)
