@@ -111,7 +111,7 @@ def _score(langs: list[str], matrix):
                 for i, j, data, offsets in _pieces(batch.column("text")):
                     for grams, at in _buckets(data, offsets):
                         for k in range(len(langs)):
-                            run_of = np.concatenate([[0.0], np.cumsum(table[k][grams])])
+                            run_of = np.concatenate([[0.0], np.cumsum(table[k][grams], dtype=np.float64)])
                             total[i:j, k] += run_of[at[1:]] - run_of[at[:-1]]
             best = total.argmax(axis=1) if langs else np.zeros(n, dtype=np.int64)
             score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)

@@ -56,6 +56,20 @@ def test_scores_are_naive_bayes(spark):
         assert math.isclose(got[i].score, 1 / np.exp(total - total.max()).sum(), rel_tol=1e-3, abs_tol=1e-6)
 
 
+def test_scores_do_not_depend_on_the_batch():
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    one = rng.normal(-8, 2, L.BUCKETS)
+    table = np.array([one, one + rng.normal(0, 0.01, L.BUCKETS)], dtype=np.float32)
+    score = L._score(["x", "y"], types.SimpleNamespace(value=table))
+    last = lambda texts: list(score(iter([pa.RecordBatch.from_pydict({"text": texts})])))[0].column("score")[-1].as_py()
+    assert abs(last(["the house of words " * 12_000, "a short text"]) - last(["a short text"])) < 1e-6
+
+
 def test_nothing_learned(spark):
     docs = H.docs(spark, [(1, "words", None, None, 0)])
     assert [(r.lang_pred, r.score) for r in L.identify(docs, L.fit(docs)).collect()] == [("und", 0.0)]
