@@ -11,6 +11,8 @@ from evidentia.llm._tables import materialise, small, table
 
 #: Below this posterior probability no language is accepted.
 SURE = 0.5
+#: So many standard deviations below the likelihood that is usual in its language, a text isn't in that language.
+DEVIATIONS = 6
 #: Share of the tokens that the mixture draws, and the power that tempers natural shares to targets.
 FRACTION, POWER = 0.5, 0.5
 
@@ -24,10 +26,14 @@ def _as_documents(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model learned from the labels; no text, no letters or no clear language: out."""
-    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    """Documents in a language that the model learned from the labels; no text, no letters, no clear language,
+    or less likely n-grams than labelled texts of that language have: out."""
+    apart = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs.where(~apart))
+    expected = language_id.expectations(docs.where(apart), model)
     found = language_id.identify(docs, model, **_carried(docs))
-    return _as_documents(found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)), docs)
+    clear = (F.col("lang_pred") != "und") & (F.col("score") >= SURE)
+    return _as_documents(found.where(clear & language_id.plausible(expected, DEVIATIONS)), docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ LANGUAGES = 512
 PIECE = 1 << 18
 #: Rows of a batch that are handled at once.
 PART = 500
+#: So many rows of a typical language are added to what a language's own rows say of its likelihoods.
+PRIOR = 10
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -106,10 +108,11 @@ def _score(langs: list[str], matrix):
         names = np.array([*langs, "und"], dtype=object)
         for batch in _parts(batches):
             n = batch.num_rows
-            total = np.zeros((n, max(1, len(langs))))
+            total, grams_of = np.zeros((n, max(1, len(langs)))), np.zeros(n, dtype=np.int64)
             if langs:
                 for i, j, data, offsets in _pieces(batch.column("text")):
                     for grams, at in _buckets(data, offsets):
+                        grams_of[i:j] += np.diff(at)
                         for k in range(len(langs)):
                             run_of = np.concatenate([[0.0], np.cumsum(table[k][grams], dtype=np.float64)])
                             total[i:j, k] += run_of[at[1:]] - run_of[at[:-1]]
@@ -118,15 +121,19 @@ def _score(langs: list[str], matrix):
             known = np.array([bool(langs) and x is not None and _LETTER.search(x) is not None for x in batch.column("text").to_pylist()], dtype=bool)
             best[~known] = len(langs)
             score[~known] = 0.0
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "text"], pa.array(names[best], pa.string()), pa.array(score)], names=[*[c for c in batch.schema.names if c != "text"], "lang_pred", "score"])
+            mean = total.max(axis=1) / np.maximum(grams_of, 1)
+            kept = [c for c in batch.schema.names if c != "text"]
+            found = [pa.array(names[best], pa.string()), pa.array(score), pa.array(mean), pa.array(grams_of)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *found], names=[*kept, "lang_pred", "score", "likelihood", "grams"])
 
     return run
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], **carry: Column) -> DataFrame:
-    """The most probable language of each text: doc_id, what carry names, lang_pred, score.
+    """The most probable language of each text: doc_id, what carry names, lang_pred, score, likelihood, grams.
 
-    score is the posterior probability (0 to 1) with equal priors. A text that is null or has no
+    likelihood is the mean log P(n-gram | lang_pred) over the text's n-grams, grams their number: unlike
+    score it says whether the text is in that language at all (see plausible). score is the posterior probability (0 to 1) with equal priors. A text that is null or has no
     letter (Unicode category L) gets `und` and score 0, as does every text if nothing was learned.
     Only text is read for the prediction. Rows come back one for one: null or repeated ids stay.
     The matrix is broadcast; fit() bounds its size. Texts of any length are scored whole, in pieces.
@@ -135,10 +142,44 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], **carry: Colu
     shared = docs.sparkSession.sparkContext.broadcast(matrix.astype(np.float32))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(k) for k, c in carry.items()])
     kept = rows.drop("text").schema
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double, likelihood double, grams long"])
     return rows.mapInArrow(_score(langs, shared), schema)
 
 
+def expectations(labelled: DataFrame, model: tuple[list[str], np.ndarray]) -> dict[str, tuple[float, float, float]]:
+    """For each language: mean and variance of the likelihood of texts in it, and the variance of one n-gram's.
+
+    labelled: doc_id, text and lang, of rows that took no part in the fit. Every one of them that is found in
+    its own language counts; three sums for each language come to the driver. Languages of few rows lean on the others.
+    """
+    langs, matrix = model
+    found = identify(labelled, model, label=F.col("lang").cast("string")).where("lang_pred = label")
+    x = F.col("likelihood")
+    sums = {r["lang_pred"]: (r["n"], r["s"], r["ss"]) for r in found.groupBy("lang_pred").agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss")).collect()}
+    if not sums:
+        return {}
+    n, s, ss = np.array(list(sums.values())).sum(axis=0)
+    mean, var = s / n, max(0.0, ss / n - (s / n) ** 2)
+    out = {}
+    for k, lang in enumerate(langs):
+        n, s, ss = sums.get(lang, (0, 0.0, 0.0))
+        own = (s + PRIOR * mean) / (n + PRIOR)
+        spread = (ss - 2 * own * s + n * own**2 + PRIOR * (var + (mean - own) ** 2)) / (n + PRIOR)
+        p = np.exp(matrix[k])
+        out[lang] = (float(own), float(max(0.0, spread)), float((p * matrix[k] ** 2).sum() - (p * matrix[k]).sum() ** 2))
+    return out
+
+
+def plausible(expected: dict[str, tuple[float, float, float]], deviations: float) -> Column:
+    """Whether a row of identify() is no further below its language's mean likelihood than so many standard
+    deviations. Short texts vary more: an n-gram's variance over their number is added. True if nothing was learned."""
+    if not expected:
+        return F.lit(True)
+    of = lambda k: F.create_map(*[F.lit(v) for lang, e in expected.items() for v in (lang, e[k])])[F.col("lang_pred")]
+    floor = of(0) - F.lit(float(deviations)) * F.sqrt(of(1) + of(2) / F.greatest("grams", F.lit(1)))
+    return F.coalesce(F.col("likelihood") >= floor, F.lit(False))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that take no part in the fit: crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

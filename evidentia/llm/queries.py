@@ -76,7 +76,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     apart = held_out(F.col("doc_id"))
-    return identify(docs, fit(docs.where(~apart)), held_out=apart)
+    return identify(docs, fit(docs.where(~apart)), held_out=apart).drop("likelihood", "grams")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The whole pipeline against brute force on a small corpus."""
 
+import random
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -43,3 +45,23 @@ def test_stages_return_documents(spark):
             docs = stage(spark, docs, "")
             assert docs.dtypes == H.docs(spark, []).dtypes
         P.STAGES[-1][1](spark, docs, "").collect()
+
+
+def test_foreign_and_random_texts_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(1)
+    foreign = [
+        "Wczoraj poszliśmy na długi spacer po lesie i zobaczyliśmy wiele zwierząt.",
+        "昨天我们去森林里散步，看到了很多动物。",
+        "Вчера мы долго гуляли по лесу и видели много животных.",
+        "Tegnap hosszú sétát tettünk az erdőben és sok állatot láttunk.",
+    ]
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k)) for k in (50, 100, 300, 1000) for _ in range(50)]
+    clean = ["Hello world", "the house", "Yesterday we went for a long walk in the forest.", "Hier nous avons fait une longue promenade dans la forêt."]
+    added = [(10_000_000 + i, t, None, "x", len(t)) for i, t in enumerate([*foreign, *noise, *clean])]
+    both = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(H.docs(spark, added))
+    left = P.identify_language(spark, both, "")
+    kept = {r.doc_id for r in left.select("doc_id").collect()}
+    texts = {i: t for i, t, *_ in added}
+    assert {texts[i] for i in kept if i in texts} == set(clean)
+    assert sum(i < 10_000_000 for i in kept) >= 0.99 * docs.count()
