@@ -226,12 +226,32 @@ def event_report(spark, d):
     return found.join(places, "c_nationkey").select("event_key", F.col("o_orderkey").alias("representative"), F.col("o_orderpriority").alias("category"), F.col("occurrences").alias("members"), "day", "region")
 
 
+def _ordered_events(spark, d) -> DataFrame:
+    """Events of all weeks with their position in the report of their week."""
+    events = _members(spark, d).groupBy("week", "event_key").agg(F.max("day").alias("day"))
+    return events.withColumn("position", F.row_number().over(Window.partitionBy("week").orderBy(F.desc("day"), "event_key")))
+
+
+def _sectioned_events(spark, d) -> DataFrame:
+    """Events of all weeks with their position in their section of the report of their week."""
+    events = _members(spark, d).groupBy("week", "event_key").agg(F.max("day").alias("day"), F.min("o_orderpriority").alias("section"))
+    rank = agg.ordinal(F.col("section"), ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))
+    return events.select("week", "event_key", "section", rank.alias("section_order"), F.row_number().over(Window.partitionBy("week", "section").orderBy(F.desc("day"), "event_key")).alias("position"), "day")
+
+
 @query(f"""
 WITH {_MEMBERS}, g AS (SELECT event_key, max(day) AS day FROM m WHERE week = DATE '{REPORT_START}' GROUP BY event_key)
 SELECT event_key, day, row_number() OVER (ORDER BY day DESC, event_key) AS position FROM g""")
 def event_order(spark, d):
-    events = _members(spark, d).where(F.col("week") == F.lit(REPORT_START).cast("date")).groupBy("event_key").agg(F.max("day").alias("day"))
-    return events.withColumn("position", F.row_number().over(Window.orderBy(F.desc("day"), "event_key")))
+    """The report of one week; event_order_all_weeks has every week."""
+    return _ordered_events(spark, d).where(F.col("week") == F.lit(REPORT_START).cast("date")).select("event_key", "day", "position")
+
+
+@query(f"""
+WITH {_MEMBERS}, g AS (SELECT week, event_key, max(day) AS day FROM m GROUP BY ALL)
+SELECT week, event_key, day, row_number() OVER (PARTITION BY week ORDER BY day DESC, event_key) AS position FROM g""")
+def event_order_all_weeks(spark, d):
+    return _ordered_events(spark, d).select("week", "event_key", "day", "position")
 
 
 @query(f"""
@@ -239,9 +259,16 @@ WITH {_MEMBERS}, g AS (SELECT event_key, max(day) AS day, min(o_orderpriority) A
 SELECT event_key, section, list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], section) - 1 AS section_order,
   row_number() OVER (PARTITION BY section ORDER BY day DESC, event_key) AS position FROM g""")
 def sectioned_report_order(spark, d):
-    events = _members(spark, d).where(F.col("week") == F.lit(REPORT_START).cast("date")).groupBy("event_key").agg(F.max("day").alias("day"), F.min("o_orderpriority").alias("section"))
-    rank = agg.ordinal(F.col("section"), ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))
-    return events.select("event_key", "section", rank.alias("section_order"), F.row_number().over(Window.partitionBy("section").orderBy(F.desc("day"), "event_key")).alias("position"))
+    """The report of one week; sectioned_report_order_all_weeks has every week."""
+    return _sectioned_events(spark, d).where(F.col("week") == F.lit(REPORT_START).cast("date")).select("event_key", "section", "section_order", "position")
+
+
+@query(f"""
+WITH {_MEMBERS}, g AS (SELECT week, event_key, max(day) AS day, min(o_orderpriority) AS section FROM m GROUP BY ALL)
+SELECT week, event_key, section, list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], section) - 1 AS section_order,
+  row_number() OVER (PARTITION BY week, section ORDER BY day DESC, event_key) AS position FROM g""")
+def sectioned_report_order_all_weeks(spark, d):
+    return _sectioned_events(spark, d).select("week", "event_key", "section", "section_order", "position")
 
 
 @query(f"""

@@ -36,3 +36,9 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, DIR).count() > 0
+
+
+def test_every_event_has_a_position(spark):
+    events = catalogue.event_report(spark, DIR).count()
+    assert catalogue.event_order_all_weeks(spark, DIR).count() == events
+    assert catalogue.sectioned_report_order_all_weeks(spark, DIR).count() == events
