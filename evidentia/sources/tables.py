@@ -15,16 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever dots or quotes it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset (local tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where it is unset in a local session."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = _own.setdefault("dir", "") or _own.update(dir=tempfile.mkdtemp(prefix="evidentia-")) or _own["dir"]
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _own:
+            _own["dir"] = tempfile.mkdtemp(prefix="evidentia-")
+        where = _own["dir"]
     return where.rstrip("/")
 
 
 def written(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
-    """df written to the shared folder and read again, with measures taken on the way: later jobs start from files."""
+    """df written to the shared folder and read again, with measures taken on the way: later jobs start
+    from files, which survive the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/evidentia-{uuid.uuid4().hex}"
     seen = Observation()
     measures = {"rows": F.count(F.lit(1)), **measures}
