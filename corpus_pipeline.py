@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from evidentia.llm._tables import materialise, small, table
+from evidentia.llm._tables import materialise, quoted, small, table
 
 #: Below this posterior probability no language is accepted.
 SURE = 0.5
@@ -17,44 +17,50 @@ DEVIATIONS = 6
 FRACTION, POWER = 0.5, 0.5
 
 
-def _carried(docs: DataFrame) -> dict:
-    return {f"carried_{c}": F.col(f"`{c}`") for c in docs.columns}
+def _carried(docs: DataFrame, but: str | None = None) -> dict:
+    """The columns of docs under numbers, as names of columns may hold anything."""
+    return {f"carried_{k}": F.col(quoted(c)) for k, c in enumerate(docs.columns) if c != but}
 
 
-def _as_documents(found: DataFrame, docs: DataFrame) -> DataFrame:
-    return found.select(*[F.col(f"`carried_{c}`").alias(c) for c in docs.columns])
+def _as_documents(found: DataFrame, docs: DataFrame, but: str | None = None) -> DataFrame:
+    return found.select(*[F.col(c if c == but else f"carried_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model learned from the labels; no text, no letters, no clear language,
-    or less likely n-grams than labelled texts of that language have: out."""
+    or less likely n-grams than labelled texts of that language have: out. Without any labelled row nothing can be
+    learned, and all documents that have a letter stay."""
     apart = language_id.held_out(F.col("doc_id"))
     model = language_id.fit(docs.where(~apart))
     expected = language_id.expectations(docs.where(apart), model)
-    found = language_id.identify(docs, model, **_carried(docs))
+    if not model.langs:
+        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
+    found = language_id.identify(docs, model, with_text=True, **_carried(docs, but="text"))
     clear = (F.col("lang_pred") != "und") & (F.col("score") >= SURE)
-    return _as_documents(found.where(clear & language_id.plausible(expected, DEVIATIONS)), docs)
+    return _as_documents(found.where(clear & language_id.plausible(expected, DEVIATIONS)), docs, but="text")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of identical texts."""
+    """One document of each group of identical texts, that of the largest id; null texts count as empty."""
     return _as_documents(exact_dedup.exact_duplicates(docs, **_carried(docs)).where("kept"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates: shingles of five words, similarity 0.8 or more."""
+    """One document, that of the smallest id, of each group of near duplicates: shingles of five words, similarity 0.8
+    or more. Documents without words have no duplicates; rows that share an id and are not of the smallest go together."""
     found = near_dedup.near_duplicates(docs, shingle=5, threshold=0.8)
     gone, seen = materialise(found.where("not kept").select("doc_id"))
-    return docs.join(small(gone, seen["rows"]), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(gone, seen["rows"], 8), "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that sources, languages and topics come near their target shares."""
+    """Documents drawn so that sources, languages and topics come near their target shares. Null columns are a value
+    of their own; rows that share an id are drawn or left together."""
     return _as_documents(mixing.mix(docs, fraction=FRACTION, power=POWER, **_carried(docs)).where("kept"), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences; every row is a document of its own, without text it is the end token alone."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

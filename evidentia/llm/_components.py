@@ -35,4 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components aren't complete after {MOST_ROUNDS} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -9,9 +9,14 @@ that its windows cover is a phrase; consecutive phrases of a text overlap.
 1. Count trigger values. Nearly all occur once, and nothing they own can repeat.
 2. Phrases of repeated triggers are joined to those values. Equal phrases (trigger, extent and hash of
    the whole stretch) form the dictionary, with their number and first occurrence.
-3. Dictionary phrases that share a trigger but differ are compared window by window.
+3. Dictionary phrases that share a trigger but differ are brought together with their tokens, shard by
+   shard of triggers. Bytes are put in suffix order there, and neighbouring suffixes that agree for a
+   window repeat; words are extended from their common anchor to both sides, all phrases at once.
 4. Spans that repeat go back to their texts.
 
+Trigger values are fast rolling hashes that only bring phrases together; whether windows are equal is
+said by the suffix order or the extension (on the tokens themselves), or by hashes modulo a prime.
+
 Texts move once, dealt by their id; the last two passes over them share that exchange.
 """
 
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._groups import whole_groups
-from ._tables import materialise, partitions
+from ._tables import materialise
 
 #: Bytes of text in one pass of the rolling hash; longer texts go in pieces that overlap by a window.
 PIECE = 1 << 19
@@ -35,6 +40,10 @@ PIECE = 1 << 19
 _PLACE = np.uint64(21)
 #: Differing phrases of one trigger up to this number are compared in one task; beyond it their windows are counted one by one in a shuffle.
 GROUP = 8_000
+#: Bytes of suffixes that are sorted at once.
+SORTED = 1 << 24
+#: Longest window: places of texts of up to 2 GB fit into one integer beside two offsets of a window.
+LONGEST = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -44,11 +53,28 @@ class Windows:
     #: Bytes or words.
     of_words: bool
 
+    def __post_init__(self):
+        if not 0 < self.gram <= self.window <= LONGEST:
+            raise ValueError(f"a window has 1 to {LONGEST} tokens, its gram no more than the window")
+
     @property
     def reach(self) -> int:
         """Grams in a window."""
         return self.window - self.gram + 1
 
+    @property
+    def bits(self) -> int:
+        """Bits of an offset in a window."""
+        return self.reach.bit_length()
+
+    def pack(self, place: np.ndarray, far: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """One integer that sorts as place."""
+        return place << 2 * self.bits | far << self.bits | near
+
+    def unpack(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        most = (1 << self.bits) - 1
+        return at >> 2 * self.bits, at >> self.bits & most, at & most
+
 
 @dataclass(frozen=True)
 class Slice:
@@ -79,10 +105,6 @@ def slices(texts: pa.Array, of_words: bool) -> Iterator[Slice]:
             yield Slice(i, j, part, own, own)
 
 
-def _values(token: np.ndarray) -> np.ndarray:
-    return T.BYTE_VALUES[token] if token.dtype == np.uint8 else token
-
-
 def triggers(token: np.ndarray, first: np.ndarray, w: Windows, full: bool) -> Iterator[dict[str, np.ndarray]]:
     """Triggers that own windows of the texts: text (index into first), place of the trigger in its
     text, near and far (offsets of the last and first window they own before it), gram hash, and with
@@ -90,12 +112,11 @@ def triggers(token: np.ndarray, first: np.ndarray, w: Windows, full: bool) -> It
     total, step = len(token), PIECE
     for low in range(0, max(1, total - w.window + 1), step):
         high = min(total, low + step + w.window - 1)
-        values = _values(token[low:high])
-        n = len(values) - w.window + 1
+        part = token[low:high]
+        n = len(part) - w.window + 1
         if n <= 0:
             return
-        prefix = T.prefix_hash(values)
-        grams = T.gram_hash(prefix, w.gram)
+        grams = T.rolling_grams(part if w.of_words else T.BYTE_VALUES[part], w.gram)
         place = np.arange(len(grams), dtype=np.uint64)
         key = (grams >> _PLACE << _PLACE) | ((np.uint64(1) << _PLACE) - np.uint64(1) - place)
         least = T.sliding_min(key, w.reach)
@@ -112,15 +133,10 @@ def triggers(token: np.ndarray, first: np.ndarray, w: Windows, full: bool) -> It
         at = owner[edge]
         out = {"text": text[edge], "place": at + low - first[text[edge]], "far": at - start[edge], "near": at - start[last], "gram": grams[at]}
         if full:
-            out["stretch"] = T.range_hash(prefix, start[edge], start[last] + w.window)
+            out["stretch"] = T.range_hash(T.prefix_hash(part), start[edge], start[last] + w.window)
         yield out
 
 
-def _pack(place: np.ndarray, far: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """One integer that sorts as place."""
-    return place << 20 | far << 10 | near
-
-
 def _counting(w: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +153,7 @@ def _phrases(w: Windows):
             ids = batch.column("rid").to_numpy(zero_copy_only=False)
             for s in slices(batch.column("text"), w.of_words):
                 for t in triggers(s.tokens(), s.first, w, full=True):
-                    arrays = [t["gram"].view(np.int64), t["stretch"].view(np.int64), ids[s.low + t["text"]], _pack(t["place"], t["far"], t["near"])]
+                    arrays = [t["gram"].view(np.int64), t["stretch"].view(np.int64), ids[s.low + t["text"]], w.pack(t["place"], t["far"], t["near"])]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["gram", "stretch", "rid", "at"])
 
     return run
@@ -162,7 +178,7 @@ def _contexts(w: Windows):
                 raw = memoryview(np.ascontiguousarray(token)).cast("B")
                 number = np.diff(bounds[s.low : s.high + 1])
                 base, owner = np.repeat(s.first[:-1], number), np.repeat(ids[s.low : s.high], number)
-                place, far, near = at[mine] >> 20, at[mine] >> 10 & 1023, at[mine] & 1023
+                place, far, near = w.unpack(at[mine])
                 begin, end = base + place - far, base + place - near + w.window
                 for k in range(0, len(mine), 5000):
                     cut = slice(k, k + 5000)
@@ -177,21 +193,117 @@ def _contexts(w: Windows):
     return run
 
 
-def _windows_of(table: pa.Table, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of the phrases in the table: the phrase, the offset of its trigger, and its hash."""
+@dataclass(frozen=True)
+class Phrases:
+    """Dictionary phrases with their tokens, and their windows: the phrase of each, the offset of its trigger, and where it begins in the tokens."""
+
+    token: np.ndarray
+    #: Of each phrase in token.
+    begin: np.ndarray
+    place: np.ndarray
+    far: np.ndarray
+    near: np.ndarray
+    gram: np.ndarray
+    doc: np.ndarray
+    times: np.ndarray
+    phrase: np.ndarray
+    offset: np.ndarray
+    start: np.ndarray
+
+
+def _phrases_of(table: pa.Table, w: Windows) -> Phrases:
     context = table.column("context").combine_chunks()
-    at = table.column("at").to_numpy()
-    far, near = at >> 10 & 1023, at & 1023
+    place, far, near = w.unpack(table.column("at").to_numpy())
     offsets = np.frombuffer(context.buffers()[1], dtype=np.int32)[context.offset : context.offset + len(context) + 1].astype(np.int64)
     raw = np.frombuffer(context.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     token = raw.copy().view(np.uint64) if w.of_words else raw
     begin = (offsets[:-1] - offsets[0]) // (8 if w.of_words else 1)
     count = far - near + 1
-    phrase = np.repeat(np.arange(len(at)), count)
+    phrase = np.repeat(np.arange(len(far)), count)
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start = begin[phrase] + step
-    hashed = T.range_hash(T.prefix_hash(_values(token)), start, start + w.window)
-    return phrase, far[phrase] - step, hashed
+    doc, times, gram = (table.column(k).to_numpy() for k in ("rid", "times", "gram"))
+    return Phrases(token, begin, place, far, near, gram, doc, times, phrase, far[phrase] - step, begin[phrase] + step)
+
+
+def _suffix_classes(p: Phrases, w: Windows) -> np.ndarray:
+    """A number for each window, the same for equal windows. The suffixes of the phrases that windows
+    begin are put in order; a window is equal to its neighbour where they agree for its whole length.
+
+    Phrases overlap by a window, so a suffix that begins one never reaches the end of its phrase: the
+    order of suffixes is that of the dictionary, and the parse is never needed to go on with a tie.
+    """
+    suffixes = np.lib.stride_tricks.sliding_window_view(p.token, w.window)
+    out, base = np.empty(len(p.start), dtype=np.int64), 0
+    # windows at different offsets have their triggers elsewhere, so they differ and can be sorted apart
+    by_offset = np.argsort(p.offset, kind="stable")
+    edges = np.append(_edges(p.offset[by_offset]), len(by_offset))
+    for i, j in T.slices(edges, max(1, SORTED // w.window)):
+        mine = by_offset[edges[i] : edges[j]]
+        text = np.ascontiguousarray(suffixes[p.start[mine]]).view(f"S{w.window}").ravel()
+        order = np.argsort(text, kind="stable")
+        fresh = np.ones(len(mine), dtype=bool)
+        fresh[1:] = text[order[1:]] != text[order[:-1]]
+        out[mine[order]] = base + np.cumsum(fresh) - 1
+        base += len(mine)
+    return out
+
+
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where one of the sorted columns differs from the row before."""
+    fresh = np.zeros(len(columns[0]), dtype=bool)
+    fresh[:1] = True
+    for x in columns:
+        fresh[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(fresh)
+
+
+def _refined(match: np.ndarray, rows: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Classes of rows that were in one class and have the same next token; -1 for rows that go on alone."""
+    order = np.lexsort((token, match[rows]))
+    edges = _edges(match[rows][order], token[order])
+    size = np.diff(np.append(edges, len(order)))
+    number = np.repeat(np.where(size > 1, np.arange(len(edges)), -1), size)
+    out = np.full(len(match), -1, dtype=np.int64)
+    out[rows[order]] = number
+    return out
+
+
+def _extension_classes(p: Phrases, w: Windows) -> np.ndarray:
+    """A number for each window, the same for equal windows, and -1 for windows without an equal one.
+
+    Phrases with one anchor are matched on its tokens, and then extended a token at a time to the right
+    and to the left: classes of phrases that still agree are split by the next token, and a phrase that
+    is left alone goes no further. A window is a reach to the left and one to the right, so windows are
+    equal where both classes are. All pairs are told apart without forming one.
+    """
+    anchor = p.begin + p.far
+    order = np.argsort(p.gram, kind="stable")
+    match = np.empty(len(p.gram), dtype=np.int64)
+    match[order] = np.cumsum(np.isin(np.arange(len(order)), _edges(p.gram[order])))
+    for k in range(w.gram):
+        rows = np.flatnonzero(match >= 0)
+        match = _refined(match, rows, p.token[anchor[rows] + k])
+
+    def extended(most: np.ndarray, at: Callable[[np.ndarray, int], np.ndarray]) -> list[np.ndarray]:
+        out = [match]
+        for k in range(1, w.reach):
+            rows = np.flatnonzero((out[-1] >= 0) & (most >= k))
+            out.append(_refined(out[-1], rows, p.token[at(anchor[rows], k)]))
+        return out
+
+    right = extended(w.window - w.gram - p.near, lambda a, k: a + w.gram + k - 1)
+    left = extended(p.far, lambda a, k: a - k)
+    out, base = np.full(len(p.phrase), -1, dtype=np.int64), 0
+    for k in range(w.reach):
+        mine = np.flatnonzero(p.offset == k)
+        x, y = left[k][p.phrase[mine]], right[w.reach - 1 - k][p.phrase[mine]]
+        good = (x >= 0) & (y >= 0)
+        mine = mine[good]
+        if len(mine):
+            _, out[mine] = np.unique(x[good] * len(match) + y[good], return_inverse=True)
+            out[mine] += base
+            base += len(mine)
+    return out
 
 
 def _compare(w: Windows, earlier: bool):
@@ -201,43 +313,41 @@ def _compare(w: Windows, earlier: bool):
         for group, starts in whole_groups(batches, ["gram"]):
             bounds = np.append(starts, group.num_rows)
             for low, high in T.slices(bounds, 4000):
-                yield from _spans(group.slice(bounds[low], bounds[high] - bounds[low]), w, earlier)
+                yield from _spans(_phrases_of(group.slice(bounds[low], bounds[high] - bounds[low]), w), w, earlier)
 
     return run
 
 
-def _spans(rows: pa.Table, w: Windows, earlier: bool) -> Iterator[pa.RecordBatch]:
-    phrase, offset, hashed = _windows_of(rows, w)
-    doc, at, times, gram = (rows.column(k).to_numpy() for k in ("rid", "at", "times", "gram"))
-    start = (at >> 20)[phrase] - offset
-    mark = T.mix(hashed ^ T.mix(gram.view(np.uint64)[phrase] * T.MULTIPLIER + offset.astype(np.uint64)))
-    order = np.lexsort((start, doc[phrase], mark)) if earlier else np.argsort(mark, kind="stable")
-    edge = np.concatenate([[True], mark[order][1:] != mark[order][:-1]])
-    if earlier:
-        repeated = np.empty(len(mark), dtype=bool)
-        repeated[order] = ~edge
-    else:
-        run_of = np.cumsum(edge) - 1
-        total = np.bincount(run_of, weights=times[phrase[order]])
-        repeated = np.empty(len(mark), dtype=bool)
-        repeated[order] = total[run_of] > 1
+def _spans(p: Phrases, w: Windows, earlier: bool) -> Iterator[pa.RecordBatch]:
+    mark = _extension_classes(p, w) if w.of_words else _suffix_classes(p, w)
+    doc, start = p.doc[p.phrase], p.place[p.phrase] - p.offset
+    rows = np.flatnonzero(mark >= 0)
+    order = rows[np.lexsort((start[rows], doc[rows], mark[rows])) if earlier else np.argsort(mark[rows], kind="stable")]
+    repeated = np.zeros(len(mark), dtype=bool)
+    if len(order):
+        edges = _edges(mark[order])
+        if earlier:
+            repeated[order] = True
+            repeated[order[edges]] = False
+        else:
+            size = np.diff(np.append(edges, len(order)))
+            repeated[order] = np.repeat(np.add.reduceat(p.times[p.phrase[order]], edges) > 1, size)
     hit = np.flatnonzero(repeated)
     if len(hit):  # runs of neighbouring windows are one span
-        fresh = np.concatenate([[True], (np.diff(hit) != 1) | (phrase[hit][1:] != phrase[hit][:-1])])
+        fresh = np.concatenate([[True], (np.diff(hit) != 1) | (p.phrase[hit][1:] != p.phrase[hit][:-1])])
         head = np.flatnonzero(fresh)
         tail = np.append(head[1:], len(hit)) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(doc[phrase[hit[head]]]), pa.array(start[hit[head]]), pa.array(start[hit[tail]] + w.window)], names=["rid", "begin", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[hit[head]]), pa.array(start[hit[head]]), pa.array(start[hit[tail]] + w.window)], names=["rid", "begin", "end"])
 
 
 def _window_rows(w: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
-                part = pa.Table.from_batches([batch.slice(k, 1000)])
-                phrase, offset, hashed = _windows_of(part, w)
-                doc, at, times, gram = (part.column(c).to_numpy()[phrase] for c in ("rid", "at", "times", "gram"))
+                p = _phrases_of(pa.Table.from_batches([batch.slice(k, 1000)]), w)
+                hashed = T.range_hash(T.prefix_hash(p.token), p.start, p.start + w.window)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array(offset), pa.array(hashed.view(np.int64)), pa.array(doc), pa.array((at >> 20) - offset), pa.array(times)],
+                    [pa.array(p.gram[p.phrase]), pa.array(p.offset), pa.array(hashed.view(np.int64)), pa.array(p.doc[p.phrase]), pa.array(p.place[p.phrase] - p.offset), pa.array(p.times[p.phrase])],
                     names=["gram", "offset", "hash", "rid", "begin", "times"],
                 )
 
@@ -254,17 +364,17 @@ def identified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = docs.select("doc_id", F.col("doc_id").alias("rid"), "text")
     else:
         rows, _ = materialise(docs.orderBy(F.col("doc_id").asc_nulls_first(), "text").select("doc_id", F.monotonically_increasing_id().alias("rid"), "text"))
-    return rows, rows.repartition(partitions(docs.sparkSession), "rid")
+    return rows, rows.repartition("rid")
 
 
 def repeated_spans(rows: DataFrame, dealt: DataFrame, w: Windows, earlier: bool) -> DataFrame:
     """(rid, begin, end) in tokens: spans of windows that also start elsewhere, or with earlier only
     those that also start before (smaller rid, or the same and a smaller begin). Spans of a text may
     overlap. The arguments are what identified() returns."""
-    n = partitions(rows.sparkSession)
     counted = rows.select("text").mapInArrow(_counting(w), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    counted, _ = materialise(counted)  # so that the join below reads both sides from a shuffle, and a gram with very many phrases is split
     phrases = rows.select("rid", "text").mapInArrow(_phrases(w), "gram long, stretch long, rid long, at long").join(counted, "gram")
-    phrases, _ = materialise(phrases.withColumn("extent", F.col("at").bitwiseAND(F.lit((1 << 20) - 1))))
+    phrases, _ = materialise(phrases.withColumn("extent", F.col("at").bitwiseAND(F.lit((1 << 2 * w.bits) - 1))))
     dictionary, _ = materialise(phrases.groupBy("gram", "stretch", "extent").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rid", "at")).alias("first")))
 
     # phrases that repeat whole
@@ -272,7 +382,8 @@ def repeated_spans(rows: DataFrame, dealt: DataFrame, w: Windows, earlier: bool)
     whole = phrases.join(again, ["gram", "stretch", "extent"])
     if earlier:
         whole = whole.where("rid <> first.rid or at <> first.at")
-    whole = whole.selectExpr("rid", "shiftright(at, 20) - (shiftright(at, 10) & 1023L) as begin", f"shiftright(at, 20) - (at & 1023L) + {w.window} as end")
+    place, far, near = f"shiftright(at, {2 * w.bits})", f"(shiftright(at, {w.bits}) & {(1 << w.bits) - 1}L)", f"(at & {(1 << w.bits) - 1}L)"
+    whole = whole.selectExpr("rid", f"{place} - {far} as begin", f"{place} - {near} + {w.window} as end")
 
     # dictionary phrases that share a trigger and differ
     variants = dictionary.groupBy("gram").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
@@ -283,7 +394,7 @@ def repeated_spans(rows: DataFrame, dealt: DataFrame, w: Windows, earlier: bool)
     contexts = contexts.mapInArrow(_contexts(w), "gram long, rid long, at long, times long, variants long, context binary")
     if seen["crowded"]:
         contexts, _ = materialise(contexts)
-    few = contexts.where(F.col("variants") <= GROUP).repartition(n, "gram").sortWithinPartitions("gram")
+    few = contexts.where(F.col("variants") <= GROUP).repartition("gram").sortWithinPartitions("gram")
     spans = whole.union(few.mapInArrow(_compare(w, earlier), "rid long, begin long, end long"))
     if seen["crowded"]:
         crowd = contexts.where(F.col("variants") > GROUP)

@@ -1,48 +1,18 @@
-"""Reading tables, cutting lineage in the shared folder, and broadcasts behind a size check."""
+"""Tables of the core, and broadcasts behind a size check."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from ..sources.tables import quoted, shared_dir, table
+from ..sources.tables import written as materialise
 
-#: A side of a join is broadcast only when it was counted and has no more rows of 64-bit values than this.
-BROADCAST_ROWS = 400_000
+__all__ = ["materialise", "quoted", "shared_dir", "small", "table"]
 
-#: Types that a row id may have to be compared with the ids of other rows.
-Named = dict[str, Column]
+#: A side of a join is broadcast only when it was measured and has no more bytes than this.
+BROADCAST_BYTES = 8 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (local tests) a new temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="evidentia-")
-        shared_dir.own = where
-    return where.rstrip("/")
-
-
-def materialise(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
-    """Write df to the shared folder and read it again: later jobs start from the files, which
-    survive the loss of executors. Returns the new frame and the measures, taken during the write."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evidentia-{uuid.uuid4().hex}"
-    seen = Observation()
-    measures = {"rows": F.count(F.lit(1)), **measures}
-    df.observe(seen, *[c.alias(k) for k, c in measures.items()]).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the bound, else as it is (a shuffled join)."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def small(df: DataFrame, rows: int, width: int = 16) -> DataFrame:
+    """df with a broadcast hint if its counted rows of so many bytes are within the bound, else as it is (a shuffled join)."""
+    return df.hint("broadcast") if rows * width <= BROADCAST_BYTES else df

@@ -10,9 +10,18 @@ import numpy as np
 import pyarrow as pa
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_MASK = (1 << 64) - 1
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
+#: Modulus of range_hash, a prime, and its base, drawn from a fixed seed. Unequal runs of n values are
+#: equal with a probability of n / PRIME over the choice of the base, whatever the values are.
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+_BASE = int(np.random.default_rng(20240602).integers(1 << 60, PRIME, dtype=np.uint64))
+_LOW30, _LOW31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
+#: Values that are summed up before the sum is reduced.
+_CHUNK = 1 << 22
+
 #: Bytes that separate words: the space and tab to carriage return.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -25,6 +34,8 @@ BYTE_VALUES = np.random.default_rng(20240601).integers(0, 2**64, 256, dtype=np.u
 
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
+_prime_powers = np.ones(1, dtype=np.uint64)
+_prime_inverses = np.ones(1, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,35 +48,101 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _geometric(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of MULTIPLIER and of its inverse, kept between calls."""
-    global _powers, _inverses
-    while len(_powers) < n:
-        step, back = np.uint64(pow(int(MULTIPLIER), len(_powers), 1 << 64)), np.uint64(pow(int(_INVERSE), len(_inverses), 1 << 64))
-        _powers, _inverses = np.concatenate([_powers, _powers * step]), np.concatenate([_inverses, _inverses * back])
-    return _powers[:n], _inverses[:n]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, in place."""
+    high = x >> _61
+    x &= _P
+    x += high
+    x -= _P * (x >= _P)
+    return x
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of values below PRIME: the halves are multiplied apart."""
+    a_high, a_low, b_high, b_low = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a_low * b_high
+    middle += a_high * b_low
+    out = a_high * b_high
+    out <<= np.uint64(1)
+    out += middle >> _30
+    middle &= _LOW30
+    middle <<= _31
+    out += middle
+    a_low *= b_low
+    return _reduced(_reduced(out) + a_low)
+
+
+def _prime_geometric(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base modulo PRIME and of its inverse, kept between calls."""
+    global _prime_powers, _prime_inverses
+    while len(_prime_powers) < n:
+        k = len(_prime_powers)
+        step, back = (np.full(k, pow(x, k, PRIME), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, PRIME)))
+        _prime_powers = np.concatenate([_prime_powers, _product(_prime_powers, step)])
+        _prime_inverses = np.concatenate([_prime_inverses, _product(_prime_inverses, back)])
+    return _prime_powers[:n], _prime_inverses[:n]
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values[i] * MULTIPLIER**i modulo 2**64, with a leading 0."""
-    powers, _ = _geometric(len(values))
+    """Prefix sums of values[i] * base**i modulo PRIME, with a leading 0; values are bytes or 64 bits."""
     out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers, out=out[1:])
+    powers, _ = _prime_geometric(len(values))
+    carry = np.uint64(0)
+    for low in range(0, len(values), _CHUNK):
+        part, power = values[low : low + _CHUNK], powers[low : low + _CHUNK]
+        if values.dtype == np.uint8:  # a byte times half a power stays far below 64 bits
+            part = part.astype(np.uint64) + np.uint64(1)
+            high, rest = np.cumsum(part * (power >> _30)), np.cumsum(part * (power & _LOW30))
+        else:
+            term = _product(_reduced(part.copy()), power)
+            high, rest = np.cumsum(term >> _30), np.cumsum(term & _LOW30)
+        # high * 2**30 modulo PRIME is a rotation of 61 bits
+        high = _reduced(high)
+        total = (high & _LOW31) << _30
+        total += high >> _31
+        total = _reduced(total)
+        total += _reduced(rest)
+        total += carry
+        out[low + 1 : low + 1 + len(part)] = _reduced(total)
+        carry = out[low + len(part)]
     return out
 
 
 def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Mixed hashes of values[starts:ends], equal for equal runs of values wherever they stand."""
-    _, inverses = _geometric(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * inverses[starts])
+    _, inverses = _prime_geometric(len(prefix))
+    return mix(_product(_reduced(prefix[ends] + _P - prefix[starts]), inverses[starts]))
+
+
+def run_hash(values: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of the given (small) width, mixed value by value."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    out = np.full(n, width, dtype=np.uint64)
+    for k in range(width):
+        out = mix(out * MULTIPLIER + values[k : k + n])
+    return out
+
+
+def _geometric(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of MULTIPLIER and of its inverse modulo 2**64, kept between calls."""
+    global _powers, _inverses
+    while len(_powers) < n:
+        step, back = np.uint64(pow(int(MULTIPLIER), len(_powers), 1 << 64)), np.uint64(pow(int(_INVERSE), len(_inverses), 1 << 64))
+        _powers, _inverses = np.concatenate([_powers, _powers * step]), np.concatenate([_inverses, _inverses * back])
+    return _powers[:n], _inverses[:n]
 
 
-def gram_hash(prefix: np.ndarray, width: int) -> np.ndarray:
-    """Mixed hashes of all runs of the given width."""
-    n = len(prefix) - width
+def rolling_grams(values: np.ndarray, width: int) -> np.ndarray:
+    """Mixed rolling hashes (modulo 2**64) of all runs of the given width. Fast, but structured texts can
+    make unequal runs equal: they choose positions and buckets, and never say that texts are equal."""
+    n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    _, inverses = _geometric(len(prefix))
+    powers, inverses = _geometric(len(values) + 1)
+    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers[: len(values)], out=prefix[1:])
     return mix((prefix[width:] - prefix[:n]) * inverses[:n])
 
 
@@ -112,14 +189,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
-    """Hashes of the words, a piece of the data at a time."""
+    """Hashes of the words, a piece of the data at a time; a word longer than a piece is hashed in parts."""
     if len(data) <= piece or not len(starts):
-        return range_hash(prefix_hash(BYTE_VALUES[data]), starts, ends)
+        return range_hash(prefix_hash(data), starts, ends)
     out, i = [], 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + piece, "right")))
-        low = starts[i]
-        out.append(range_hash(prefix_hash(BYTE_VALUES[data[low : ends[j - 1]]]), starts[i:j] - low, ends[i:j] - low))
+        low, high = int(starts[i]), int(ends[j - 1])
+        if high - low <= piece:
+            out.append(range_hash(prefix_hash(data[low:high]), starts[i:j] - low, ends[i:j] - low))
+        else:
+            total = 0
+            for at in range(low, high, piece):
+                total += int(prefix_hash(data[at : min(high, at + piece)])[-1]) * pow(_BASE, at - low, PRIME)
+            out.append(mix(np.array([total % PRIME], dtype=np.uint64)))
         i = j
     return np.concatenate(out)
 

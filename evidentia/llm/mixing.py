@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import materialise, small
+from ._tables import materialise, quoted, small
 
 #: Sweeps over all marginals in one job, and the largest relative error at which fitting stops.
 SWEEPS = 4
@@ -83,16 +84,17 @@ def rake(
     a sweep fixes the cells that would at all their tokens and scales the others to what is left of the
     marginal. First, targets beyond all tokens of a value are lowered to these, and the other values of
     the column take the rest (_reachable). Marginals that still contradict each other under these bounds
-    end with the last column met, the others missed, and the sum at 1.
+    end with the last column met, the others missed, and the sum at 1; a warning then says by how much
+    (marginals() says which).
     """
-    current, seen = materialise(cells.select(*columns, F.col("tokens").cast("double").alias("tokens")))
-    count = seen["rows"]
+    current, seen = materialise(cells.select(*columns, F.col("tokens").cast("double").alias("tokens")), bytes=F.coalesce(F.sum(F.octet_length(F.concat_ws("", *columns))), F.lit(0)))
+    count, width = seen["rows"], seen["bytes"] // max(1, seen["rows"]) + 16
     weighted = current.withColumn("weight", F.col("tokens"))
     if wanted is not None:
         weighted = weighted.withColumn("__cap", F.col("tokens") / F.lit(wanted))
     for column in columns:
         to = _targets(current, column, power, (targets or {}).get(column))
-        to = small(to if wanted is None else _reachable(current, column, to, wanted), count)
+        to = small(to if wanted is None else _reachable(current, column, to, wanted), count, width)
         weighted = weighted.join(to, weighted[column] == to[f"__to_{column}_of"], "left").drop(f"__to_{column}_of")
     held = F.col("weight") if wanted is None else F.least("weight", "__cap")
     for _ in range(MOST_JOBS):
@@ -110,9 +112,24 @@ def rake(
         weighted = weighted.drop("__off")
         if not seen["off"] or seen["off"] <= TOLERANCE:
             break
+    else:
+        warnings.warn(f"marginals contradict each other: one is missed by {seen['off']:.2%}", stacklevel=2)
     return weighted.select(*columns, "tokens", held.alias("weight"))
 
 
+def marginals(raked: DataFrame, columns: list[str]) -> DataFrame:
+    """What a result of rake() comes to: column, value, natural and reached share, one row for each value of each column."""
+    sums = raked.groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns]).agg(
+        F.grouping_id(*[F.col(c) for c in columns]).alias("set"), F.sum("tokens").alias("tokens"), F.sum("weight").alias("reached")
+    )
+    sets = {(1 << len(columns)) - 1 - (1 << (len(columns) - 1 - i)): c for i, c in enumerate(columns)}
+    name, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, c in sets.items():
+        name, value = F.when(F.col("set") == k, F.lit(c)).otherwise(name), F.when(F.col("set") == k, F.col(c)).otherwise(value)
+    whole = Window.partitionBy("column")
+    return sums.select(name.alias("column"), value.alias("value"), "tokens", "reached").select("column", "value", (F.col("tokens") / F.sum("tokens").over(whole)).alias("natural"), "reached")
+
+
 def uniform(key: Column) -> Column:
     """A number in [0, 1) that depends on the key alone: 52 bits of its SHA-256."""
     bits = F.conv(F.substring(F.sha2(key.cast("string").cast("binary"), 256), 1, 13), 16, 10).cast("long")
@@ -136,7 +153,8 @@ def mix(
     a token for each 4 bytes, rounded up, at least 1). targets gives shares by column (source, lang,
     topic) and value; values it doesn't name get none. Columns without are tempered: natural share to a power.
     Cells are summed before they are shuffled, so a source with a third of all rows is one row a task.
-    carry names expressions that are returned too. Rows come back one for one; an empty table gives none.
+    carry names expressions that are returned too. Rows come back one for one, repeated ones too; null texts
+    count as empty, a null doc_id as one id like others. An empty table gives none.
 
     Returns doc_id, source, lang, topic, tokens, probability, kept, and what carry names.
     """
@@ -149,9 +167,9 @@ def mix(
         tokens.cast("long").alias("tokens"), *[c.alias(k) for k, c in carry.items()],
     )
     columns = ["source", "lang", "topic"]
-    cells, seen = materialise(rows.groupBy(*columns).agg(F.sum("tokens").alias("tokens")), total=F.sum("tokens"))
+    cells, seen = materialise(rows.groupBy(*columns).agg(F.sum("tokens").alias("tokens")), total=F.sum("tokens"), bytes=F.sum(F.octet_length(F.concat_ws("", *columns))))
     wanted = max(fraction * float(seen["total"] or 1), 1e-9)
     raked = rake(cells, columns, power, targets, wanted)
     chance = raked.select(*columns, F.least(F.col("weight") * F.lit(wanted) / F.col("tokens"), F.lit(1.0)).alias("probability"))
-    found = rows.join(small(chance, seen["rows"]), columns)
-    return found.select("doc_id", *columns, "tokens", "probability", (uniform(F.col("doc_id")) < F.col("probability")).alias("kept"), *carry)
+    found = rows.join(small(chance, seen["rows"], (seen["bytes"] or 0) // max(1, seen["rows"]) + 16), columns)
+    return found.select("doc_id", *columns, "tokens", "probability", (uniform(F.col("doc_id")) < F.col("probability")).alias("kept"), *[quoted(c) for c in carry])

@@ -75,13 +75,13 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     for i, j in T.slices(offsets, SLICE):
         part = data[offsets[i] : offsets[j]]
         starts, ends, first = T.words(part, offsets[i : j + 1] - offsets[i])
-        prefix = T.prefix_hash(T.word_hashes(part, starts, ends))
-        grams = T.gram_hash(prefix, width)
+        values = T.word_hashes(part, starts, ends)
+        grams = T.run_hash(values, width)
         for a, b in zip(first[:-1], first[1:], strict=True):
             if b - a >= width:
                 yield np.unique(grams[a : b - width + 1])
             elif b > a:  # fewer words: the whole sequence
-                yield T.range_hash(prefix, np.array([a]), np.array([b]))
+                yield T.run_hash(values[a:b], int(b - a))
             else:
                 yield np.zeros(0, dtype=np.uint64)
 
@@ -186,7 +186,7 @@ def _verify(width: int, threshold: Fraction):
 def _verified(docs: DataFrame, pairs: DataFrame, n_pairs: int, width: int, threshold: Fraction) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold. Only texts of documents in pairs move."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(small(ids, 2 * n_pairs), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(small(ids, 2 * n_pairs, 8), "doc_id", "left_semi")
     joined = (
         pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -281,8 +281,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
         if found["rows"]:
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
 
-    home = classes.select("n_shingles", "s1", "s2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    home = home.select("n_shingles", "s1", "s2", F.coalesce("root", "rep").alias("component_id"))
-    found = signed.select("doc_id", "n_shingles", "s1", "s2").join(home, ["n_shingles", "s1", "s2"], "left")
+    home = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    home, seen = materialise(home.select("n_shingles", "s1", "s2", F.coalesce("root", "rep").alias("component_id")))
+    found = signed.select("doc_id", "n_shingles", "s1", "s2").join(small(home, seen["rows"], 32), ["n_shingles", "s1", "s2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._tables import materialise, partitions
+from ._tables import materialise
 
 KMER = 8
 SAMPLES = 64
@@ -68,8 +68,7 @@ def selected(values: np.ndarray) -> np.ndarray:
 def fingerprint(points: np.ndarray) -> np.ndarray:
     """SAMPLES 16-bit numbers of a text given as code points; a text shorter than a k-mer is one k-mer, an empty text none."""
     n = len(points)
-    prefix = T.prefix_hash((points.astype(np.uint64) + np.uint64(1)) * _POINTS)
-    grams = T.gram_hash(prefix, KMER) if n >= KMER else T.range_hash(prefix, np.array([0]), np.array([n]))
+    grams = T.rolling_grams((points.astype(np.uint64) + np.uint64(1)) * _POINTS, min(n, KMER)) if n else np.zeros(1, dtype=np.uint64)
     at, values = numbered(grams)
     chosen = np.sort(at[selected(values)], axis=1)
     found = _SALT.copy()
@@ -166,18 +165,22 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     Returns one row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint
     (hex of SAMPLES 16-bit numbers), near_edited, near_next (share of equal numbers).
     """
-    n = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
-    dealt = rows.repartitionByRange(n, order[0]).sortWithinPartitions(*order)
+    # rows that share an id are dealt by the start of their texts
+    dealt = rows.repartitionByRange(order[0], F.substring("text", 1, 16)).sortWithinPartitions(*order)
     found, _ = materialise(dealt.mapInArrow(_inside, _INSIDE))
 
     # one row for each range of ids: its first text, and its last document
     ends = found.where("first_text is not null or last_text is not null").select("part", "first_text", "last_text", "doc_id")
     ends = ends.groupBy("part").agg(F.max("first_text").alias("first_text"), F.max("last_text").alias("last_text"), F.max("doc_id").alias("doc_id"))
+    ends, _ = materialise(ends)
+    # only the numbers of the ranges are put in order; their texts meet by a join
     along = Window.orderBy("part")
-    following = F.coalesce(F.lead("first_text").over(along), F.first("first_text").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    across = ends.select("doc_id", "last_text", following.alias("next_text")).repartition(n).mapInArrow(_between, f"doc_id long, {_OUT}")
+    numbers = ends.select("part", F.coalesce(F.lead("part").over(along), F.first("part").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next_part"))
+    firsts = ends.select(F.col("part").alias("next_part"), F.col("first_text").alias("next_text"))
+    across = ends.select("part", "doc_id", "last_text").join(numbers, "part").join(firsts, "next_part").select("doc_id", "last_text", "next_text")
+    across = across.mapInArrow(_between, f"doc_id long, {_OUT}")
 
     done = found.where("first_text is null and last_text is null").drop("part", "first_text", "last_text").unionByName(across)
     return done.select(

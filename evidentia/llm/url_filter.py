@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import materialise
+
 #: One of these rejects.
 STRICT = ("casino", "porn", "porno", "xxx", "viagra", "cialis", "sexcam", "escort", "jackpot", "malware", "phishing", "warez", "spam")
 #: SOFT_HITS different ones of these reject.
 SOFT = ("cheap", "pills", "pharmacy", "loan", "loans", "payday", "bonus", "win", "winner", "free", "bet", "betting", "poker", "slots", "dating", "adult", "replica", "discount", "crack", "torrent", "clickbait", "seo", "backlinks", "farm", "lottery", "sexy")
 SOFT_HITS = 2
-#: A longer list of rules belongs in a table and a join; a list of this length is one expression.
-MOST_RULES = 2_000
+#: Rules up to this number are one expression; more of them are joined to the suffixes of the hosts, with the same result.
+INLINE_RULES = 200
 
 
 @dataclass(frozen=True)
@@ -48,8 +50,6 @@ def path_of(url: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """The longest rule that fits, as struct(place, allow), else null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     found = F.lit(None).cast("struct<place:string,allow:boolean>")
     for rule in sorted(rules, key=lambda r: (len(r.place), r.place)):  # a longer one overrides
         fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
@@ -57,6 +57,18 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
+def _joined_rules(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """rows with __rule, as rule_of() gives it, for any number of rules: each host meets the rules of its own
+    suffixes, and the longest of those whose path fits is kept. A host has few suffixes, so nothing grows."""
+    listed = rows.sparkSession.createDataFrame([(r.host, r.path, r.place, r.allow) for r in rules], "__host string, __path string, place string, allow boolean").dropDuplicates(["place"])
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    numbered = rows.withColumn("__row", F.struct(F.monotonically_increasing_id(), F.spark_partition_id()))
+    met = numbered.select("__row", "host", "path", F.explode(suffixes).alias("__host")).join(listed, "__host").where(F.col("path").startswith(F.col("__path")))
+    best = met.groupBy("__row").agg(F.max_by(F.struct("place", "allow"), F.struct(F.length("place"), "place")).alias("__rule"))
+    return numbered.join(best, "__row", "left").drop("__row")
+
+
 def automaton(strict: Sequence[str], soft: Sequence[str]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for term in soft:
@@ -100,7 +112,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = (), strict: Sequence[st
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     rows = rows.mapInArrow(_counts(strict, soft), "page_id long, url string, strict_terms array<string>, soft_terms array<string>")
     rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "strict_terms", "soft_terms")
-    rows = rows.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
+    rows = rows.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules)) if len(rules) <= INLINE_RULES else _joined_rules(materialise(rows)[0], rules)
     bad = (F.size("strict_terms") > 0) | (F.size("soft_terms") >= soft_hits)
     allowed = F.coalesce(F.col("__rule.allow"), ~bad)
     return rows.select("page_id", "host", "path", F.col("__rule.place").alias("rule"), F.when(allowed, "allow").otherwise("block").alias("verdict"), "strict_terms", "soft_terms")

@@ -61,6 +61,7 @@ def test_passages(spark, group, monkeypatch):
 def test_bytes_in_shuffled_windows(spark, monkeypatch):
     monkeypatch.setattr(_repeats, "GROUP", 2)
     monkeypatch.setattr(_repeats, "PIECE", 1 << 10)
+    monkeypatch.setattr(_repeats, "SORTED", 1 << 12)
     rows = H.corpus(4)
     got = H.by_id(remove_repeated_bytes(H.docs(spark, rows), length=200))
     assert {i: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for i, r in got.items()} == H.brute_bytes(rows, 200)

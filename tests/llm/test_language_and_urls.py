@@ -1,7 +1,14 @@
 """Language identification by held-out accuracy; url verdicts by cases."""
 
+import math
 import random
+import types
 import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
 
 from evidentia.llm import language_id as L
 from evidentia.llm import url_filter as U
@@ -33,41 +40,60 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
-def test_scores_are_naive_bayes(spark):
-    """Against sums over n-grams one by one."""
-    import math
+def plain_grams(text):
+    """The n-grams of a text as strings, one by one."""
+    low = text.lower()
+    return [low[i : i + k] for k in L.ORDERS for i in range(len(low) - k + 1)]
 
-    import numpy as np
 
-    rows = rows_of(2, 40)
-    docs = H.docs(spark, rows)
-    langs, matrix = L.fit(docs)
-    got = H.by_id(L.identify(docs, (langs, matrix)))
-    for i, text, *_ in rows[:5]:
-        raw = np.frombuffer(text.encode().lower(), dtype=np.uint8)
-        total = np.zeros(len(langs))
-        for order in L.ORDERS:
-            for k in range(len(raw) - order + 1):
-                piece = raw[k : k + order]
-                grams, _ = list(L._buckets(piece, np.array([0, order])))[order - 1]
-                total += matrix[:, grams[0]]
-        best = int(total.argmax())
-        assert got[i].lang_pred == langs[best]
-        assert math.isclose(got[i].score, 1 / np.exp(total - total.max()).sum(), rel_tol=1e-3, abs_tol=1e-6)
+def bucket(gram):
+    return int(dict(L.buckets(np.array([ord(c) for c in gram], dtype=np.uint32)))[len(gram)][0])
 
 
-def test_scores_do_not_depend_on_the_batch():
-    import types
+@pytest.mark.parametrize("piece", [1 << 17, 64])
+def test_scores_are_naive_bayes(spark, piece, monkeypatch):
+    """Counts, smoothing, priors and posteriors against dictionaries of strings, with texts in one piece and in many."""
+    monkeypatch.setattr(L, "PIECE", piece)
+    rows = rows_of(2, 40) + [(77, "Größe und ÉTÉ où 東京 " * 20, "de", "s", 0)]
+    docs = H.docs(spark, rows)
+    model = L.fit(docs)
+    assert model.langs == sorted(WORDS)
+    counts = {lang: Counter(bucket(g) for _, text, x, *_ in rows if x == lang for g in plain_grams(text)) for lang in model.langs}
+    share = Counter(r[2] for r in rows)
+    log_p = {}
+    for k, lang in enumerate(model.langs):
+        total = sum(counts[lang].values()) + 0.5 * L.BUCKETS
+        log_p[lang] = lambda b, c=counts[lang], t=total: math.log((c[b] + 0.5) / t)
+        assert all(math.isclose(model.matrix[k, b], log_p[lang](b)) for b in range(0, L.BUCKETS, 97))
+        assert math.isclose(model.priors[k], math.log(share[lang] / len(rows)))
+    got = H.by_id(L.identify(docs, model))
+    for i, text, *_ in [*rows[:5], rows[-1]]:
+        grams = [bucket(g) for g in plain_grams(text)]
+        total = np.array([sum(map(log_p[x], grams)) for x in model.langs])
+        judged = total + model.priors
+        best = int(judged.argmax())
+        assert got[i].lang_pred == model.langs[best] and got[i].grams == len(grams)
+        assert math.isclose(got[i].score, 1 / np.exp(judged - judged.max()).sum(), rel_tol=1e-3, abs_tol=1e-6)
+        assert math.isclose(got[i].likelihood, total[best] / len(grams), rel_tol=1e-5)
+
+
+def test_many_labels(spark):
+    """More labels than a task holds at once; equal scores go to the first by name."""
+    rows = [(i, f"word{i} " * 5, f"l{i:04}", "s", 0) for i in range(700)]
+    docs = H.docs(spark, rows)
+    got = H.by_id(L.identify(docs, L.fit(docs)))
+    assert sum(got[i].lang_pred == f"l{i:04}" for i in range(700)) > 650
+    same = H.docs(spark, [(1, "same", "b", "s", 0), (2, "same", "a", "s", 0), (2, "same", None, "s", 0), (None, "same", None, None, None)])
+    assert {r.lang_pred for r in L.identify(same, L.fit(same)).collect()} == {"a"}
 
-    import numpy as np
-    import pyarrow as pa
 
+def test_scores_do_not_depend_on_the_batch():
     rng = np.random.default_rng(1)
     one = rng.normal(-8, 2, L.BUCKETS)
     table = np.array([one, one + rng.normal(0, 0.01, L.BUCKETS)], dtype=np.float32)
-    score = L._score(["x", "y"], types.SimpleNamespace(value=table))
+    score = L._score(["x", "y"], np.zeros(2), types.SimpleNamespace(value=table))
     last = lambda texts: list(score(iter([pa.RecordBatch.from_pydict({"text": texts})])))[0].column("score")[-1].as_py()
-    assert abs(last(["the house of words " * 12_000, "a short text"]) - last(["a short text"])) < 1e-6
+    assert last(["the house of words " * 12_000, "a short text"]) == last(["a short text"])
 
 
 def test_nothing_learned(spark):
@@ -102,3 +128,19 @@ def test_urls(spark):
     got = H.by_id(U.judge_urls(df, rules), "page_id")
     for i, (url, want) in enumerate(cases.items()):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == want, url
+
+
+def test_many_rules_are_joined(spark, monkeypatch):
+    rules = [U.Rule(f"h{i}.example.org/{'x/' * (i % 3)}", i % 2 == 0) for i in range(60)] + [U.Rule("org/", False), U.Rule("example.org/x/", True)]
+    urls = [f"http://a.h{i}.example.org/{'x/' * (i % 4)}y" for i in range(60)] * 2 + ["http://b.org/", "http://b.com/x", "", None, "http://example.org/x/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    inline = U.judge_urls(df, rules).collect()
+    monkeypatch.setattr(U, "INLINE_RULES", 5)
+    assert sorted(map(str, U.judge_urls(df, rules).collect())) == sorted(map(str, inline))
+
+
+def test_odd_pages(spark):
+    assert U.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    rows = [(1, "http://x.com/", 5), (1, "http://x.com/", 6), (None, "http://y.com/", 7), (None, None, None)]
+    got = U.judge_urls(spark.createDataFrame(rows, "page_id long, url string, `rule.x` int")).collect()
+    assert len(got) == 4 and {r.verdict for r in got} == {"allow"}
