@@ -204,10 +204,11 @@ def identify(docs: DataFrame, model: Model, with_text: bool = False, **carry: Co
     The matrix is broadcast: 4 bytes for each label and bucket. Texts of any length are scored whole, in pieces.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.matrix.astype(np.float32))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(k) for k, c in carry.items()])
+    # mapInArrow doesn't take names with dots
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(f"carried_{k}") for k, c in enumerate(carry.values())])
     score = _score(model.langs, model.priors, shared)
     found = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("likelihood", DoubleType()), StructField("grams", LongType())]
-    out = rows.mapInArrow(score, StructType([*rows.schema.fields, *found]))
+    out = rows.mapInArrow(score, StructType([*rows.schema.fields, *found])).toDF("doc_id", "text", *carry, *[f.name for f in found])
     return out if with_text else out.drop("text")
 
 

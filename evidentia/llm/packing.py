@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,15 +26,6 @@ REMEMBERED = 2_000_000
 END = 1
 
 
-#: Words that are one run of letters and one of marks to tokenizers that lower the case and spell bytes
-#: as signs. Other words, and CHECKED of these in each call, go through the whole tokenizer.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
-CHECKED = 50
-#: Signs of the bytes: printable bytes are their own, the others follow from 256 on.
-_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-
-
 class WordTokens:
     """Token ids of words, each distinct word tokenised once. Words end at white space, and so do the
     tokens of this kind of vocabulary, so a text's ids are the ids of its words.
@@ -50,7 +40,6 @@ class WordTokens:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         (self.separator,) = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
-        self.model, self.marks, self.plain = self.tokenizer.model, {}, True
         self.clear()
 
     def clear(self) -> None:
@@ -61,28 +50,11 @@ class WordTokens:
 
     def _tokenise(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each has."""
-        found = [None if (m := _PLAIN.match(w)) is None else self._plain(*m.groups()) for w in words] if self.plain else [None] * len(words)
-        rest = [k for k, x in enumerate(found) if x is None]
-        sample = [k for k, x in enumerate(found) if x is not None][:CHECKED]
-        for k, x in zip((*rest, *sample), self._whole([words[k] for k in (*rest, *sample)]), strict=True):
-            if found[k] is not None and found[k] != x:
-                self.plain = False  # not such a tokenizer
-                return self._tokenise(words)
-            found[k] = x
+        found = self._whole(words)
         return np.array([x for y in found for x in y], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
 
-    def _plain(self, letters: str, marks: str) -> list[int]:
-        """Ids of letters that need no other treatment than lower case, and of marks after them."""
-        low = letters.lower()
-        out = [t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_SIGNS))]
-        if marks:
-            if marks not in self.marks:
-                self.marks[marks] = [t.id for t in self.model.tokenize(marks)]
-            out += self.marks[marks]
-        return out
-
     def _whole(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word by the whole tokenizer, many words in one text."""
+        """Ids of each word, many words in one text."""
         out: list[list[int]] = []
         for k in range(0, len(words), 200):
             part = words[k : k + 200]

@@ -72,4 +72,3 @@ def test_word_tokens_are_the_tokenizers():
         ids, bounds = words.encode(data, offsets)
         for k, text in enumerate(texts):
             assert ids[bounds[k] : bounds[k + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
-    assert words.plain

@@ -34,7 +34,8 @@ def test_prefixes(kind, monkeypatch):
 def test_long_words_are_hashed_in_parts():
     data = np.frombuffer(b"x " + b"abc" * 1000 + b" y", dtype=np.uint8)
     starts, ends, _ = T.words(data, np.array([0, len(data)]))
-    assert (T.word_hashes(data, starts, ends, piece=100) == T.word_hashes(data, starts, ends)).all()
+    assert (T.long_word_hashes(data, starts, ends, piece=100) == T.long_word_hashes(data, starts, ends)).all()
+    assert len(set(T.word_hashes(np.frombuffer(b"a a\0 a\0\0 aaaaaaaa aaaaaaaa\0 aaaaaaaaa", dtype=np.uint8), np.array([0, 2, 5, 9, 18, 28]), np.array([1, 4, 8, 17, 27, 37])).tolist())) == 6
 
 
 @pytest.mark.parametrize("n", [1024, 2048])
