@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ._tables import materialise, quoted, small
 
-#: Sweeps over all marginals in one job, and the largest relative error at which fitting stops.
+#: Sweeps over all marginals in one job, and the largest relative change of a weight in a sweep at which fitting stops.
 SWEEPS = 4
 TOLERANCE = 1e-9
-#: Jobs at most; marginals that contradict each other have no exact fit.
-MOST_JOBS = 25
+#: Jobs at most, and by how much a marginal may be missed without a warning.
+MOST_JOBS, LOOSE = 25, 1e-6
 #: Cells up to this number are fitted in one task, more of them in a shuffle for each marginal.
 LOCAL_CELLS = 100_000
 #: A weight grows to this multiple of its bound at most where bounded marginals contradict each other.
@@ -102,18 +102,20 @@ def rake(
         for sweep in range(SWEEPS):
             for k, column in enumerate(columns):
                 to, now = F.col(f"__to_{column}"), F.sum(held).over(Window.partitionBy(column))
-                if sweep == SWEEPS - 1 and k == 0:  # by how much the marginals were missed before the last sweep
+                if sweep == SWEEPS - 1 and k == 0:  # what the last sweep starts from, and by how much the first marginal is missed there
+                    state = state.withColumn("__before", held)
                     state = state.withColumn("__off", F.when(to > 0, F.abs(now / to - 1)).otherwise(F.lit(0.0)))
                 if wanted is None:
                     state = state.withColumn("weight", F.when(now > 0, F.col("weight") * to / now).otherwise(F.lit(0.0)))
                 else:
                     state = _scaled(state, [column], "weight", "__cap", to, columns)
-        weighted, seen = materialise(state, off=F.max("__off"))
-        weighted = weighted.drop("__off")
-        if not seen["off"] or seen["off"] <= TOLERANCE:
+        moved = F.abs(held - F.col("__before")) / F.greatest(held, F.lit(1e-300))
+        weighted, seen = materialise(state, off=F.max("__off"), moved=F.max(moved))
+        weighted = weighted.drop("__off", "__before")
+        if not seen["moved"] or seen["moved"] <= TOLERANCE:
             break
-    else:
-        warnings.warn(f"marginals contradict each other: one is missed by {seen['off']:.2%}", stacklevel=2)
+    if seen["off"] and seen["off"] > LOOSE:
+        warnings.warn(f"marginals contradict each other under their bounds: one is missed by {seen['off']:.2%}", stacklevel=2)
     return weighted.select(*columns, "tokens", held.alias("weight"))
 
 

@@ -126,6 +126,47 @@ def _url_sql() -> str:
     FROM ruled"""
 
 
+def _mixing_sql(fraction: float, sweeps: int) -> str:
+    """Raking under the bound that no cell gives more than its tokens. A factor for amounts of a group, so that
+    the sum of least(amount * factor, cap) is a target, is the largest at which the first k amounts (in order of
+    amount / cap) times the factor and the caps of the others meet the target."""
+    columns = ("source", "lang", "topic")
+
+    def target(c: str) -> str:
+        # a value's target is no more than all its tokens; the other values take the rest
+        return f"""
+    wish_{c} AS (SELECT {c}, sqrt(sum(tokens)) / sum(sqrt(sum(tokens))) OVER () AS wish, sum(tokens) / (SELECT wanted FROM size) AS held FROM cells GROUP BY {c}),
+    line_{c} AS (
+      SELECT *, (least(1.0, sum(held) OVER ()) - (sum(held) OVER () - sum(held) OVER upto)) / sum(wish) OVER upto AS line
+      FROM wish_{c} WINDOW upto AS (ORDER BY wish / held, {c} ROWS UNBOUNDED PRECEDING)),
+    to_{c} AS (SELECT {c}, least(wish * greatest(max(line) OVER (), 0.0), held) AS to_{c} FROM line_{c})"""
+
+    fitted = "(SELECT * FROM fit WHERE it < {sweeps})".format(sweeps=sweeps)
+    for c in columns:
+        fitted = f"""(
+        SELECT * REPLACE (least(weight * coalesce(max(line) OVER (PARTITION BY {c}), 0.0), cap * 1e12) AS weight) FROM (
+          SELECT * REPLACE ((to_{c} - (sum(cap) OVER (PARTITION BY {c}) - sum(cap) OVER upto)) / nullif(sum(weight) OVER upto, 0.0) AS line)
+          FROM {fitted} WINDOW upto AS (PARTITION BY {c} ORDER BY weight / cap, source, lang, topic ROWS UNBOUNDED PRECEDING)))"""
+    return f"""
+    WITH RECURSIVE docs AS (
+      SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+        CASE WHEN contains(text, ' | ') THEN 'table' WHEN regexp_matches(text, '[0-9]') THEN 'record'
+          WHEN strlen(coalesce(text, '')) < 500 THEN 'note' ELSE 'prose' END AS topic,
+        greatest(ceil(strlen(coalesce(text, '')) / 4), 1)::BIGINT AS tokens
+      FROM documents),
+    cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL),
+    size AS (SELECT {fraction} * sum(tokens) AS wanted FROM cells),{",".join(map(target, columns))},
+    fit AS (
+      SELECT 0 AS it, source, lang, topic, tokens, tokens / (SELECT wanted FROM size) AS cap, tokens AS weight, 0.0::DOUBLE AS line, to_source, to_lang, to_topic
+      FROM cells JOIN to_source USING (source) JOIN to_lang USING (lang) JOIN to_topic USING (topic)
+      UNION ALL
+      SELECT it + 1, source, lang, topic, tokens, cap, weight, line, to_source, to_lang, to_topic FROM {fitted}),
+    chance AS (SELECT source, lang, topic, least(least(weight, cap) / cap, 1.0) AS p FROM fit WHERE it = {sweeps})
+    SELECT doc_id, source, lang, topic, tokens, round(p, 4) AS probability,
+      ('0x' || substr(sha256(doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 < p AS kept
+    FROM docs JOIN chance USING (source, lang, topic)"""
+
+
 ORACLES: dict[str, str] = {
     "op3_chat_format": f"""
     WITH turns AS (
@@ -147,25 +188,5 @@ ORACLES: dict[str, str] = {
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
     FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
-    "op10_mixing": f"""
-    WITH RECURSIVE docs AS (
-      SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
-        CASE WHEN contains(text, ' | ') THEN 'table' WHEN regexp_matches(text, '[0-9]') THEN 'record'
-          WHEN strlen(coalesce(text, '')) < 500 THEN 'note' ELSE 'prose' END AS topic,
-        greatest(ceil(strlen(coalesce(text, '')) / 4), 1)::BIGINT AS tokens
-      FROM documents),
-    cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL),
-    {", ".join(f"to_{c} AS (SELECT {c}, sqrt(sum(tokens)) / sum(sqrt(sum(tokens))) OVER () AS to_{c} FROM cells GROUP BY {c})" for c in ("source", "lang", "topic"))},
-    fit AS (
-      SELECT 0 AS it, source, lang, topic, tokens, tokens AS weight, to_source, to_lang, to_topic
-      FROM cells JOIN to_source USING (source) JOIN to_lang USING (lang) JOIN to_topic USING (topic)
-      UNION ALL
-      SELECT it + 1, source, lang, topic, tokens, w2 * to_topic / sum(w2) OVER (PARTITION BY topic), to_source, to_lang, to_topic
-      FROM (SELECT *, w1 * to_lang / sum(w1) OVER (PARTITION BY lang) AS w2
-        FROM (SELECT *, weight * to_source / sum(weight) OVER (PARTITION BY source) AS w1 FROM fit WHERE it < 60))),
-    chance AS (
-      SELECT source, lang, topic, least(weight * 0.5 * (SELECT sum(tokens) FROM cells) / tokens, 1.0) AS p FROM fit WHERE it = 60)
-    SELECT doc_id, source, lang, topic, tokens, round(p, 4) AS probability,
-      ('0x' || substr(sha256(doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 < p AS kept
-    FROM docs JOIN chance USING (source, lang, topic)""",
+    "op10_mixing": _mixing_sql(0.5, 100),
 }

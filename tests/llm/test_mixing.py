@@ -79,3 +79,17 @@ def test_full_cells_are_made_up_for(spark):
         for value, share in shares.items():
             assert abs(sum(r.probability * r.tokens for r in found if r[column] == value) / 3000 - share) < 1e-6, (column, value)
     assert all(r.probability <= 1 for r in found)
+
+
+def test_marginals_are_reported(spark):
+    cells = spark.createDataFrame([("a", "x", 3.0), ("a", "y", 1.0), ("b", "x", 4.0)], "source string, lang string, tokens double")
+    targets = {"source": {"a": 0.7, "b": 0.3}, "lang": {"x": 0.8, "y": 0.2}}
+    raked = mixing.rake(cells, ["source", "lang"], 0.5, targets)
+    got = {(r["column"], r["value"]): (round(r.natural, 9), round(r.reached, 9)) for r in mixing.marginals(raked, ["source", "lang"]).collect()}
+    assert got == {("source", "a"): (0.5, 0.7), ("source", "b"): (0.5, 0.3), ("lang", "x"): (0.875, 0.8), ("lang", "y"): (0.125, 0.2)}
+
+
+def test_contradictions_are_reported(spark):
+    cells = spark.createDataFrame([("a", "x", 50.0), ("b", "y", 50.0)], "source string, lang string, tokens double")
+    with pytest.warns(UserWarning, match="missed"):
+        mixing.rake(cells, ["source", "lang"], 0.5, {"source": {"a": 0.7, "b": 0.3}, "lang": {"x": 0.2, "y": 0.8}})
