@@ -47,8 +47,29 @@ def in_window(day: Column, start: Column, end: Column, slack: int = 1) -> Column
     return day.isNull() | day.between(F.date_sub(start, slack), F.date_add(end, slack))
 
 
-def bucket(value: Column, bounds: Sequence[int] = LATENCY) -> Column:
-    found = F.lit(f"{bounds[-1]}+")
-    for bound in reversed(bounds):
-        found = F.when(value < bound, f"<{bound}").otherwise(found)
-    return F.when(value.isNotNull(), found)
+def latency_bucket(value: Column, bounds: Sequence[int] = LATENCY) -> Column:
+    """Name of the range of whole milliseconds a value is in; null for anything but a whole number from 0 on."""
+    found = F.lit(f"{bounds[-1]}ms+")
+    for low, high in reversed(list(zip((0, *bounds), bounds))):
+        found = F.when(value < high, f"{low}-{high - 1}ms").otherwise(found)
+    return F.when((value >= 0) & (value == F.floor(value)), found)
+
+
+def hop_bucket(value: Column, most: int = 20) -> Column:
+    """The number of hops up to most, then most+; null for anything but a whole number from 0 on."""
+    whole = F.when((value >= 0) & (value == F.floor(value)), value.cast("long"))
+    return F.when(whole <= most, whole.cast("string")).when(whole > most, f"{most}+")
+
+
+def hours_since(since: Column, now: Column) -> Column:
+    """Whole hours between two instants."""
+    return F.timestamp_diff("HOUR", since, now)
+
+
+def valid_period(start: Column, end: Column) -> Column:
+    return F.coalesce(start <= end, F.lit(False))
+
+
+def zone_of(raw: Column) -> Column:
+    """The offset or [Zone] that a date text ends in, else null."""
+    return F.nullif(F.regexp_extract(raw, r"\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?\s?(Z|[+-]\d{2}:?\d{2}|\[[A-Za-z_/+-]+\])", 1), F.lit(""))

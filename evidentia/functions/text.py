@@ -1,4 +1,4 @@
-"""Text expressions: normal forms, occurrences, sentences and stated quantities."""
+"""Text expressions: normal forms, occurrences, escapes, tokens and term groups."""
 
 from __future__ import annotations
 
@@ -7,21 +7,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words whose period ends no sentence, and marks that close or open a quotation.
-ABBREVIATIONS = (
-    "mr", "mrs", "ms", "dr", "prof", "st", "no", "vs", "etc", "inc", "ltd", "co", "corp", "jr", "sr",
-    "fig", "approx", "dept", "gov", "rep", "sen", "gen", "lt", "col", "capt", "mt", "ft", "e.g", "i.e", "u.s", "u.k",
-)
-_OPENERS = "\"'(“‘"
-_CLOSERS = "\"')\\]}”’」』）】"
-_CUT = "\u0001"
-
-#: Base unit and factor of measurement units.
-UNITS = {
-    "%": ("percent", 1.0), "km": ("metre", 1000.0), "m": ("metre", 1.0), "cm": ("metre", 0.01), "mm": ("metre", 0.001),
-    "kg": ("kilogram", 1.0), "g": ("kilogram", 0.001), "t": ("kilogram", 1000.0), "l": ("litre", 1.0), "ha": ("square metre", 10_000.0),
-}
-
 
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
@@ -44,73 +29,86 @@ def word_count(text: Column) -> Column:
     return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"\s+")))
 
 
-def _starts(pieces: Column) -> Column:
-    """0-based offset of each piece in the text that the pieces make up."""
-    return F.aggregate(
-        pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.array_append(a["all"], a["at"]).alias("all")),
-    )["all"]
+def occurrence_count(text: Column, needle: str) -> Column:
+    """How often the needle occurs, overlapping occurrences too."""
+    return F.size(F.split(text, "(?=" + re.escape(needle) + ")")) - 1 + text.startswith(needle).cast("int")
 
 
 def occurrences(text: Column, needle: str) -> Column:
-    """0-based offsets of all occurrences, overlapping ones too. The text is cut before each occurrence, in one pass."""
+    """0-based offsets of all occurrences, overlapping ones too, of short texts such as labels and focus passages."""
     pieces = F.split(text, "(?=" + re.escape(needle) + ")")
-    pairs = F.zip_with(pieces, _starts(pieces), lambda p, s: F.struct(p.alias("p"), s.alias("s")))
+    starts = F.aggregate(
+        pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+        lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.array_append(a["all"], a["at"]).alias("all")),
+    )["all"]
+    pairs = F.zip_with(pieces, starts, lambda p, s: F.struct(p.alias("p"), s.alias("s")))
     return F.transform(F.filter(pairs, lambda x, i: (i > 0) | text.startswith(needle)), lambda x: x["s"])
 
 
-def sentences(text: Column) -> Column:
-    """array<struct<id, start, end, text>>: sentences of a text, with code point offsets.
-
-    A newline or a full-width terminator ends a sentence, and so do . ! ? before white space, unless a
-    digit or a-z follows, or the period closes an abbreviation or a single letter. Closing marks stay
-    with their sentence; white space between sentences belongs to none.
-    """
-    short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    closers = f"[{_CLOSERS}]*"
-    ascii_end = rf"(?:[!?]|(?<!(?:^|\s)[{_OPENERS}]{{0,3}}(?:(?i:{short})|\p{{L}}))\.){closers}(?=\s+[^\s0-9a-z]|\s*$)"
-    ends = rf"(\n|[。！？；]{closers}|{ascii_end})"
-    pieces = F.split(F.regexp_replace(text, ends, f"$1{_CUT}"), _CUT)
-    starts = _starts(pieces)
-
-    def place(piece: Column, start: Column) -> Column:
-        bare = F.regexp_replace(piece, r"(?U)^\s+|\s+$", "")
-        begin = start + F.length(piece) - F.length(F.regexp_replace(piece, r"(?U)^\s+", ""))
-        return F.struct(begin.alias("start"), (begin + F.length(bare)).alias("end"), bare.alias("text"))
-
-    found = F.filter(F.zip_with(pieces, starts, place), lambda s: s["text"] != "")
-    return F.transform(found, lambda s, i: F.struct(F.concat(F.lit("S"), i + 1).alias("id"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
-
-
-def number_value(token: Column) -> Column:
-    """Value of a number token, null where its notation is open: 1,234 may be a thousand or a fraction."""
-    plain = F.regexp_like(token, F.lit(r"^\d+$"))
-    grouped = F.regexp_like(token, F.lit(r"^\d{1,3}(,\d{3}){2,}(\.\d+)?$|^\d{1,3},\d{3}\.\d+$"))
-    dotted = F.regexp_like(token, F.lit(r"^\d{1,3}(\.\d{3}){2,}(,\d+)?$|^\d{1,3}\.\d{3},\d+$"))
-    fraction = F.regexp_like(token, F.lit(r"^\d+[.,](\d{1,2}|\d{4,})$|^0[.,]\d+$|^\d{4,}[.,]\d+$"))
-    return (
-        F.when(plain, token.cast("double"))
-        .when(grouped, F.replace(token, F.lit(",")).cast("double"))
-        .when(dotted, F.translate(token, ",.", ".").cast("double"))
-        .when(fraction, F.translate(token, ",", ".").cast("double"))
-    )
-
-
-def quantities(text: Column) -> Column:
-    """array<struct<raw, value, unit>> of the numbers a text states, in base units; unit is null without one."""
-    listed = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
-    raws = F.regexp_extract_all(text, F.lit(rf"((?<![\d.,\p{{L}}])\d+(?:[.,]\d+)*(?:\s?(?:{listed})(?!\p{{L}}))?)"), 1)
-
-    def read(raw: Column) -> Column:
-        unit = F.regexp_extract(raw, r"([^\d.,\s]+)$", 1)
-        base, factor = F.lit(None).cast("string"), F.lit(1.0)
-        for name, (base_name, times) in UNITS.items():
-            base, factor = F.when(unit == name, F.lit(base_name)).otherwise(base), F.when(unit == name, F.lit(times)).otherwise(factor)
-        return F.struct(raw.alias("raw"), (number_value(F.regexp_extract(raw, r"^([\d.,]*\d)", 1)) * factor).alias("value"), base.alias("unit"))
-
-    return F.transform(raws, read)
-
-
-def grounded(written: Column, stated: Column) -> Column:
-    """Whether a written quantity is stated in the evidence: equal value, and no unit or the same one."""
-    return F.exists(stated, lambda s: F.coalesce((F.abs(s["value"] - written["value"]) <= 1e-9 * F.abs(written["value"])) & (written["unit"].isNull() | F.coalesce(s["unit"] == written["unit"], F.lit(False))), F.lit(False)))
+def same_label_spans(text: Column, label: str) -> Column:
+    """array<struct<start, end>> of a label in any case, also where occurrences overlap; none in a text whose length changes in lower case."""
+    low = F.lower(text)
+    starts = F.when(F.length(low) == F.length(text), occurrences(low, label.lower())).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), (s + len(label)).alias("end")))
+
+
+def mixed_script_words(text: Column) -> Column:
+    """Words that hold both Hangul and Han characters."""
+    words = F.regexp_extract_all(text, F.lit(r"([\uac00-\ud7af\u4e00-\u9fff]+)"), 1)
+    return F.filter(words, lambda w: F.regexp_like(w, F.lit(r"[\uac00-\ud7af]")) & F.regexp_like(w, F.lit(r"[\u4e00-\u9fff]")))
+
+
+def escape_link(text: Column) -> Column:
+    """Text inside the brackets of a Markdown link."""
+    return F.regexp_replace(text, r"([\\\[\]])", r"\\$1")
+
+
+def escape_html(text: Column) -> Column:
+    out = text
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(raw), F.lit(safe))
+    return out
+
+
+def safe_token(value: Column, vocabulary: tuple[str, ...] = (), most: int = 96) -> Column:
+    """value where it is a short plain token (of the vocabulary, if one is given), else UNKNOWN; null stays null."""
+    plain = F.regexp_like(value, F.lit(rf"^[A-Za-z0-9_.:/-]{{1,{most}}}$"))
+    good = plain & value.isin(*vocabulary) if vocabulary else plain
+    return F.when(value.isNotNull(), F.when(good, value).otherwise("UNKNOWN"))
+
+
+def places_listed(text: Column) -> Column:
+    """The names in a list of places."""
+    parts = F.split(text, r"\s*(?:[,&/、，與和及]|\band\b)\s*")
+    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+
+
+def or_group(terms: Column, prefix: str = "") -> Column:
+    """(a OR "b c"): terms of several words are quoted, others get the prefix."""
+    shown = F.transform(terms, lambda t: F.when(F.regexp_like(t, F.lit(r"\s")), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(F.concat(F.lit(prefix), t)))
+    return F.concat(F.lit("("), F.array_join(shown, " OR "), F.lit(")"))
+
+
+def packed_terms(terms: Column, room: int) -> Column:
+    """array<array<string>>: terms in order, as few groups as fit; a group's words and the ORs between its terms
+    are no more than room. A term that is longer than that alone is a group of its own."""
+    words = lambda t: F.size(F.split(F.trim(t), r"\s+"))
+    zero = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("used"))
+
+    def step(at, t):
+        fits = (F.size(at["open"]) == 0) | (at["used"] + 1 + words(t) <= room)
+        return F.struct(
+            F.when(fits, at["done"]).otherwise(F.array_append(at["done"], at["open"])).alias("done"),
+            F.when(fits, F.array_append(at["open"], t)).otherwise(F.array(t)).alias("open"),
+            F.when(fits & (F.size(at["open"]) > 0), at["used"] + 1 + words(t)).otherwise(words(t)).alias("used"),
+        )
+
+    return F.aggregate(terms, zero, step, lambda at: F.when(F.size(at["open"]) > 0, F.array_append(at["done"], at["open"])).otherwise(at["done"]))
+
+
+def filled(template: Column, **values: Column) -> Column:
+    """The template with {name} replaced; white space collapsed."""
+    out = template
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return collapse(out)

@@ -23,9 +23,12 @@ def strip_tracking(url: Column) -> Column:
 
 
 def identity_form(url: Column) -> Column:
-    """Lower-case scheme and authority, no slash at the end of the path, query kept, no fragment."""
-    path = F.regexp_replace(_part(url, 3), "/+$", "")
-    return F.concat(F.lower(_part(url, 1)), F.lit("://"), F.lower(_part(url, 2)), path, _part(url, 4))
+    """Lower-case scheme and authority, no slash at the end of the path (but / for the root), query kept, no
+    fragment; empty for anything but http and https with a host."""
+    bare = F.trim(url)
+    path = F.regexp_replace(_part(bare, 3), "/+$", "")
+    whole = F.concat(F.lower(_part(bare, 1)), F.lit("://"), F.lower(_part(bare, 2)), F.when(path == "", "/").otherwise(path), F.when(_part(bare, 4) == "?", "").otherwise(_part(bare, 4)))
+    return F.when(F.lower(_part(bare, 1)).isin("http", "https") & (_part(bare, 2) != ""), whole).otherwise("")
 
 
 def host(url: Column) -> Column:

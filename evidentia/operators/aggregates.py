@@ -58,10 +58,13 @@ def one_or_conflict(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def unresolved_claims(claims: DataFrame, group: str, claim: str, value: str, member: str) -> DataFrame:
-    """Claims of a group on which members differ: group, claim, and the sorted distinct values with the least member that states each."""
-    stated = claims.where(F.col(value).isNotNull()).groupBy(group, claim, value).agg(F.min(member).alias("member"))
-    found = stated.groupBy(group, claim).agg(F.count(F.lit(1)).alias("versions"), F.sort_array(F.collect_list(F.struct("member", value))).alias("stated"))
-    return found.where("versions > 1")
+    """Claims of a group on which members differ: group, claim, versions (distinct values), and all (member, value)
+    sorted. Claims with one version are dropped before anything is collected; what is left is as long as the group."""
+    stated = claims.where(F.col(value).isNotNull())
+    split = stated.groupBy(group, claim).agg(F.min(value).alias("__least"), F.max(value).alias("__most")).where("__least <> __most").select(group, claim)
+    return stated.join(split, [group, claim]).groupBy(group, claim).agg(
+        F.count_distinct(value).alias("versions"), F.sort_array(F.collect_list(F.struct(member, value))).alias("stated")
+    )
 
 
 def pair_scores(rows: DataFrame, group: str, label: str) -> DataFrame:
@@ -89,9 +92,12 @@ def stage_counts(**stages: DataFrame) -> DataFrame:
 def roll_up(rows: DataFrame, sets: Sequence[Sequence[str]], **measures: Column) -> DataFrame:
     """Grouping sets: one aggregation with null in the columns that a set leaves out, and grouping_set (its position)."""
     names = list(dict.fromkeys(c for one in sets for c in one))
-    copies = F.array(*[F.struct(F.lit(i).alias("grouping_set"), *[(F.col(c) if c in one else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in names]) for i, one in enumerate(sets)])
-    kept = rows.withColumn("__set", F.explode(copies))
-    return kept.groupBy("__set").agg(*[c.alias(k) for k, c in measures.items()]).select("__set.*", *measures)
+    columns = [F.col(c) for c in names]
+    out = rows.groupingSets([[F.col(c) for c in one] for one in sets], *columns).agg(F.grouping_id(*columns).alias("__id"), *[c.alias(k) for k, c in measures.items()])
+    number = F.lit(None).cast("int")
+    for i, one in enumerate(sets):  # a bit is set for each column that the set leaves out
+        number = F.when(F.col("__id") == sum(1 << (len(names) - 1 - k) for k, c in enumerate(names) if c not in one), F.lit(i)).otherwise(number)
+    return out.select(number.alias("grouping_set"), *names, *measures)
 
 
 def ordinal(value: Column, order: Mapping[str, int] | Sequence[str]) -> Column:

@@ -78,8 +78,8 @@ def components(edges: DataFrame) -> DataFrame:
         found, seen = written(moved, moves=F.count_if("changed"))
         roots = found.select("node", "root")
         if not seen["moves"]:
-            break
-    return roots
+            return roots
+    raise RuntimeError(f"components aren't complete after {MOST_ROUNDS} rounds")
 
 
 def _complete_link(ids: Sequence, same: set) -> list[list]:

@@ -6,9 +6,7 @@ events, nations and regions their places, events a request log, documents and pa
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, text, urls
@@ -16,23 +14,9 @@ from ..operators import aggregates as agg
 from ..operators import constraints, dedup, entities, lookup, proposals, temporal
 from ..sources import html
 from ..sources.tables import table
-from ..streaming import ledger, weekly
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
+from ..streaming import weekly
+from . import delivery, prose  # noqa: F401
+from ._register import ORACLES, QUERIES, query  # noqa: F401
 
 REPORT_START, REPORT_END = "1997-03-10", "1997-03-16"
 ALLOWED_REGIONS = ("ASIA", "EUROPE", "AMERICA")
@@ -54,7 +38,7 @@ def candidate_ids(spark, d):
 
 @query("""
 SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1))
-  || regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') || regexp_extract(url, '(\\?[^#]*)', 1) AS identity_url FROM pages""")
+  || coalesce(nullif(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', ''), ''), '/') || regexp_extract(url, '(\\?[^#]*)', 1) AS identity_url FROM pages""")
 def url_identity_form(spark, d):
     return table(spark, d, "pages").select("page_id", urls.identity_form(F.col("url")).alias("identity_url"))
 
@@ -163,16 +147,25 @@ def publication_window(spark, d):
 
 
 @query("""
-SELECT event_id, CASE WHEN value < 10 THEN '<10' WHEN value < 50 THEN '<50' WHEN value < 100 THEN '<100' WHEN value < 250 THEN '<250' WHEN value < 500 THEN '<500'
-  WHEN value < 1000 THEN '<1000' WHEN value < 5000 THEN '<5000' WHEN value < 10000 THEN '<10000' WHEN value IS NOT NULL THEN '10000+' END AS bucket FROM events""")
+WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value - 20 ELSE round(value * 40) END AS ms FROM events)
+SELECT event_id, CASE WHEN ms < 0 OR ms <> floor(ms) THEN NULL WHEN ms < 10 THEN '0-9ms' WHEN ms < 50 THEN '10-49ms' WHEN ms < 100 THEN '50-99ms' WHEN ms < 250 THEN '100-249ms'
+  WHEN ms < 500 THEN '250-499ms' WHEN ms < 1000 THEN '500-999ms' WHEN ms < 5000 THEN '1000-4999ms' WHEN ms < 10000 THEN '5000-9999ms' WHEN ms IS NOT NULL THEN '10000ms+' END AS bucket FROM e""")
 def latency_buckets(spark, d):
-    return table(spark, d, "events").select("event_id", dates.bucket(F.col("value")).alias("bucket"))
+    ms = F.when(F.col("event_id") % 3 == 0, F.col("value") - 20).otherwise(F.round(F.col("value") * 40))
+    return table(spark, d, "events").select("event_id", dates.latency_bucket(ms).alias("bucket"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN h < 0 THEN NULL WHEN h <= 20 THEN h::VARCHAR ELSE '20+' END AS bucket
+FROM (SELECT l_orderkey, l_linenumber, l_linenumber * 4 - 5 AS h FROM lineitem)""")
+def hop_buckets(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", dates.hop_bucket(F.col("l_linenumber") * 4 - 5).alias("bucket"))
 
 
 @query("""
 WITH f AS (
   SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS raw, CASE o_orderstatus WHEN 'F' THEN 'NOTICE_PUBLISHED' WHEN 'O' THEN 'ORIGINAL_PUBLICATION' ELSE 'MODIFIED' END AS kind FROM orders
-  UNION ALL SELECT l_orderkey, strftime(l_shipdate, '%Y-%m-%dT10:00:00Z'), CASE WHEN l_returnflag = 'R' THEN 'NOTICE_PUBLISHED' WHEN l_returnflag = 'A' THEN 'NOTICE_ISSUED' ELSE 'EVENT_DATE' END FROM lineitem WHERE l_linenumber = 1),
+  UNION ALL SELECT l_orderkey, strftime(l_shipdate, '%Y-%m-%dT10:00:00Z'), CASE WHEN l_returnflag = 'R' THEN 'NOTICE_PUBLISHED' WHEN l_returnflag = 'A' THEN 'NOTICE_ISSUED' ELSE 'EVENT_DATE' END FROM lineitem),
 c AS (SELECT o_orderkey AS k, CASE WHEN o_orderpriority LIKE '1%' THEN 'notice' WHEN o_orderpriority LIKE '2%' THEN 'unknown' ELSE 'other' END AS st,
   date_trunc('month', o_orderdate)::DATE AS ps, last_day(o_orderdate) AS pe FROM orders),
 r AS (SELECT c.*, f.raw[1:10]::DATE AS day, CASE
@@ -190,7 +183,7 @@ def temporal_decision(spark, d):
         kind = F.when(F.col("o_orderstatus") == status, name).otherwise(kind)
     facts = orders.select(F.col("o_orderkey").alias("candidate_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("raw"), kind.alias("kind"))
     shipped = F.when(F.col("l_returnflag") == "R", "NOTICE_PUBLISHED").when(F.col("l_returnflag") == "A", "NOTICE_ISSUED").otherwise("EVENT_DATE")
-    facts = facts.unionByName(items.where("l_linenumber = 1").select(F.col("l_orderkey").alias("candidate_id"), F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("T10:00:00Z")).alias("raw"), shipped.alias("kind")))
+    facts = facts.unionByName(items.select(F.col("l_orderkey").alias("candidate_id"), F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("T10:00:00Z")).alias("raw"), shipped.alias("kind")))
     priority, day = F.substring("o_orderpriority", 1, 1), _day(F.col("o_orderdate"))
     candidates = orders.select(
         F.col("o_orderkey").alias("candidate_id"), F.when(priority == "1", "notice").when(priority == "2", "unknown").otherwise("other").alias("source_type"),
@@ -278,12 +271,12 @@ def canonical_member(spark, d):
 
 
 @query(f"""
-WITH {_MEMBERS}, s AS (SELECT event_key, o_orderpriority AS value, min(o_orderkey) AS member FROM m GROUP BY ALL)
-SELECT event_key, count(*) AS versions, string_agg(member || '=' || value, ';' ORDER BY member, value) AS stated FROM s GROUP BY event_key HAVING count(*) > 1""")
+WITH {_MEMBERS}, s AS (SELECT event_key, o_orderpriority AS value, o_orderkey AS member FROM m)
+SELECT event_key, count(DISTINCT value) AS versions, string_agg(member || '=' || value, ';' ORDER BY member, value) AS stated FROM s GROUP BY event_key HAVING count(DISTINCT value) > 1""")
 def unresolved_claims(spark, d):
     claims = _members(spark, d).select("event_key", F.lit("priority").alias("claim"), F.col("o_orderpriority").alias("value"), "o_orderkey")
     found = agg.unresolved_claims(claims, "event_key", "claim", "value", "o_orderkey")
-    return found.select("event_key", "versions", F.array_join(F.transform("stated", lambda s: F.concat(s["member"], F.lit("="), s["value"])), ";").alias("stated"))
+    return found.select("event_key", "versions", F.array_join(F.transform("stated", lambda s: F.concat(s["o_orderkey"], F.lit("="), s["value"])), ";").alias("stated"))
 
 
 # ---- audit
@@ -408,11 +401,11 @@ def region_eligibility(spark, d):
 
 
 @query("""
-WITH named AS (SELECT doc_id, item_id FROM documents, (SELECT item_id, left(text, 40) AS name FROM benchmark) b WHERE contains(text, name))
+WITH named AS (SELECT doc_id, item_id FROM documents, (SELECT item_id, text AS name FROM benchmark) b WHERE contains(text, name))
 SELECT doc_id, count(DISTINCT item_id) AS names, min(item_id) AS first_name FROM named GROUP BY doc_id""")
 def contained_names(spark, d):
-    """Documents and the dictionary names in them."""
-    names = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("name"))
+    """Documents and the benchmark passages in them."""
+    names = table(spark, d, "benchmark").select("item_id", F.col("text").alias("name"))
     found = lookup.contained(table(spark, d, "documents"), "doc_id", "text", names, "item_id", "name")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("names"), F.min("item_id").alias("first_name"))
 
@@ -492,7 +485,7 @@ def plan_cross_product(spark, d):
 @query("""
 SELECT doc_id, (length(text) - length(replace(text, 'th', ''))) // 2 AS places FROM documents""")
 def overlapping_occurrences(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(text.occurrences(F.col("text"), "th")).cast("long").alias("places"))
+    return table(spark, d, "documents").select("doc_id", text.occurrence_count(F.col("text"), "th").cast("long").alias("places"))
 
 
 @query("""
@@ -501,43 +494,22 @@ def clipped_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.clip(F.col("text"), 80).alias("clipped"))
 
 
-@query()
-def sentence_segments(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("s"))
-    return docs.select("doc_id", "s.*")
-
-
-@query()
-def stated_quantities(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.explode(text.quantities(F.col("text"))).alias("q"))
-    return docs.select("doc_id", "q.*")
-
-
-@query()
-def numeric_grounding(spark, d):
-    """Quantities of each document that another document of its source states too."""
-    rows = stated_quantities(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").where("value is not null")
-    alike = Window.partitionBy("source", "value", "unit")
-    low, high = F.min("doc_id").over(alike), F.max("doc_id").over(alike)
-    return rows.select("doc_id", "raw", "value", "unit", ((low != F.col("doc_id")) | (high != F.col("doc_id"))).alias("grounded"))
-
-
 # ---- entities
 
 
 def _records(spark, d) -> DataFrame:
-    items = table(spark, d, "lineitem").where("l_linenumber = 1")
+    items = table(spark, d, "lineitem")
     o = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
     return o.select(
-        F.col("o_orderkey").alias("candidate_id"), F.col("o_orderpriority").alias("action"), F.col("o_orderstatus").alias("lifecycle_step"), F.date_format("o_orderdate", "yyyy-MM").alias("occurrence_context"),
+        (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("candidate_id"), F.col("o_orderpriority").alias("action"), F.col("o_orderstatus").alias("lifecycle_step"), F.date_format("o_orderdate", "yyyy-MM").alias("occurrence_context"),
         F.when(F.col("l_returnflag") != "N", _day(F.col("o_orderdate"))).alias("occurrence_date"), F.col("o_custkey").cast("string").alias("subject"),
         F.when(F.col("l_quantity") < 25, F.col("l_suppkey").cast("string")).alias("asset"), F.lit(None).cast("string").alias("project"), F.lit(None).cast("string").alias("package"), F.lit(None).cast("string").alias("location"),
     )
 
 
 _FACTS = """
-r AS (SELECT o_orderkey AS id, lower(o_orderpriority) AS a, lower(o_orderstatus) AS s, strftime(o_orderdate, '%Y-%m') AS c, CASE WHEN l_returnflag <> 'N' THEN o_orderdate::DATE END AS day,
-  o_custkey::VARCHAR AS subject, CASE WHEN l_quantity < 25 THEN l_suppkey::VARCHAR END AS asset FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1),
+r AS (SELECT o_orderkey * 10 + l_linenumber AS id, lower(o_orderpriority) AS a, lower(o_orderstatus) AS s, strftime(o_orderdate, '%Y-%m') AS c, CASE WHEN l_returnflag <> 'N' THEN o_orderdate::DATE END AS day,
+  o_custkey::VARCHAR AS subject, CASE WHEN l_quantity < 25 THEN l_suppkey::VARCHAR END AS asset FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 p AS (SELECT DISTINCT x.id AS left_id, y.id AS right_id FROM r x JOIN r y ON x.a = y.a AND x.s = y.s AND x.c = y.c AND x.id < y.id
   WHERE x.subject = y.subject AND (x.asset IS NULL OR y.asset IS NULL OR x.asset = y.asset) AND (x.day IS NULL OR y.day IS NULL OR x.day = y.day))"""
 
@@ -577,27 +549,3 @@ SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, tr
 def headline_and_title(spark, d):
     title, head = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1), F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1)
     return table(spark, d, "pages").select("page_id", title.alias("title"), (text.lookup_key(title) == text.lookup_key(head)).alias("repeated"))
-
-
-# ---- state
-
-
-def _transitions(spark, d) -> DataFrame:
-    e = table(spark, d, "events")
-    state = F.when(F.col("event_type").isin("click", "view"), "ATTEMPTED").when(F.col("event_type") == "purchase", "SENT").when(F.col("event_type") == "signup", "NOT_SENT").otherwise("RELEASED")
-    return e.select(F.col("user_id").cast("string").alias("recipient_key"), F.col("event_id").alias("seq"), state.alias("new_state"), F.lit("c").alias("claim_id"))
-
-
-@query()
-def ledger_fold(spark, d):
-    return ledger.fold(_transitions(spark, d))
-
-
-@query("""
-WITH t AS (SELECT user_id, event_id, CASE WHEN event_type IN ('click', 'view') THEN 'ATTEMPTED' WHEN event_type = 'purchase' THEN 'SENT' WHEN event_type = 'signup' THEN 'NOT_SENT' ELSE 'RELEASED' END AS s FROM events),
-l AS (SELECT user_id, arg_max(s, event_id) AS s FROM t GROUP BY 1)
-SELECT user_id % 50 AS delivery, count(*) AS recipients, count(*) FILTER (s = 'SENT') AS sent, count(*) FILTER (s = 'ATTEMPTED') AS open,
-  CASE WHEN count(*) FILTER (s = 'SENT') = count(*) THEN 'SENT' WHEN count(*) FILTER (s IN ('SENT', 'ATTEMPTED')) > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS outcome FROM l GROUP BY 1""")
-def delivery_roll_up(spark, d):
-    last = ledger.last_states(_transitions(spark, d)).select((F.col("recipient_key").cast("long") % 50).alias("delivery"), F.col("new_state").alias("state"))
-    return ledger.roll_up(last, "delivery")

@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Elements whose text belongs to no document, and elements that end a block of text.
-EXCLUDED = frozenset(("nav", "footer", "aside", "header", "form", "script", "style", "noscript", "template", "button"))
-EXCLUDED_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"))
+EXCLUDED = frozenset(("aside", "footer", "nav", "script", "style", "template", "noscript", "svg"))
+EXCLUDED_ROLES = frozenset(("banner", "complementary", "contentinfo", "dialog", "menu", "menubar", "navigation", "search", "tablist", "toolbar"))
+#: Controls, whose text is none of the document's.
+INTERACTIVE = frozenset(("button", "input", "option", "select", "textarea"))
+COMMENT_ROLES = frozenset(("comment", "reply"))
 BLOCKS = frozenset(("p", "div", "section", "article", "main", "li", "ul", "ol", "tr", "table", "br", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 DATE_KINDS = {
@@ -46,7 +49,8 @@ class _Reader(HTMLParser):
         if tag == "h1":
             self.headlines.append("")
         if tag not in VOID:
-            out = tag in EXCLUDED or (found.get("role") or "").lower() in EXCLUDED_ROLES
+            role = (found.get("role") or "").lower()
+            out = tag in EXCLUDED or tag in INTERACTIVE or role in EXCLUDED_ROLES or role in COMMENT_ROLES
             self.open.append((tag, out))
 
     def handle_endtag(self, tag):
