@@ -94,7 +94,7 @@ def observations(plan: DataFrame, attempts: DataFrame, origins: DataFrame) -> Da
 
 def acceptance(observed: DataFrame) -> DataFrame:
     """One row: BLOCK if nothing was attempted or all attempts failed, PASS_WITH_GAPS if some did, else LEGAL."""
-    counts = observed.agg(F.count_if("status <> 'NOT_ATTEMPTED'").alias("attempted"), F.count_if("status = 'FAILED'").alias("failed"), F.count_if("status = 'NOT_ATTEMPTED'").alias("missed"))
+    counts = observed.agg(F.count_if(F.col("status") != "NOT_ATTEMPTED").alias("attempted"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.count_if(F.col("status") == "NOT_ATTEMPTED").alias("missed"))
     state = F.when(F.col("attempted") == F.col("failed"), "BLOCK").when(F.col("failed") + F.col("missed") > 0, "PASS_WITH_GAPS").otherwise("LEGAL")
     return counts.withColumn("acceptance", state)
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a short name by which it meets texts.
 SEED = 4
 
 
+def _runs(text: Column, n: int) -> Column:
+    """All runs of n characters."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+
+
 def contained(rows: DataFrame, row_id: str, text: str, names: DataFrame, name_id: str, name: str) -> DataFrame:
     """(row_id, name_id) for each name that a text contains.
 
@@ -26,8 +31,7 @@ def contained(rows: DataFrame, row_id: str, text: str, names: DataFrame, name_id
     found = places.join(seeded.where("__word is not null"), "__word").where(F.contains("__text", "__name")).select(row_id, name_id)
     short = seeded.where("__word is null").withColumn("__n", F.least(F.length("__name"), F.lit(SEED))).withColumn("__seed", F.substring(F.col("__name"), F.lit(1), F.col("__n")))
     for n in [r[0] for r in short.select("__n").distinct().collect()]:  # at most SEED numbers
-        seeds = F.transform(F.sequence(F.lit(1), F.length("__text") - n + 1), lambda i: F.substring(F.col("__text"), i, F.lit(n)))
-        shown = source.where(F.length("__text") >= n).select(row_id, "__text", F.explode(F.array_distinct(seeds)).alias("__seed"))
+        shown = source.where(F.length("__text") >= n).select(row_id, "__text", F.explode(F.array_distinct(_runs(F.col("__text"), n))).alias("__seed"))
         met = shown.join(short.where(F.col("__n") == n).select(name_id, "__name", "__seed"), "__seed")
         found = found.unionByName(met.where(F.contains("__text", "__name")).select(row_id, name_id))
     return found

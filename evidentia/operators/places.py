@@ -33,6 +33,14 @@ def whole(rows: DataFrame, value: str, names: DataFrame) -> DataFrame:
     return rows.join(names.select(F.col("key").alias("__key"), "kind", "region_id"), lookup_key(F.col(value)) == F.col("__key"), "left").drop("__key")
 
 
+def _word_runs(tokens: Column, n: int) -> Column:
+    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")))
+
+
+def _character_runs(value: Column, n: int) -> Column:
+    return F.when(F.length(value) >= n, F.transform(F.sequence(F.lit(1), F.length(value) - n + 1), lambda i: F.substring(value, i, F.lit(n))))
+
+
 def contained(rows: DataFrame, row_id: str, value: str, names: DataFrame) -> DataFrame:
     """row_id, kind, region_id from the names inside a longer value: AMBIGUOUS if they disagree.
 
@@ -48,10 +56,7 @@ def contained(rows: DataFrame, row_id: str, value: str, names: DataFrame) -> Dat
     tokens = F.split(F.trim(F.regexp_replace(F.regexp_replace("__value", r"(\W)", " $1 "), r"\s+", " ")), " ")
     found = None
     for (n,) in listed.select("__words").distinct().collect():  # lengths of names
-        if n > 0:
-            runs = F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i, n=n: F.array_join(F.slice(tokens, i, F.lit(n)), " ")))
-        else:
-            runs = F.when(F.length("__value") >= -n, F.transform(F.sequence(F.lit(1), F.length("__value") + n + 1), lambda i, n=n: F.substring(F.col("__value"), i, F.lit(-n))))
+        runs = _word_runs(tokens, n) if n > 0 else _character_runs(F.col("__value"), -n)
         shown = source.select(row_id, "__value", F.explode(F.array_distinct(runs)).alias("__shape"))
         met = shown.join(listed.where(F.col("__words") == n).select("__shape", "key", "kind", "region_id"), "__shape").where("key <> __value").select(row_id, "kind", "region_id")
         found = met if found is None else found.unionByName(met)

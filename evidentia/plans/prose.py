@@ -8,7 +8,7 @@ from ..functions import quantities, segments
 from ..sources.tables import table
 from ._register import duck, given, query
 
-_SHORT = r"st|no|nos|mr|mrs|ms|dr|prof|co|corp|inc|ltd|jr|sr|vs|etc|fig|approx|dept|gov|rep|sen|gen|lt|col|capt|mt|ft|e\.g|i\.e|u\.s|u\.k|\pL"
+_SHORT = r"st|no|nos|mr|mrs|ms|dr|prof|co|corp|inc|ltd|jr|sr|vs|etc|fig|approx|dept|gov|rep|sen|gen|lt|col|capt|mt|ft|e\.g|i\.e|u\.s|u\.k|[^\PLß]"
 _ASCII_END = r"""regexp_replace(%s, '([.!?][.!?」』）〕】》〉”’"'')\]]*)(\s+)([^\s0-9a-z])', '\1' || chr(1) || '\2\3', 'g')"""
 _FULL_END = r"""regexp_replace(safe, '(\n|[。！？；][。！？；」』）〕】》〉”’"'')\]]*)', '\1' || chr(1), 'g')"""
 _SENTENCES = rf"""
