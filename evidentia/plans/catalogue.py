@@ -15,7 +15,7 @@ from ..operators import constraints, dedup, entities, lookup, proposals, tempora
 from ..sources import html
 from ..sources.tables import table
 from ..streaming import weekly
-from . import delivery, discovery, identity, prose  # noqa: F401
+from . import delivery, discovery, identity, prose, review  # noqa: F401
 from ._register import ORACLES, QUERIES, query  # noqa: F401
 
 REPORT_START, REPORT_END = "1997-03-10", "1997-03-16"
