@@ -5,10 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.functions import dates, ids, text, urls
+from evidentia.functions import dates, ids, quantities, segments, text, urls
 from evidentia.operators import constraints, proposals, temporal
 from evidentia.sources import feeds
-from evidentia.sources.html import read_page
+from evidentia.sources.html import read_page, segment_of
 from evidentia.streaming import ledger
 
 
@@ -21,28 +21,86 @@ def test_sentences(spark):
     cases = {
         "One ends. Two ends! Three": ["One ends.", "Two ends!", "Three"],
         "Dr. Low met Mr. High. they left": ["Dr. Low met Mr. High. they left"],
+        "See Nos. Five. Next": ["See Nos. Five.", "Next"],
         "Costs 3.5 now. 4 more": ["Costs 3.5 now. 4 more"],
         "line\nnext": ["line", "next"],
         "全部完成。下一句！最后": ["全部完成。", "下一句！", "最后"],
+        "什麼！？好。": ["什麼！？", "好。"],
+        "她說「好。」然後走了。": ["她說「好。」", "然後走了。"],
         'He said "stop." Then he left.': ['He said "stop."', "Then he left."],
         "Plan B. Next": ["Plan B. Next"],
+        "Really?! Yes...  \t": ["Really?!", "Yes..."],
         "": [],
-        None: None,
+        None: [],
     }
-    got = values(spark, text.sentences, list(cases))
-    assert [None if s is None else [x.text for x in s] for s in got] == list(cases.values())
-    for original, found in zip(cases, got, strict=True):
-        assert all(original[s.start : s.end] == s.text for s in found or [])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, x string")
+    found: dict = {}
+    for r in segments.sentences(df, "i", F.col("x")).orderBy("i", "start").collect():
+        found.setdefault(r.i, []).append(r)
+    for i, (original, want) in enumerate(cases.items()):
+        rows = found.get(i, [])
+        assert [r.text for r in rows] == want
+        assert [r.id for r in rows] == [f"S{k + 1}" for k in range(len(rows))]
+        assert all(original[r.start : r.end] == r.text for r in rows)
+
+
+def test_units_make_up_the_text():
+    for text_ in ("甲。\n乙！？」 丙\n***\n丁", "***", "a\n\n。b", "no end", "x。***"):
+        spans = segments.unit_spans(text_)
+        assert "".join(text_[a:b] for a, b in spans) == text_
+        assert all(any(c.isalnum() for c in text_[a:b]) for a, b in spans) or len(spans) == 1
+
+
+QUANTITIES = {
+    "It cost $5m and 3.5 million euros": [(5e6, quantities.DOLLARS), (3.5e6, ("EUR",))],
+    "3 million, 3 billion": [(3e6, ()), (3e9, ())],
+    "1兆9000億円": [(1.9e12, ("JPY",))],
+    "5,000 crore rupees": [(5e10, quantities.RUPEES)],
+    "20 000 km": [(2e7, ("length",))],
+    "5-10%": [(5.0, ("percent",)), (10.0, ("percent",))],
+    "between 5 and 10 km": [(5e3, ("length",)), (1e4, ("length",))],
+    "1,234 items": [(None, ())],
+    "1,234 items, 5.5 kg": [(1234.0, ()), (5.5, ())],
+    "1,5 million and 2,75 and 1.234": [(1.5e6, ()), (2.75, ()), (1234.0, ())],
+    "5,000～10,000億円": [(5e11, ("JPY",)), (1e12, ("JPY",))],
+    "NT$5億元": [(5e8, ("TWD",))],
+    "₹5,000 crore to ₹10,000 crore": [(5e10, ("INR",)), (1e11, ("INR",))],
+    "1,25,000; 12.5km²": [(125_000.0, ()), (1.25e7, ("area",))],
+    "1.234.567,89": [(1_234_567.89, ())],
+    "5 000 miles": [(5000.0, ("mile",))],
+    "20 2026": [(20.0, ()), (2026.0, ())],
+    "no number": [],
+}
 
 
 def test_quantities(spark):
-    got = values(spark, text.quantities, ["12 km and 1,234,567.5 kg", "1,234 or 1.234", "3,5 % of 10", "v2 x7"])
-    flat = [[(q.value, q.unit) for q in row] for row in got]
-    assert flat == [[(12_000.0, "metre"), (1_234_567.5, "kilogram")], [(None, None), (None, None)], [(3.5, "percent"), (10.0, None)], []]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*QUANTITIES, None])], "i int, x string")
+    found: dict = {}
+    for r in quantities.stated(df, "i", F.col("x")).orderBy("i", "ordinal").collect():
+        found.setdefault(r.i, []).append((r.value, tuple(r.unit)))
+    for i, (text_, want) in enumerate(QUANTITIES.items()):
+        assert found.get(i, []) == [(v, tuple(sorted(u))) for v, u in want], text_
+
+
+@pytest.mark.parametrize(
+    ("written", "evidence", "good"),
+    [
+        ("約500萬元", "It cost NT$5 million", True), ("5億元", "NT$500 million", True), ("新臺幣5億元", "5億元", False), ("1.2公里", "1,255 m and 5.5 m", False), ("1.2公里", "1,245 m and 5.5 m", True), ("1.2公里", "1.23 km", True),
+        ("12公里", "12 miles", False), ("12,345", "12345 passengers", True), ("30%", "30 percent", True), ("30%", "30", False), ("8", "nothing", True),
+    ],
+)
+def test_grounding(spark, written, evidence, good):
+    frame = lambda t: spark.createDataFrame([(1, t)], "i int, x string")
+    told = quantities.checked(quantities.stated(frame(written), "i", F.col("x"), report=True))
+    assert (quantities.ungrounded(told, quantities.stated(frame(evidence), "i", F.col("x")), "i").count() == 0) == good
 
 
 def test_occurrences(spark):
     assert values(spark, lambda c: text.occurrences(c, "aa"), ["aaaa", "baab", "", "a"]) == [[0, 1, 2], [1], [], []]
+    assert values(spark, lambda c: text.occurrence_count(c, "aa"), ["aaaa", "baab", "", "a"]) == [3, 1, 0, 0]
+    assert values(spark, lambda c: text.same_label_spans(c, "Ab"), ["xaBAB", "İab"]) == [[(1, 3), (3, 5)], []]
+    assert values(spark, text.mixed_script_words, ["서울市 서울 市"]) == [["서울市"]]
+    assert values(spark, text.places_listed, ["A, B and C、D"]) == [["A", "B", "C", "D"]]
 
 
 def test_urls(spark):
@@ -50,7 +108,7 @@ def test_urls(spark):
     assert values(spark, urls.strip_tracking, u[:2]) == ["HTTPS://User@WWW.Example.com:443/a/?b=1", "http://example.com"]
     assert values(spark, urls.resource_key, u[:2]) == ["https|example.com||/a/|utm_source=x&b=1&fbclid=2", "http|example.com||/|"]
     assert values(spark, urls.exact, u) == [True, True, False, False, False, False]
-    assert values(spark, urls.identity_form, ["HTTP://A.com/x//?q#f"]) == ["http://a.com/x?q"]
+    assert values(spark, urls.identity_form, ["HTTP://A.com/x//?q#f", "http://h", "http://h/", "ftp://h/", "x"]) == ["http://a.com/x?q", "http://h/", "http://h/", "", ""]
 
 
 def test_dates(spark):
@@ -84,15 +142,62 @@ def test_content_ids(spark):
 
 
 def test_pages():
-    page = "<html><head><title>T</title><meta property='article:published_time' content='2026-09-07'></head><body><nav>menu</nav><article><h1>Head</h1><p>One <b>two<p>three<div role=search>no</div></article><footer>f</footer>"
-    status, boundary, title, headline, body, _, found = read_page(page)
-    assert (status, boundary, title, headline, body) == ("READY", "article", "T", "Head", "Head\nOne two\nthree")
-    assert found == [{"raw": "2026-09-07", "kind": "ORIGINAL_PUBLICATION"}]
-    assert read_page("<article>a</article><article>b</article>")[0] == "COLLECTION"
-    assert read_page("<title>Same</title><main><h1>Same</h1></main>")[0] == "TITLE_ONLY"
+    page = "<html><head><title>T</title><meta property='article:published_time' content='2026-09-07'></head><body><nav>menu</nav><article><h1>Head</h1><p>One <b>two<p>three<div role=search>no</div><button>b</button></article><footer>f</footer>"
+    status, boundary, title, headline, body, _, found, parts = read_page(page)
+    assert (status, boundary, title, headline, body, parts) == ("READY", "article", "T", "Head", "One two three", ["One two", "three"])
+    assert found == [{"raw": "2026-09-07", "kind": "ORIGINAL_PUBLICATION", "zone": None}]
+    assert read_page("<title>Same</title><main><h1>Same</h1></main>")[0] == read_page("<title>Same</title><main><p>same </p></main>")[0] == "TITLE_ONLY"
     assert read_page(None)[0] == read_page("<nav>x</nav>")[0] == "EMPTY"
 
 
+@pytest.mark.parametrize(
+    ("html", "url", "status", "body"),
+    [
+        ("<article>a</article><article>b</article>", "", "COLLECTION", ""),
+        ("<article>a</article><article></article>", "", "READY", "a"),
+        ("<article>a</article><article><a href='/other'>b</a></article>", "http://h/x", "READY", "a"),
+        ("<article>a</article><article><a href='/x'>b</a></article>", "http://h/x", "COLLECTION", ""),
+        ("<article><div itemprop=articleBody>a</div></article><article>b</article>", "", "READY", "a"),
+        ("<main>a</main><main>b</main>", "", "AMBIGUOUS", ""),
+        ("<main><ul><li><h2>A</h2>a<li><h2>B</h2>b</ul></main>", "", "COLLECTION", ""),
+        ("<main><ul><li>a<li>b</ul></main>", "http://h/x", "READY", "a b"),
+        ("<nav>n</nav><main><p>a</main>", "http://h/", "LANDING_PAGE", ""),
+        ("<nav>n</nav><p>a", "http://h/search?q=x", "SEARCH_SHELL", ""),
+        ("<body><div><h2>A</h2>a</div><div><h2>B</h2>b</div></body>", "", "AMBIGUOUS", ""),
+        ("<main><p>a <a href='/y'>in prose</a></p><ul><li><a href='/z'>z</a></li></ul></main>", "http://h/x", "READY", "a in prose"),
+        ("<article>a<article>below</article><p>b</p></article>", "", "READY", "a b"),
+        ("<main><div role=comment>c</div><p>a</p></main>", "http://h/x", "READY", "a"),
+        ("<body><p><a href='/y'>only</a></p></body>", "http://h/x", "LINKS_ONLY", "only"),
+        ("<?xml version='1.0'?><rss><channel/></rss>", "", "FEED", ""),
+        ("<?xml version='1.0'?><r:RDF xmlns:r='u'><r:Description r:about='x'/></r:RDF>", "", "RDF_GRAPH", ""),
+        ("<?xml version='1.0'?><a><b></a>", "", "MALFORMED", ""),
+    ],
+)
+def test_principal_documents(html, url, status, body):
+    found = read_page(html, url)
+    assert (found[0], found[4]) == (status, body)
+
+
+def test_dates_of_pages():
+    data = '<script type="application/ld+json">{"@graph": [{"url": "http://h/x", "datePublished": "2026-09-07T10:00:00+08:00"}, {"url": "http://h/y", "datePublished": "2026-01-01"}, {"datePublished": "2026-01-02"}]}</script>'
+    page = f"<head>{data}</head><article>a<time datetime='2026-09-08' itemprop=dateModified>t</time><time datetime='2026-01-03'>u</time><aside><time pubdate datetime='2026-01-04'>v</time></aside></article>"
+    assert [(f["raw"], f["kind"], f["zone"]) for f in read_page(page, "http://h/x")[6]] == [("2026-09-07T10:00:00+08:00", "ORIGINAL_PUBLICATION", "+08:00"), ("2026-09-08", "MODIFIED", None)]
+
+
+def test_spans_in_segments(spark):
+    df = spark.createDataFrame([(["ab", "cde"], 0, 2), (["ab", "cde"], 3, 5), (["ab", "cde"], 1, 4)], "s array<string>, a int, b int")
+    got = [r.x and tuple(r.x) for r in df.select(segment_of(F.col("s"), F.col("a"), F.col("b")).alias("x")).collect()]
+    assert got == [(0, 0, 2), (1, 0, 2), None]
+
+
+def test_recipient_keys(spark):
+    import hashlib
+    import hmac
+
+    got = values(spark, lambda c: ledger.recipient_key(c, b"k"), [" A@x.org ", None])
+    assert got == [hmac.new(b"k", b"a@x.org", hashlib.sha256).hexdigest(), None]
+
+
 def test_feeds(spark):
     item = "<item><title>{}</title><link>http://a/{}</link><pubDate>x</pubDate></item>"
     good = "<rss><channel><title>c</title>" + item.format("a", 1) + item.format("b", 2) + "</channel></rss>"
