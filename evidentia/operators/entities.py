@@ -104,16 +104,22 @@ def complete_link_groups(records: DataFrame, related: DataFrame) -> DataFrame:
     """candidate_id and group_id (its least member): groups whose pairs are all SAME_EVENT.
 
     records: candidate_id and order_key, by which records are placed. Components of the SAME_EVENT
-    graph never share a group, so each is resolved by itself; records without an edge are groups of
-    one and never leave the JVM. A component is held by one task: it must stem from pairs of one
+    graph never share a group, so each is resolved by itself. A component in which all pairs are the
+    same is one group, which its counts of records and pairs tell; so do records without an edge. Only
+    what is left is placed record by record, a component in a task: it must stem from pairs of one
     event, not from a hub.
     """
-    same = related.where("relation = 'SAME_EVENT'")
+    same = related.where("relation = 'SAME_EVENT' and left_id <> right_id").select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id")).distinct()
+    same, _ = written(same)
     roots = components(same)
     placed = records.join(roots.withColumnRenamed("node", "candidate_id"), "candidate_id", "left")
     alone = placed.where("root is null").select("candidate_id", F.col("candidate_id").alias("group_id"))
-    members = placed.where("root is not null").select("root", "candidate_id", "order_key")
     links = same.join(roots.select(F.col("node").alias("left_id"), F.col("root").alias("link_root")), "left_id").select("link_root", "left_id", "right_id")
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(links.groupBy(F.col("link_root").alias("root")).agg(F.count(F.lit(1)).alias("m")), "root")
+    open_, _ = written(sizes.where("2 * m <> n * (n - 1)").select("root"))
+    whole = placed.where("root is not null").join(open_, "root", "left_anti").select("candidate_id", F.col("root").alias("group_id"))
+    members = placed.join(open_, "root", "left_semi").select("root", "candidate_id", "order_key")
+    links = links.join(open_.withColumnRenamed("root", "link_root"), "link_root", "left_semi")
     kind = dict(records.dtypes)["candidate_id"]
 
     def resolve(key: tuple, members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
@@ -122,7 +128,7 @@ def complete_link_groups(records: DataFrame, related: DataFrame) -> DataFrame:
         return pd.DataFrame([(m, min(g)) for g in groups for m in g], columns=["candidate_id", "group_id"])
 
     found = members.groupBy("root").cogroup(links.groupBy("link_root")).applyInPandas(resolve, f"candidate_id {kind}, group_id {kind}")
-    return alone.unionByName(found)
+    return alone.unionByName(whole).unionByName(found)
 
 
 def group_pairs(groups: DataFrame, group: str, member: str) -> DataFrame:

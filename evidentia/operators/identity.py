@@ -23,8 +23,9 @@ def source_key(url: Column, body: Column, focus_ids: Column) -> Column:
 
 
 def exact_source_pairs(records: DataFrame, key: Column, id_column: str) -> DataFrame:
-    """(left_id, right_id) of each record and the least record of its source: a chain through one member says all
-    that the pairs of a group would, in as many rows as there are records."""
+    """(left_id, right_id) of each record and the least record of its source, in as many rows as there are records.
+    For components that says all; a complete link needs every pair, so give it the least records alone where more than
+    two records share a source, and let the others follow theirs."""
     keyed = records.select(F.col(id_column).alias("right_id"), key.alias("__key"))
     least = keyed.groupBy("__key").agg(F.min("right_id").alias("left_id"))
     return keyed.join(least, "__key").where("left_id <> right_id").select("left_id", "right_id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, ids, text, urls
 from ..operators import aggregates as agg
+from ..operators import identity as identity_operators
 from ..operators import constraints, dedup, entities, lookup, proposals, temporal
 from ..sources import html
 from ..sources.tables import table
@@ -529,9 +530,16 @@ def connected_components(spark, d):
 
 @query()
 def complete_link_groups(spark, d):
-    records = _records(spark, d)
-    none = fact_pairs(spark, d).limit(0)
-    related = entities.relations(none, none, fact_pairs(spark, d), none)
+    """Line items as records: suppliers of different regions keep pairs apart, equal sources, equal facts and
+    agreed proposals (here neighbours by id) put them together."""
+    records = _records(spark, d).dropDuplicates(["candidate_id"])
+    items = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("candidate_id"), "l_orderkey", "l_partkey", "l_suppkey").dropDuplicates(["candidate_id"])
+    places = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.when(F.col("s_acctbal") > 5000, F.col("n_regionkey")).alias("region_id"))
+    facts = fact_pairs(spark, d)
+    proposed = items.where("candidate_id % 50 = 0").select(F.col("candidate_id").alias("left_id"), (F.col("candidate_id") + 1).alias("right_id")).join(items.select(F.col("candidate_id").alias("right_id")), "right_id", "left_semi").select("left_id", "right_id")
+    sources = identity_operators.exact_source_pairs(items, F.concat_ws(":", "l_orderkey", "l_partkey"), "candidate_id")
+    distinct = identity_operators.region_conflicts(facts.unionByName(proposed).unionByName(sources).distinct(), items.join(places, "l_suppkey").select("candidate_id", "region_id"))
+    related = entities.relations(distinct, sources, facts, proposed)
     return entities.complete_link_groups(records.select("candidate_id", F.col("candidate_id").alias("order_key")), related)
 
 

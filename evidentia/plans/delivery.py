@@ -115,7 +115,7 @@ def recipient_keys(spark, d):
 
 
 @query("""
-SELECT event_id, date_diff('second', ts, TIMESTAMP '2024-03-01 00:00:00') // 3600 AS age_hours, date_diff('second', ts, TIMESTAMP '2024-03-01 00:00:00') >= 86400 AS releasable FROM events""")
+SELECT event_id, (epoch_us(TIMESTAMP '2024-03-01 00:00:00') - epoch_us(ts)) // 3600000000 AS age_hours, epoch_us(TIMESTAMP '2024-03-01 00:00:00') - epoch_us(ts) >= 86400000000 AS releasable FROM events""")
 def claim_ages(spark, d):
     age = dates.hours_since(F.col("ts").cast("timestamp_ntz"), F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"))
     return table(spark, d, "events").select("event_id", age.alias("age_hours"), (age >= ledger.RELEASE_HOURS).alias("releasable"))
