@@ -141,19 +141,19 @@ def family_faults(publications: DataFrame, families: DataFrame) -> DataFrame:
 
 
 def owned(identifiers: DataFrame, owner_of: DataFrame) -> DataFrame:
-    """identifiers with owner: of the identifier as it stands, else without a year at its end. identifiers: identifier; owner_of: publication, owner."""
+    """identifiers with owner: of the identifier as it stands, else without a year at its end (after a colon or a dash). identifiers: identifier; owner_of: publication, owner."""
     exact = owner_of.select(F.col("publication").alias("identifier"), F.col("owner").alias("__exact"))
     bare = owner_of.select(F.col("publication").alias("__bare"), F.col("owner").alias("__other"))
-    rows = identifiers.join(exact, "identifier", "left").withColumn("__bare", F.regexp_replace("identifier", r":\d{4}$", "")).join(bare, "__bare", "left")
+    rows = identifiers.join(exact, "identifier", "left").withColumn("__bare", F.regexp_replace("identifier", r"[:-]\d{4}$", "")).join(bare, "__bare", "left")
     return rows.withColumn("owner", F.coalesce("__exact", "__other")).drop("__exact", "__bare", "__other")
 
 
 def identifiers(text_: Column, prefixes: Sequence[str]) -> Column:
     """Distinct identifiers (prefix and number, parts by dashes, and a year) in a text, in their order, none that goes on
-    with letters. Full-width letters, digits and marks count as their plain forms."""
+    with letters, and no packs of a whole series (SER after the number or year). Full-width letters, digits and marks count as their plain forms."""
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
     plain = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
-    shape = rf"((?:{'|'.join(prefixes)})\s?\d+(?:-\d+)*(?::\d{{4}})?)(?![\w-])"
+    shape = rf"((?:{'|'.join(prefixes)})\s?\d+(?:-\d+)*(?::\d{{4}})?)(?![\w-])(?!\s*(?::\d{{4}})?\s*SER(?![A-Za-z0-9]))"
     found = F.regexp_extract_all(F.translate(text_, wide, plain), F.lit(rf"(?<!\w){shape}"), 1)
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"\s", " ")))
 

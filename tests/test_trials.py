@@ -5,7 +5,7 @@ import base64
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import trials
+from evidentia.operators import audit, trials
 from evidentia.sources import contracts, links
 
 
@@ -90,3 +90,14 @@ def test_cut_requests(spark):
     df = trials.cut_requests(spark.createDataFrame(rows, "run string, record int, position int, size int"), 10)
     assert sorted(map(tuple, df.collect())) == [("a", 0, 1), ("a", 1, 1), ("a", 4, 2), ("a", 5, 2), ("a", 6, 2)]
     assert trials.cut_requests(spark.createDataFrame([], "run string, record int, position int, size int"), 10).count() == 0
+
+
+def test_series_and_hyphen_years(spark):
+    said = [("IEC 60076:2026 SER and EN 50122-2:2010", ["EN 50122-2:2010"]), ("IEC 60076 SER", []), ("IEC 60076 SERVICE", ["IEC 60076"]), ("IEC 60076-11 SER, IEC 61373-2010", ["IEC 61373-2010"])]
+    df = spark.createDataFrame([(t,) for t, _ in said], "t string").select("t", audit.identifiers(F.col("t"), ("EN", "IEC")).alias("i"))
+    assert {r.t: r.i for r in df.collect()} == dict(said)
+    owner_of = spark.createDataFrame([("IEC 61373", "IEC 61373"), ("IEC 60076-2018", "IEC 1")], "publication string, owner string")
+    named = spark.createDataFrame([("IEC 61373-2010",), ("IEC 61373:2010",), ("IEC 60076-2018",), ("IEC 60076-2017",)], "identifier string")
+    assert {r.identifier: r.owner for r in audit.owned(named, owner_of).collect()} == {
+        "IEC 61373-2010": "IEC 61373", "IEC 61373:2010": "IEC 61373", "IEC 60076-2018": "IEC 1", "IEC 60076-2017": None,
+    }
