@@ -95,3 +95,42 @@ def summary_line(rows: DataFrame, group: str, key: str, value: str) -> DataFrame
 def probes(rows: DataFrame, batch: str, order: str, places: tuple[int, ...] = (1, 10, 60, 65, 115, 122)) -> DataFrame:
     """Rows at fixed places of each batch, for a health check."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(batch).orderBy(order))).where(F.col("place").isin(*places))
+
+
+# Counts of a summary, by the stage that gives them.
+SUMMARY = {
+    "planned": "search_plan", "attempted": "search_attempts", "unattempted": "search_unattempted", "in_scope": "temporal_results",
+    "records": "event_identity_records", "categorized": "category_results", "reportable": "ordered_results", "formal_metadata": "formal_metadata",
+    "metadata_exclusions": "metadata_exclusions", "generated": "writer_blocks", "validated": "validation_passed", "validation_failed": "validation_failed",
+    "final_report_events": "final_report_events",
+}
+
+
+def engineering_summary(counts: DataFrame, reasons: DataFrame, most: int = 5) -> DataFrame:
+    """One row for each run: its stages' counts, failures of the search, and the most frequent reasons of rejection.
+
+    counts: run_id, stage, n; a stage that a run didn't reach has no row, and its count is null. reasons:
+    run_id, kind (search_failure, evidence_reason, evidence_gate), reason, n; rows that repeat are added up.
+    What was discovered and the number of events include the technical gaps of their stage.
+    Reasons read "reason=n", joined by "; ", by falling n and then by reason.
+    """
+    n_of = lambda stage: F.sum(F.when(F.col("stage") == stage, F.col("n")))
+    or_zero = lambda c: F.coalesce(c, F.lit(0))
+    row = counts.groupBy("run_id").agg(
+        *[n_of(stage).alias(name) for name, stage in SUMMARY.items()],
+        (n_of("evidence_results") + or_zero(n_of("technical_gaps_evidence"))).alias("discovered"),
+        (n_of("category_results") + or_zero(n_of("technical_gaps_category"))).alias("events"),
+        or_zero(n_of("technical_gaps")).alias("technical_gaps"),
+    )
+    summed = reasons.groupBy("run_id", "kind", "reason").agg(F.sum("n").alias("n"))
+    failed = summed.where("kind = 'search_failure'").groupBy("run_id").agg(F.sum("n").alias("failed"))
+    place = F.row_number().over(Window.partitionBy("run_id", "kind").orderBy(F.col("n").desc(), "reason"))
+    ranked = summed.where("kind in ('evidence_reason', 'evidence_gate')").withColumn("place", place).where(F.col("place") <= most)
+    shown = F.struct("place", F.concat("reason", F.lit("="), F.col("n").cast("string")).alias("shown"))
+    listed = lambda kind: F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, shown)))["shown"], "; ")
+    top = ranked.groupBy("run_id").agg(listed("evidence_reason").alias("reasons"), listed("evidence_gate").alias("gates"))
+    found = row.join(failed, "run_id", "left").join(top, "run_id", "left")
+    return found.select(
+        *row.columns, or_zero(F.col("failed")).alias("technical_failures"), (or_zero(F.col("failed")) > 0).alias("degraded"),
+        F.coalesce("reasons", F.lit("")).alias("top_evidence_reasons"), F.coalesce("gates", F.lit("")).alias("top_evidence_gates"),
+    )

@@ -276,3 +276,28 @@ def stated_zones(spark, d):
 @query("SELECT max(length(text)) <= 100000000 AS bounded FROM documents")
 def bounded_audit(spark, d):
     return audit.bounded(table(spark, d, "documents"), "text", 100_000_000)
+
+
+_STEPS = ("search_plan", "search_attempts", "search_unattempted", "evidence_results", "technical_gaps_evidence", "temporal_results", "event_identity_records", "category_results", "technical_gaps_category",
+          "ordered_results", "formal_metadata", "metadata_exclusions", "writer_blocks", "validation_passed", "validation_failed", "final_report_events", "technical_gaps")
+_STEP = "CASE o_orderkey % 17 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_STEPS)) + " END"
+# every third run has no categories, every seventh no evidence
+_COUNTS = f"""SELECT run_id, stage, count(*) AS n FROM (SELECT o_custkey % 50 AS run_id, {_STEP} AS stage FROM {{orders}})
+WHERE NOT (stage = 'category_results' AND run_id % 3 = 0) AND NOT (stage = 'evidence_results' AND run_id % 7 = 0) GROUP BY 1, 2"""
+_REASONS = """SELECT o_custkey % 50 AS run_id, CASE o_orderkey % 3 WHEN 0 THEN 'search_failure' WHEN 1 THEN 'evidence_reason' ELSE 'evidence_gate' END AS kind, o_orderpriority || CAST(o_orderkey % 5 AS STRING) AS reason, CAST(o_orderkey % 4 + 1 AS BIGINT) AS n FROM {orders} WHERE o_orderstatus <> 'F'"""
+
+
+@query(f"""
+WITH c AS ({duck(_COUNTS)}), r AS (SELECT run_id, kind, reason, sum(n) AS n FROM ({duck(_REASONS)}) GROUP BY 1, 2, 3),
+t AS (SELECT *, row_number() OVER (PARTITION BY run_id, kind ORDER BY n DESC, reason) AS place FROM r),
+x AS (SELECT run_id, sum(n) FILTER (kind = 'search_failure') AS failed, string_agg(reason || '=' || CAST(n AS BIGINT), '; ' ORDER BY place) FILTER (kind = 'evidence_reason' AND place <= 5) AS reasons,
+  string_agg(reason || '=' || CAST(n AS BIGINT), '; ' ORDER BY place) FILTER (kind = 'evidence_gate' AND place <= 5) AS gates FROM t GROUP BY 1),
+p AS (SELECT run_id, {", ".join(f"CAST(sum(n) FILTER (stage = '{s}') AS BIGINT) AS s_{s}" for s in _STEPS)} FROM c GROUP BY 1)
+SELECT run_id, s_search_plan AS planned, s_search_attempts AS attempted, s_search_unattempted AS unattempted, s_temporal_results AS in_scope, s_event_identity_records AS records, s_category_results AS categorized, s_ordered_results AS reportable,
+  s_formal_metadata AS formal_metadata, s_metadata_exclusions AS metadata_exclusions, s_writer_blocks AS generated, s_validation_passed AS validated, s_validation_failed AS validation_failed, s_final_report_events AS final_report_events,
+  s_evidence_results + coalesce(s_technical_gaps_evidence, 0) AS discovered, s_category_results + coalesce(s_technical_gaps_category, 0) AS events, coalesce(s_technical_gaps, 0) AS technical_gaps,
+  CAST(coalesce(failed, 0) AS BIGINT) AS technical_failures, coalesce(failed, 0) > 0 AS degraded, coalesce(reasons, '') AS top_evidence_reasons, coalesce(gates, '') AS top_evidence_gates
+FROM p LEFT JOIN x USING (run_id)""")
+def engineering_summary(spark, d):
+    """Orders stand for counted records and reasons, their customers are dealt to fifty runs."""
+    return report.engineering_summary(given(spark, d, _COUNTS), given(spark, d, _REASONS))
