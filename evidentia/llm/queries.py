@@ -17,7 +17,10 @@ from .mixing import mix
 from .near_dedup import near_duplicates
 from .order_minhash import compare_with_next
 from .packing import pack_documents
+from .prefix_trie import prefix_trie
+from .spelling import spelling_variants, vocabulary
 from .substring_dedup import remove_repeated_bytes, remove_repeated_passages
+from .token_counts import count_tokens
 
 #: The rules that op6 applies before its vocabulary.
 RULES = (
@@ -84,6 +87,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("probability", F.round("probability", 4))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -95,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
+    "op11_spelling": op11_spelling,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_token_counts": op13_token_counts,
 }
 
 
@@ -167,6 +185,73 @@ def _mixing_sql(fraction: float, sweeps: int) -> str:
     FROM docs JOIN chance USING (source, lang, topic)"""
 
 
+#: The 256 steps of CRC-32 by bytes, and the checksum of the bytes of a text.
+_CRC_TABLE = "list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b))"
+
+
+def _crc_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text; the row at hand has the column steps."""
+    raw = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce({raw}, lambda c, x: xor(c // 256, steps[xor(c, x) % 256 + 1]), 4294967295))"
+
+
+_SPELLING_SQL = f"""
+    WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS steps),
+    runs AS (
+      SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+    checked AS (
+      SELECT run, times, {_crc_sql("doc_id || ':' || run")} AS h
+      FROM (SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 5 GROUP BY ALL), crc),
+    left_over AS (
+      SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM checked),
+    words AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM left_over WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+    cut AS MATERIALIZED (
+      SELECT DISTINCT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    near AS (
+      SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b USING (head, tail) WHERE a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON b.word = a.head || a.tail
+      UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON b.word = a.head || a.tail),
+    best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS other_n FROM near GROUP BY word),
+    formed AS MATERIALIZED (
+      SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+      FROM words LEFT JOIN best USING (word)),
+    path AS (
+      SELECT word, word AS root, form AS next FROM formed
+      UNION ALL SELECT path.word, path.next, formed.form FROM path JOIN formed ON formed.word = path.next)
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM path WHERE next IS NULL) USING (word)"""
+
+_TRIE_SQL = f"""
+    WITH crc AS (SELECT {_CRC_TABLE} AS steps),
+    turns AS (
+      SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+      FROM conversations),
+    convs AS (SELECT conv_id, {_crc_sql("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM conversations), crc),
+    rebuilt AS (
+      SELECT convs.conv_id, k, role, text FROM convs JOIN turns ON turns.conv_id = convs.conv_id - convs.conv_id % 20 AND k <= h
+      UNION ALL SELECT convs.conv_id, k, role, text FROM convs JOIN turns ON turns.conv_id = convs.conv_id AND k > h),
+    lines AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS depth, sha256(role || chr(10) || text) AS said,
+        len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM rebuilt),
+    path AS (
+      SELECT conv_id, depth, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key, words FROM lines
+      UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+    sized AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS is_last FROM path),
+    node AS (
+      SELECT key, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saves,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_last), '')) AS ends_sha256
+      FROM sized GROUP BY key),
+    held AS (
+      SELECT path.key, node.key AS below, node.saves, node.depth - path.depth AS deeper
+      FROM node JOIN path ON path.conv_id = node.conv_id AND path.depth <= node.depth),
+    parent AS (SELECT below AS key, held.key AS up FROM held WHERE deeper = 1),
+    child AS (SELECT up AS key, count(*) AS n_children FROM parent GROUP BY up),
+    total AS (
+      SELECT held.key, sum(saves)::BIGINT AS saved_tokens, count(*) FILTER (child.key IS NULL) AS n_leaves
+      FROM held LEFT JOIN child ON child.key = held.below GROUP BY held.key)
+    SELECT node.conv_id, node.depth, above.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, node.ends_sha256
+    FROM node JOIN total USING (key) LEFT JOIN child USING (key) LEFT JOIN parent ON parent.key = node.key LEFT JOIN node above ON above.key = parent.up"""
+
+
 ORACLES: dict[str, str] = {
     "op3_chat_format": f"""
     WITH turns AS (
@@ -189,4 +274,6 @@ ORACLES: dict[str, str] = {
       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
     FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
     "op10_mixing": _mixing_sql(0.5, 100),
+    "op11_spelling": _SPELLING_SQL,
+    "op12_prefix_trie": _TRIE_SQL,
 }
