@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import shared_dir, written
+from .ordering import running
 
 #: Steps at most; the number of steps grows with the logarithm of the longest chain.
 MOST_ROUNDS = 60
@@ -82,53 +84,115 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components aren't complete after {MOST_ROUNDS} rounds")
 
 
-def _complete_link(ids: Sequence, same: set) -> list[list]:
-    """Groups in which all pairs are the same: records are placed in order; a record that fits several groups joins them if all their pairs are the same, else the group with the least ids."""
-    alike = lambda a, b: (a, b) in same or (b, a) in same
-    groups: list[list] = []
-    for record in ids:
-        fits = [g for g in groups if all(alike(record, m) for m in g)]
-        if not fits:
-            groups.append([record])
-            continue
-        merged = [m for g in fits for m in g]
-        if len(fits) > 1 and all(alike(a, b) for i, a in enumerate(merged) for b in merged[i + 1 :]):
-            groups = [g for g in groups if g not in fits]
-            groups.append([*merged, record])
+def _placed(root: tuple, members: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """Places the records of a component that are next in order. known: what they are to groups so far (fits) and to each other (same, apart)."""
+    fits: dict = defaultdict(set)
+    least: dict = {}
+    near: dict[str, dict] = {"same": defaultdict(set), "apart": defaultdict(set)}
+    for kind, record, other, lowest in zip(known["kind"], known["candidate_id"], known["other"], known["least"], strict=True):
+        if kind == "fits":
+            fits[record].add(other)
+            least[other] = lowest
         else:
-            min(fits, key=lambda g: sorted(g)).append(record)
-    return groups
-
-
-def complete_link_groups(records: DataFrame, related: DataFrame) -> DataFrame:
+            near[kind][record].add(other)
+            near[kind][other].add(record)
+    founder: dict = {}
+    size: Counter = Counter()
+    sources: dict = defaultdict(Counter)
+    ordered = members.sort_values("position")
+    source_of = dict(zip(ordered["candidate_id"], zip(ordered["source"], ordered["region"], strict=True), strict=True))
+    for record, (source, region) in source_of.items():
+        alike = Counter(founder[m] for m in near["same"][record] if m in founder)
+        if source is not None:
+            alike += sources[source]
+            if region is not None:  # but for those that have another region
+                alike -= sources[source, "any"] - sources[source, "in", region]
+            alike -= Counter(founder[m] for m in near["apart"][record] if m in founder)
+        old = {g for g in fits[record] if alike[g] == size[g]}
+        new = {g for g, n in alike.items() if n == size[g] and g in source_of}
+        group = min(old | new, key=least.__getitem__, default=record)
+        founder[record] = group
+        size[group] += 1
+        sources[source][group] += 1
+        if region is not None:
+            sources[source, "any"][group] += 1
+            sources[source, "in", region][group] += 1
+        least[group] = min(least.get(group, record), record)
+    given, places = zip(*source_of.values(), strict=True)
+    return pd.DataFrame({"candidate_id": list(founder), "founder": list(founder.values()), "source": given, "region": places})
+
+
+def complete_link_groups(records: DataFrame, related: DataFrame, links: int = 200_000) -> DataFrame:
     """candidate_id and group_id (its least member): groups whose pairs are all SAME_EVENT.
 
-    records: candidate_id and order_key, by which records are placed. Components of the SAME_EVENT
-    graph never share a group, so each is resolved by itself. A component in which all pairs are the
-    same is one group, which its counts of records and pairs tell; so do records without an edge. Only
-    what is left is placed record by record, a component in a task: it must stem from pairs of one
-    event, not from a hub.
+    records: candidate_id, order_key and, if they are there, source (a key that is equal for records of one source; they
+    are the same without being listed as pairs) and region (of two established regions none are the same). related:
+    left_id, right_id, relation; DISTINCT_EVENT goes before an equal source. Records are placed in the order of order_key and id: one joins a group if it is the same as all
+    its members, of several the one with the least id (two groups always hold a pair that is not the same, so they
+    never merge), else it opens a group.
+
+    Components of the SAME_EVENT graph never share a group. Those in which all pairs are the same are one group,
+    which their counts tell, so do records without an edge. The others are placed in steps: each takes as many of
+    the next records of a component as have that many links; a join counts to how many members of each group so far a
+    record is the same, and where that is the group's size it fits. What the records of a step are to each other is
+    settled in a task, which holds their links and no more, so most components take a single step and very large ones
+    as many as their links fill. Records of one source are counted by source and group, never paired.
     """
-    same = related.where("relation = 'SAME_EVENT' and left_id <> right_id").select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id")).distinct()
-    same, _ = written(same)
-    roots = components(same)
-    placed = records.join(roots.withColumnRenamed("node", "candidate_id"), "candidate_id", "left")
+    kind = dict(records.dtypes)["candidate_id"]
+    given = [(F.col(c) if c in records.columns else F.lit(None)).cast("string").alias(c) for c in ("source", "region")]
+    records = records.select("candidate_id", "order_key", *given)
+    pairs = related.where("left_id <> right_id").groupBy(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"))
+    pairs = pairs.agg(F.min("relation").alias("relation"))  # DISTINCT_EVENT before SAME_EVENT
+    for side in ("left", "right"):
+        pairs = pairs.join(records.select(F.col("candidate_id").alias(f"{side}_id"), F.col("source").alias(f"{side}_source"), F.col("region").alias(f"{side}_region")), f"{side}_id")
+    pairs = pairs.where("left_region is null or right_region is null or left_region = right_region")
+    one_source = F.coalesce(F.col("left_source") == F.col("right_source"), F.lit(False))
+    pairs = pairs.select("left_id", "right_id", F.when(F.col("relation") == "SAME_EVENT", F.when(~one_source, "same")).otherwise(F.when(one_source, "apart")).alias("kind"))
+    pairs, _ = written(pairs.where("kind is not null"))
+    least = records.where("source is not null").groupBy("source").agg(F.min("candidate_id").alias("left_id"))
+    stars = records.join(least, "source").where("left_id <> candidate_id").select("left_id", F.col("candidate_id").alias("right_id"))
+    roots = components(pairs.where("kind = 'same'").select("left_id", "right_id").union(stars))
+
+    placed, _ = written(records.join(roots.withColumnRenamed("node", "candidate_id"), "candidate_id", "left"))
     alone = placed.where("root is null").select("candidate_id", F.col("candidate_id").alias("group_id"))
-    links = same.join(roots.select(F.col("node").alias("left_id"), F.col("root").alias("link_root")), "left_id").select("link_root", "left_id", "right_id")
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(links.groupBy(F.col("link_root").alias("root")).agg(F.count(F.lit(1)).alias("m")), "root")
-    open_, _ = written(sizes.where("2 * m <> n * (n - 1)").select("root"))
+    by_root = pairs.join(roots.withColumnRenamed("node", "left_id"), "left_id")
+    listed = by_root.groupBy("root").agg(F.sum(F.when(F.col("kind") == "same", 1).otherwise(-1)).alias("pairs"))
+    counts = placed.where("root is not null").groupBy("root", "source", "region").agg(F.count(F.lit(1)).alias("n"))
+    established = F.when(F.col("region").isNotNull(), F.col("n")).otherwise(0)
+    counts = counts.groupBy("root", "source").agg(F.sum("n").alias("n"), F.sum(established).alias("e"), F.sum(established * established).alias("squares"))
+    implied = F.when(F.col("source").isNotNull(), F.expr("(n * (n - 1) - (e * e - squares)) div 2")).otherwise(0)
+    sizes = counts.groupBy("root").agg(F.sum("n").alias("n"), F.sum(implied).alias("implied")).join(listed, "root", "left")
+    open_, seen = written(sizes.where("implied + coalesce(pairs, 0) <> n * (n - 1) div 2").select("root"))
     whole = placed.where("root is not null").join(open_, "root", "left_anti").select("candidate_id", F.col("root").alias("group_id"))
-    members = placed.join(open_, "root", "left_semi").select("root", "candidate_id", "order_key")
-    links = links.join(open_.withColumnRenamed("root", "link_root"), "link_root", "left_semi")
-    kind = dict(records.dtypes)["candidate_id"]
-
-    def resolve(key: tuple, members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        ordered = members.sort_values(["order_key", "candidate_id"])["candidate_id"].tolist()
-        groups = _complete_link(ordered, set(zip(links["left_id"], links["right_id"], strict=True)))
-        return pd.DataFrame([(m, min(g)) for g in groups for m in g], columns=["candidate_id", "group_id"])
-
-    found = members.groupBy("root").cogroup(links.groupBy("link_root")).applyInPandas(resolve, f"candidate_id {kind}, group_id {kind}")
-    return alone.unionByName(whole).unionByName(found)
+    if not seen["rows"]:
+        return alone.unionByName(whole)
+
+    both = pairs.union(pairs.select("right_id", "left_id", "kind")).toDF("candidate_id", "other", "kind")
+    degree = both.groupBy("candidate_id").agg((F.count(F.lit(1)) + 1).alias("weight"))
+    members = placed.join(open_, "root", "left_semi").join(degree, "candidate_id", "left")
+    members = running(members, ["root"], ["order_key", "candidate_id"], F.coalesce("weight", F.lit(1)), "position")
+    members, seen = written(members.select("root", "candidate_id", "source", "region", "position", F.expr(f"position div {links}").alias("step")), last=F.max("step"))
+    folder = f"{shared_dir(records.sparkSession)}/placed-{uuid.uuid4().hex}"
+    row = f"candidate_id {kind}, founder {kind}, source string, region string"
+    for step in range(seen["last"] + 1):
+        now = members.where(F.col("step") == step).select("root", "candidate_id", "source", "region", "position")
+        mine = both.join(now.select("root", "candidate_id"), "candidate_id")
+        inside = mine.join(now.select(F.col("candidate_id").alias("other")), "other", "left_semi").where("candidate_id < other")
+        known = inside.select("root", "kind", "candidate_id", "other", F.col("other").alias("least"))
+        if step:
+            done = records.sparkSession.read.schema(row).parquet(folder)
+            met = mine.join(done.select(F.col("candidate_id").alias("other"), "founder"), "other").select("root", "candidate_id", "founder", F.when(F.col("kind") == "same", 1).otherwise(-1).alias("n"))
+            shared = done.where("source is not null").groupBy("source", F.col("region").alias("other"), "founder").agg(F.count(F.lit(1)).alias("n"))
+            shared = now.join(shared, "source").where("region is null or other is null or region = other")
+            met = met.union(shared.select("root", "candidate_id", "founder", "n"))
+            groups = done.groupBy("founder").agg(F.count(F.lit(1)).alias("size"), F.min("candidate_id").alias("least"))
+            fits = met.groupBy("root", "candidate_id", "founder").agg(F.sum("n").alias("n")).join(groups, "founder").where("n = size")
+            known = known.unionByName(fits.select("root", F.lit("fits").alias("kind"), "candidate_id", F.col("founder").alias("other"), "least"))
+        known = known.withColumnRenamed("root", "of")
+        now.groupBy("root").cogroup(known.groupBy("of")).applyInPandas(_placed, row).write.mode("append").parquet(folder)
+    done = records.sparkSession.read.schema(row).parquet(folder)
+    names = done.groupBy("founder").agg(F.min("candidate_id").alias("group_id"))
+    return alone.unionByName(whole).unionByName(done.join(names, "founder").select("candidate_id", "group_id"))
 
 
 def group_pairs(groups: DataFrame, group: str, member: str) -> DataFrame:

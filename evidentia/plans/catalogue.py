@@ -528,19 +528,39 @@ def connected_components(spark, d):
     return entities.components(fact_pairs(spark, d))
 
 
-@query()
+_GREEDY = """
+i AS (SELECT DISTINCT ON (id) l_orderkey * 10 + l_linenumber AS id, l_orderkey || ':' || l_partkey AS source, l_suppkey FROM lineitem ORDER BY id, l_partkey, l_suppkey),
+g AS (SELECT id, CASE WHEN s_acctbal > 5000 THEN n_regionkey END AS region FROM i JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
+every AS (SELECT left_id, right_id FROM p UNION SELECT a.id, b.id FROM i a JOIN i b ON b.id = a.id + 1 WHERE a.id % 50 IN (1, 3)
+  UNION SELECT a.id, b.id FROM i a JOIN i b ON a.source = b.source AND a.id < b.id),
+same AS (SELECT left_id, right_id FROM every JOIN g a ON a.id = left_id JOIN g b ON b.id = right_id WHERE coalesce(a.region = b.region, true)),
+e AS (SELECT left_id AS a, right_id AS b FROM same UNION SELECT right_id, left_id FROM same),
+walk AS (SELECT a AS node, a AS seen FROM e UNION SELECT node, b FROM walk JOIN e ON seen = a),
+roots AS (SELECT node, min(seen) AS root FROM walk GROUP BY node),
+placed AS (SELECT root, node AS id, row_number() OVER (PARTITION BY root ORDER BY node) AS pos, (SELECT list(b) FROM e WHERE e.a = node) AS near FROM roots),
+steps AS (
+  SELECT root, 0::BIGINT AS pos, []::BIGINT[][] AS groups FROM placed WHERE pos = 1
+  UNION ALL SELECT root, pos, CASE WHEN len(fits) = 0 THEN list_append(groups, [id])
+    ELSE list_transform(groups, lambda x: CASE WHEN x[1] = list_filter(fits, lambda y: list_min(y) = list_min(list_transform(fits, lambda z: list_min(z))))[1][1] THEN list_append(x, id) ELSE x END) END
+  FROM (SELECT t.root, t.pos, t.id, groups, list_filter(groups, lambda x: list_has_all(near, x)) AS fits FROM steps s JOIN placed t ON t.root = s.root AND t.pos = s.pos + 1)),
+last AS (SELECT arg_max(groups, pos) AS groups FROM steps GROUP BY root)"""
+
+
+@query(f"""
+WITH RECURSIVE {_FACTS}, {_GREEDY}, found AS (SELECT unnest(groups) AS members FROM last)
+SELECT unnest(members) AS candidate_id, list_min(members) AS group_id FROM found UNION ALL SELECT id, id FROM i WHERE id NOT IN (SELECT node FROM roots)""")
 def complete_link_groups(spark, d):
     """Line items as records: suppliers of different regions keep pairs apart, equal sources, equal facts and
     agreed proposals (here neighbours by id) put them together."""
-    records = _records(spark, d).dropDuplicates(["candidate_id"])
-    items = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("candidate_id"), "l_orderkey", "l_partkey", "l_suppkey").dropDuplicates(["candidate_id"])
+    first = F.min(F.struct("l_partkey", "l_suppkey")).alias("x")
+    items = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("candidate_id"), "l_orderkey").agg(first).select("candidate_id", F.concat_ws(":", "l_orderkey", "x.l_partkey").alias("source"), "x.l_suppkey")
     places = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.when(F.col("s_acctbal") > 5000, F.col("n_regionkey")).alias("region_id"))
     facts = fact_pairs(spark, d)
-    proposed = items.where("candidate_id % 50 = 0").select(F.col("candidate_id").alias("left_id"), (F.col("candidate_id") + 1).alias("right_id")).join(items.select(F.col("candidate_id").alias("right_id")), "right_id", "left_semi").select("left_id", "right_id")
-    sources = identity_operators.exact_source_pairs(items, F.concat_ws(":", "l_orderkey", "l_partkey"), "candidate_id")
-    distinct = identity_operators.region_conflicts(facts.unionByName(proposed).unionByName(sources).distinct(), items.join(places, "l_suppkey").select("candidate_id", "region_id"))
-    related = entities.relations(distinct, sources, facts, proposed)
-    return entities.complete_link_groups(records.select("candidate_id", F.col("candidate_id").alias("order_key")), related)
+    proposed = items.where("candidate_id % 50 in (1, 3)").select(F.col("candidate_id").alias("left_id"), (F.col("candidate_id") + 1).alias("right_id")).join(items.select(F.col("candidate_id").alias("right_id")), "right_id", "left_semi").select("left_id", "right_id")
+    records = items.join(places, "l_suppkey").select("candidate_id", F.col("candidate_id").alias("order_key"), "source", F.col("region_id").alias("region"))
+    none = facts.limit(0)
+    distinct = identity_operators.region_conflicts(facts.unionByName(proposed).distinct(), records.select("candidate_id", F.col("region").alias("region_id")))
+    return entities.complete_link_groups(records, entities.relations(distinct, none, facts, proposed))
 
 
 # ---- pages
