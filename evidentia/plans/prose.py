@@ -94,4 +94,4 @@ def numeric_grounding(spark, d):
     rows = given(spark, d, _PRICES)
     found = quantities.stated(rows, "item", F.col("said")).withColumn("l_orderkey", F.floor(F.col("item") / 10))
     own, other = (found.withColumn("side", F.concat_ws(":", "l_orderkey", parity)) for parity in (F.col("item") % 2, 1 - F.col("item") % 2))
-    return quantities.ungrounded(quantities.checked(own), other, "side").select("item", "value")
+    return quantities.without_evidence(quantities.checked(own), other, "side").select("item", "value")

@@ -82,6 +82,33 @@ def test_quantities(spark):
         assert found.get(i, []) == [(v, tuple(sorted(u))) for v, u in want], text_
 
 
+VALUES = {
+    "₹5,000 crore to ₹10,000 crore": [5e10, 1e11], "1조 9000억 원": [1.9e12], "3만4000人": [34000.0], "16,4 millones de euros": [16.4e6], "$1.93 billion": [1.93e9], "€800 millions": [8e8],
+    "The line is 1,234 km long and costs $1.5 billion.": [1.234e6, 1.5e9], "Die Strecke ist 1,234 km lang und kostet 1,5 Mrd. Euro.": [1234.0, 1.5e9],
+    "Le projet de 1.234 km coûtera 2,5 milliards d'euros.": [1.234e6, 2.5e9], "The line is 1,234 km long.": [None], "A contract of 91.766 billion KRW": [9.1766e10],
+    "Kosten von 1.250 Millionen Euro": [1.25e9], "Kosten von 1.234 Millionen Euro": [None], "Orders of ₹2,500 crore": [2.5e10], "₹1,25,000 crore": [1.25e12],
+    "1.234.567 passengers": [1234567.0], "1,234,567.5 passengers": [1234567.5], "1.234.567,5 passengers": [1234567.5], "0,500 km": [500.0], "16,4 km": [16400.0], "運賃は1,234円": [1234.0],
+}
+
+
+def test_values(spark):
+    df = spark.createDataFrame(list(enumerate(VALUES)), "i int, x string")
+    found: dict = {}
+    for r in quantities.stated(df, "i", F.col("x")).orderBy("i", "ordinal").collect():
+        found.setdefault(r.i, []).append(r.value)
+    for i, (text_, want) in enumerate(VALUES.items()):
+        assert found[i] == [v if v is None else pytest.approx(v) for v in want], text_
+
+
+def test_units_and_what_is_checked(spark):
+    one = spark.createDataFrame([(1, "a 31-km line, 42 miles, 2.3 percentage points, up 37%, €16.4m, 300억 원")], "i int, x string")
+    got = {r.raw: r.unit for r in quantities.stated(one, "i", F.col("x")).collect()}
+    assert got == {"31-km": ["length"], "42 miles": ["mile"], "2.3 percentage points": ["percentage_point"], "37%": ["percent"], "16.4m": ["EUR"], "300억 원": ["KRW"]}
+    two = spark.createDataFrame([(1, "2026年10月27日，共19站、全長31公里，增加37%，經費1,640萬歐元，34列"), (2, "5,000億至1兆")], "i int, x string")
+    found = quantities.checked(quantities.stated(two, "i", F.col("x"), report=True)).orderBy("i", "ordinal").collect()
+    assert [(r.raw, r.value) for r in found] == [("31公里", 31000.0), ("37%", 37.0), ("1,640萬歐元", 16.4e6), ("5,000億", 5e11), ("1兆", 1e12)]
+
+
 @pytest.mark.parametrize(
     ("written", "evidence", "good"),
     [
@@ -92,7 +119,7 @@ def test_quantities(spark):
 def test_grounding(spark, written, evidence, good):
     frame = lambda t: spark.createDataFrame([(1, t)], "i int, x string")
     told = quantities.checked(quantities.stated(frame(written), "i", F.col("x"), report=True))
-    assert (quantities.ungrounded(told, quantities.stated(frame(evidence), "i", F.col("x")), "i").count() == 0) == good
+    assert (quantities.without_evidence(told, quantities.stated(frame(evidence), "i", F.col("x")), "i").count() == 0) == good
 
 
 def test_occurrences(spark):
