@@ -26,13 +26,15 @@ _END = re.compile(
     rf"\n|[{TERMINATORS}][{TERMINATORS}{re.escape(CLOSERS)}]*"
     rf"|([.!?])(?={_CLOSE}*+(?:\Z|\s++(?![\da-z])))[.!?{re.escape(CLOSERS)}]*"
 )
-#: A word is looked up among the abbreviations by its last characters.
-_WORD = 64
+_SPACE = re.compile(r"\s")
 
 
 def _abbreviated(text: str, dot: int) -> bool:
     """Whether the period at dot belongs to an abbreviation or a single letter."""
-    before = text[max(0, dot - _WORD) : dot]
+    size = 64
+    while size < dot and not _SPACE.search(text, dot - size, dot):
+        size *= 2
+    before = text[max(0, dot - size) : dot]
     word = before[len(before) - len(before.split()[-1]) :] if before and not before[-1].isspace() else ""
     word = word.strip(OPENERS).casefold()
     return word in ABBREVIATIONS or (len(word) == 1 and word.isalpha())

@@ -14,12 +14,25 @@ def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?", group)
 
 
+def _port_is_legal(url: Column) -> Column:
+    port = F.regexp_extract(_part(url, 2), r":([^:\]]*)$", 1)
+    return (port == "") | (F.regexp_like(port, F.lit(r"^\d{1,5}$")) & (F.coalesce(port.try_cast("int"), F.lit(99999)) <= 65535))
+
+
 def strip_tracking(url: Column) -> Column:
-    """Without fragment and tracking parameters; everything else as it is."""
-    query = F.substr(_part(url, 4), F.lit(2))
-    name = lambda p: F.lower(F.substring_index(p, "=", 1))
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).startswith(TRACKING_PREFIX) & ~name(p).isin(*TRACKING)), "&")
-    return F.concat(_part(url, 1), F.lit("://"), _part(url, 2), _part(url, 3), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+    """Without fragment and tracking parameters, whose names may be percent-encoded; everything else as it is. Empty
+    for anything but http and https with a host and a legal port."""
+    bare = F.trim(url)
+    query = F.substr(_part(bare, 4), F.lit(2))
+
+    def name(p: Column) -> Column:
+        raw = F.substring_index(p, "=", 1)
+        return F.lower(F.coalesce(F.try_url_decode(raw), raw))
+
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: ~name(p).startswith(TRACKING_PREFIX) & ~name(p).isin(*TRACKING)), "&")
+    clean = F.concat(_part(bare, 1), F.lit("://"), _part(bare, 2), _part(bare, 3), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+    usable = F.lower(_part(bare, 1)).isin("http", "https") & (_part(bare, 2) != "") & _port_is_legal(bare)
+    return F.when(usable, clean).otherwise("")
 
 
 def identity_form(url: Column) -> Column:
@@ -48,10 +61,8 @@ def resource_key(url: Column) -> Column:
 
 def exact(url: Column) -> Column:
     """Whether a url can be used as it is: http or https, a host, a legal port, no spaces or control characters, no broken %xx."""
-    port = F.regexp_extract(_part(url, 2), r":([^:\]]*)$", 1)
-    good_port = (port == "") | (F.regexp_like(port, F.lit(r"^\d{1,5}$")) & (F.coalesce(port.try_cast("int"), F.lit(99999)) <= 65535))
     return F.coalesce(
-        F.lower(_part(url, 1)).isin("http", "https") & (host(url) != "") & good_port
+        F.lower(_part(url, 1)).isin("http", "https") & (host(url) != "") & _port_is_legal(url)
         & ~F.regexp_like(url, F.lit(r"[\s\x00-\x1f\x7f]")) & ~F.regexp_like(url, F.lit("%(?![0-9A-Fa-f]{2})")),
         F.lit(False),
     )

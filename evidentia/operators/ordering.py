@@ -23,7 +23,10 @@ def running(rows: DataFrame, group: Sequence[str], order: Sequence[str | Column]
     placed, _ = written(spread.withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
     sums = placed.groupBy(*keys, "__range").agg(F.sum("__weight").alias("__sum"))
     earlier = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
+    sums = sums.select(*[F.col(c).alias(f"__of_{k}") for k, c in enumerate(group)], F.col("__range").alias("__of"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
     inside = Window.partitionBy(*group, "__range").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    found = placed.join(sums, [*group, "__range"]).withColumn(name, F.col("__base") + F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
-    return found.drop("__weight", "__range", "__at", "__base")
+    same = placed["__range"] == sums["__of"]
+    for k, c in enumerate(group):  # a null group is a group
+        same &= placed[c].eqNullSafe(sums[f"__of_{k}"])
+    found = placed.join(sums, same).withColumn(name, F.col("__base") + F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
+    return found.select(*rows.columns, name)

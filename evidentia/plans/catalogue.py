@@ -16,8 +16,8 @@ from ..operators import constraints, dedup, entities, lookup, proposals, tempora
 from ..sources import html
 from ..sources.tables import table
 from ..streaming import weekly
-from . import delivery, discovery, identity, prose, report, review, trials  # noqa: F401
-from ._register import ORACLES, QUERIES, query  # noqa: F401
+from . import delivery, discovery, identity, prose, report, review, sources, trials  # noqa: F401
+from ._register import ORACLES, QUERIES, duck, given, query  # noqa: F401
 
 REPORT_START, REPORT_END = "1997-03-10", "1997-03-16"
 ALLOWED_REGIONS = ("ASIA", "EUROPE", "AMERICA")
@@ -44,13 +44,17 @@ def url_identity_form(spark, d):
     return table(spark, d, "pages").select("page_id", urls.identity_form(F.col("url")).alias("identity_url"))
 
 
-@query("""
-WITH parts AS (SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) AS base, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages),
-kept AS (SELECT page_id, base, array_to_string(list_filter(string_split(q, '&'), lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_')
-  AND lower(split_part(p, '=', 1)) NOT IN ('fbclid', 'gclid')), '&') AS q FROM parts)
-SELECT page_id, base || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS clean_url FROM kept""")
+_TRACKED = """SELECT page_id, regexp_replace(url, '#.*$', '') || CASE WHEN page_id % 4 = 0 THEN '' WHEN url LIKE '%?%' THEN '&' ELSE '?' END
+  || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'utm%5Fsource=x&b=1' WHEN 2 THEN 'c=2&&FB%63lid=3&d' ELSE 'gclid&e%zz=4' END || CASE WHEN page_id % 5 = 0 THEN '#top' ELSE '' END AS url FROM {pages}"""
+
+
+@query(f"""
+WITH u AS ({duck(_TRACKED)}), parts AS (SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) AS base, regexp_extract(url, '\\?([^#]*)', 1) AS q, regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS place FROM u),
+kept AS (SELECT page_id, base, place, array_to_string(list_filter(string_split(q, '&'), lambda p: NOT regexp_matches(url_decode(replace(split_part(p, '=', 1), '+', ' ')), '(?i)^(utm_.*|fbclid|gclid)$')), '&') AS q FROM parts)
+SELECT page_id, CASE WHEN place <> '' AND regexp_matches(base, '(?i)^https?://') THEN base || CASE WHEN q <> '' THEN '?' || q ELSE '' END ELSE '' END AS clean_url FROM kept""")
 def url_strip_tracking(spark, d):
-    return table(spark, d, "pages").select("page_id", urls.strip_tracking(F.col("url")).alias("clean_url"))
+    """Urls of pages with tracking parameters, some of which have encoded names."""
+    return given(spark, d, _TRACKED).select("page_id", urls.strip_tracking(F.col("url")).alias("clean_url"))
 
 
 @query("""

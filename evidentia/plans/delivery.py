@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..sources.tables import table
-from ..streaming import ledger
+from ..streaming import deliveries, ledger, weekly
 from ._register import duck, given, query
 
 
@@ -32,6 +32,65 @@ def ledger_fold(spark, d):
     return ledger.fold(_transitions(spark, d))
 
 
+_AGED = """
+WITH RECURSIVE t AS (SELECT user_id::VARCHAR AS recipient_key, CASE WHEN event_type IN ('click', 'view') THEN 'ATTEMPTED' WHEN event_type = 'purchase' THEN 'SENT' ELSE 'NOT_SENT' END AS new_state,
+    (event_id % 2)::VARCHAR AS claim, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type <> 'error'),
+s AS (SELECT DISTINCT recipient_key, 0::BIGINT AS n, NULL::VARCHAR AS state, NULL::VARCHAR AS claim_id, NULL::TIMESTAMP AS since, 0::BIGINT AS legal, 0::BIGINT AS refused FROM t
+  UNION ALL
+  SELECT recipient_key, n, CASE WHEN good THEN new_state ELSE aged END, CASE WHEN good THEN claim ELSE claim_id END, CASE WHEN good AND new_state = 'ATTEMPTED' THEN ts ELSE since END, legal + good::BIGINT, refused + (NOT good)::BIGINT
+  FROM (SELECT *, CASE WHEN new_state = 'ATTEMPTED' THEN aged IS NULL OR aged IN ('NOT_SENT', 'RELEASED') ELSE coalesce(aged = 'ATTEMPTED' AND claim_id = claim, false) END AS good
+    FROM (SELECT s.recipient_key, t.n, t.new_state, t.claim, t.ts, s.claim_id, s.since, s.legal, s.refused, CASE WHEN s.state = 'ATTEMPTED' AND t.ts - s.since >= INTERVAL 24 HOURS THEN 'RELEASED' ELSE s.state END AS aged
+      FROM s JOIN t ON s.recipient_key = t.recipient_key AND t.n = s.n + 1)))
+SELECT recipient_key, CASE WHEN state = 'ATTEMPTED' AND (SELECT max(ts) FROM t) - since >= INTERVAL 24 HOURS THEN 'RELEASED' ELSE state END AS state, claim_id, legal, refused
+FROM s QUALIFY row_number() OVER (PARTITION BY recipient_key ORDER BY n DESC) = 1"""
+
+
+def _timed(events: DataFrame) -> DataFrame:
+    state = F.when(F.col("event_type").isin("click", "view"), "ATTEMPTED").when(F.col("event_type") == "purchase", "SENT").otherwise("NOT_SENT")
+    rows = events.where("event_type <> 'error'")
+    return rows.select(F.col("user_id").cast("string").alias("recipient_key"), F.col("event_id").alias("seq"), state.alias("new_state"), (F.col("event_id") % 2).cast("string").alias("claim_id"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(_AGED)
+def ledger_fold_with_release(spark, d):
+    """The fold with claims that are released after a day."""
+    rows = _timed(table(spark, d, "events"))
+    return ledger.fold(rows, at="ts", until=rows.agg(F.max("ts")).scalar())
+
+
+@query(_AGED)
+def ledger_stream(spark, d):
+    """The same as a stream with a state for each recipient and a timer for each open claim."""
+    return deliveries.run_stream(spark, _timed(weekly.event_stream(spark, f"{d}/events.parquet")))
+
+
+@query("""
+WITH r AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pause FROM events),
+s AS (SELECT *, count(*) FILTER (pause IS NULL OR pause > INTERVAL 30 MINUTES) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM r)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTES AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
+def sessions(spark, d):
+    return weekly.sessions(table(spark, d, "events"), "user_id").select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n")
+
+
+@query("""
+WITH r AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pause FROM events),
+s AS (SELECT *, count(*) FILTER (pause IS NULL OR pause > INTERVAL 30 MINUTES) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM r)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTES AS session_end, count(*) AS n FROM s GROUP BY user_id, k
+HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 HOUR""")
+def closed_sessions(spark, d):
+    """Sessions as a stream in append mode: those that the watermark, an hour behind the last event, has closed."""
+    found = weekly.appended(spark, weekly.sessions(weekly.event_stream(spark, f"{d}/events.parquet"), "user_id"))
+    return found.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n")
+
+
+@query("""
+WITH w AS (SELECT event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS window_start FROM events)
+SELECT window_start, event_type, count(*) AS n FROM w GROUP BY ALL""")
+def sliding_counts(spark, d):
+    found = weekly.sliding(table(spark, d, "events"))
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
 _OUTCOMES = "SELECT user_id, user_id % 50 AS delivery, CASE WHEN max(event_id) % 5 < 2 THEN 'SENT' WHEN max(event_id) % 5 < 4 OR user_id % 50 < 25 THEN 'ALREADY_SENT' ELSE 'REJECTED' END AS outcome FROM {events} GROUP BY user_id"
 
 

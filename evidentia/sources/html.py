@@ -61,7 +61,8 @@ class Node:
 
     @property
     def role(self) -> str:
-        return self.attrs.get("role", "").strip().lower()
+        """The first of its roles; the others are for readers that don't know it."""
+        return (self.attrs.get("role", "").lower().split() or [""])[0]
 
     @property
     def props(self) -> list[str]:
@@ -234,26 +235,21 @@ def _reference_blocks(boundary: Node, url: str) -> tuple[Node, ...]:
 def _collected(boundary: Node, references: tuple[Node, ...], headings: bool = False) -> tuple[list[str], bool]:
     """Blocks of text of the boundary, and whether any of it is outside links."""
     blocks, prose = [[]], False
-
-    def visit(node: Node, linked: bool) -> None:
-        nonlocal prose
-        for x in node.parts:
-            if isinstance(x, str):
-                blocks[-1].append(x)
-                prose = prose or (not linked and bool(x.strip()))
-                continue
-            if x in references or x.excluded() or x.is_control or (x.tag in HEADINGS and not headings) or x.tag in ("head", "title"):
-                blocks.append([])
-                continue
-            if x.is_article and boundary.is_article and "articlebody" not in x.props:
-                continue  # a document below the document
-            if x.tag in BLOCKS:
-                blocks.append([])
-            visit(x, linked or x.tag == "a")
+    waiting: list = [(x, False) for x in reversed(boundary.parts)]
+    while waiting:  # a page may be nested deeper than calls can be
+        x, linked = waiting.pop()
+        if x is None:
+            blocks.append([])
+        elif isinstance(x, str):
+            blocks[-1].append(x)
+            prose = prose or (not linked and bool(x.strip()))
+        elif x in references or x.excluded() or x.is_control or (x.tag in HEADINGS and not headings) or x.tag in ("head", "title"):
+            blocks.append([])
+        elif not (x.is_article and boundary.is_article and "articlebody" not in x.props):  # else a document below the document
             if x.tag in BLOCKS:
                 blocks.append([])
-
-    visit(boundary, False)
+                waiting.append((None, False))
+            waiting += [(y, linked or x.tag == "a") for y in reversed(x.parts)]
     return [b for b in (clean("".join(x)) for x in blocks) if b], prose
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,27 +18,86 @@ IDLE, ENDS = ("NOT_SENT", "RELEASED"), ("SENT", "NOT_SENT", "RELEASED")
 RELEASE_HOURS, SEND_SECONDS = 24, 3600
 
 
-def fold(transitions: DataFrame) -> DataFrame:
-    """Last legal state per key: recipient_key, state, claim_id, legal, refused.
-
-    Refused transitions change nothing and are counted. transitions: recipient_key, seq, new_state, claim_id. A claim (ATTEMPTED) is legal where nothing is in
-    flight and nothing was sent; it ends with its own claim id only. The fold runs over a key's rows in the
-    order of seq, as one expression; a key's history is as long as its attempts.
+@dataclass
+class Entry:
+    """A recipient's place in the state machine."""
+
+    state: str | None = None
+    claim_id: str | None = None
+    #: Event time of the open claim in microseconds, where events have one.
+    claimed_at: int | None = None
+    legal: int = 0
+    refused: int = 0
+
+    def expire(self, now: int | None) -> bool:
+        """Releases an open claim that is old enough."""
+        old = self.state == "ATTEMPTED" and None not in (now, self.claimed_at) and now - self.claimed_at >= RELEASE_HOURS * 3_600_000_000
+        if old:
+            self.state = "RELEASED"
+        return old
+
+    def take(self, new_state: str | None, claim_id: str | None, at: int | None = None) -> None:
+        """A claim (ATTEMPTED) is legal where nothing is in flight and nothing was sent; it ends with its own claim id only."""
+        self.expire(at)
+        if new_state == "ATTEMPTED":
+            good = self.state is None or self.state in IDLE
+        else:
+            good = new_state in ENDS and self.state == "ATTEMPTED" and claim_id is not None and self.claim_id == claim_id
+        if good:
+            self.state, self.claim_id, self.legal = new_state, claim_id, self.legal + 1
+            if new_state == "ATTEMPTED":
+                self.claimed_at = at
+        else:
+            self.refused += 1
+
+
+_STATES = "recipient_key string, state string, claim_id string, legal long, refused long"
+
+
+def _folding():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, entry, started = None, Entry(), False
+
+        def row() -> tuple:
+            return key, entry.state, entry.claim_id, entry.legal, entry.refused
+
+        for batch in batches:
+            done = []
+            columns = [batch.column(c).to_pylist() for c in ("recipient_key", "new_state", "claim_id", "at", "until")]
+            for k, new_state, claim_id, at, until in zip(*columns, strict=True):
+                if not started or k != key:
+                    if started:
+                        entry.expire(last)
+                        done.append(row())
+                    key, entry, started = k, Entry(), True
+                entry.take(new_state, claim_id, at)
+                last = until
+            yield pa.RecordBatch.from_pylist([dict(zip(("recipient_key", "state", "claim_id", "legal", "refused"), r, strict=True)) for r in done], _ARROW)
+        if started:
+            entry.expire(last)
+            yield pa.RecordBatch.from_pylist([dict(zip(("recipient_key", "state", "claim_id", "legal", "refused"), row(), strict=True))], _ARROW)
+
+    return run
+
+
+_ARROW = pa.schema([("recipient_key", pa.string()), ("state", pa.string()), ("claim_id", pa.string()), ("legal", pa.int64()), ("refused", pa.int64())])
+
+
+def fold(transitions: DataFrame, at: str | None = None, until: Column | None = None) -> DataFrame:
+    """Last legal state per key: recipient_key, state, claim_id, legal, refused. Refused transitions change nothing and are counted.
+
+    transitions: recipient_key, seq, new_state, claim_id. A key's rows pass through a task in the order of seq, as a
+    stream of which it holds one state; keys are never gathered into a row or a group. With at (the column
+    of event time) an open claim is released once RELEASE_HOURS have passed at a later row of its key, or at the time `until`.
     """
-    row = F.struct("seq", "new_state", "claim_id")
-    gathered = transitions.groupBy("recipient_key").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    zero = F.struct(F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("claim_id"), F.lit(0).cast("long").alias("legal"), F.lit(0).cast("long").alias("refused"))
-
-    def step(at, t):
-        claims = (t["new_state"] == "ATTEMPTED") & (at["state"].isNull() | at["state"].isin(*IDLE))
-        ends = t["new_state"].isin(*ENDS) & F.coalesce((at["state"] == "ATTEMPTED") & (at["claim_id"] == t["claim_id"]), F.lit(False))
-        good = F.coalesce(claims | ends, F.lit(False))
-        return F.struct(
-            F.when(good, t["new_state"]).otherwise(at["state"]).alias("state"), F.when(good, t["claim_id"]).otherwise(at["claim_id"]).alias("claim_id"),
-            (at["legal"] + good.cast("long")).alias("legal"), (at["refused"] + (~good).cast("long")).alias("refused"),
-        )
-
-    return gathered.select("recipient_key", F.aggregate("rows", zero, step).alias("s")).select("recipient_key", "s.*")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    none = F.lit(None).cast("long")
+    rows = transitions.select(
+        F.col("recipient_key").cast("string").alias("recipient_key"), "seq", "new_state", F.col("claim_id").cast("string").alias("claim_id"),
+        (micros(F.col(at)) if at else none).alias("at"), (none if until is None else micros(until)).alias("until"),
+    )
+    ordered = rows.repartition("recipient_key").sortWithinPartitions("recipient_key", "seq")
+    return ordered.select("recipient_key", "new_state", "claim_id", "at", "until").mapInArrow(_folding(), _STATES)
 
 
 def roll_up(outcomes: DataFrame, group: str) -> DataFrame:

@@ -29,6 +29,9 @@ def test_sentences(spark):
         "她說「好。」然後走了。": ["她說「好。」", "然後走了。"],
         'He said "stop." Then he left.': ['He said "stop."', "Then he left."],
         "Plan B. Next": ["Plan B. Next"],
+        "x((((...st. Next one.": ["x((((...st.", "Next one."],
+        "(" * 100 + "st. Next": ["(" * 100 + "st. Next"],
+        "y" * 100 + "st. Next": ["y" * 100 + "st.", "Next"],
         "Really?! Yes...  \t": ["Really?!", "Yes..."],
         "": [],
         None: [],
@@ -133,6 +136,8 @@ def test_occurrences(spark):
 def test_urls(spark):
     u = ["HTTPS://User@WWW.Example.com:443/a/?utm_source=x&b=1&fbclid=2#top", "http://example.com", "http://exa mple.com/", "ftp://example.com/", "http://example.com/%zz", "http://example.com:99999/"]
     assert values(spark, urls.strip_tracking, u[:2]) == ["HTTPS://User@WWW.Example.com:443/a/?b=1", "http://example.com"]
+    encoded = ["http://h/?utm%5Fsource=x", " https://h/a?%66bclid=1&a%zz=2&&b+c=3#f", "http://h:99999/?a=1", "mailto:x@y", "http://h/?a=1&utm_x"]
+    assert values(spark, urls.strip_tracking, encoded) == ["http://h/", "https://h/a?a%zz=2&&b+c=3", "", "", "http://h/?a=1"]
     assert values(spark, urls.resource_key, u[:2]) == ["https|example.com||/a/|utm_source=x&b=1&fbclid=2", "http|example.com||/|"]
     assert values(spark, urls.exact, u) == [True, True, False, False, False, False]
     assert values(spark, urls.identity_form, ["HTTP://A.com/x//?q#f", "http://h", "http://h/", "ftp://h/", "x"]) == ["http://a.com/x?q", "http://h/", "http://h/", "", ""]
@@ -205,6 +210,13 @@ def test_principal_documents(html, url, status, body):
     assert (found[0], found[4]) == (status, body)
 
 
+def test_deep_pages_and_roles():
+    deep = "<div>" * 5000 + "text of the page" + "</div>" * 5000
+    assert read_page(f"<body>{deep}</body>", "http://h/x")[0] is not None
+    assert read_page("<body><div role='navigation menu'>NAV</div><main>Text here.</main></body>", "http://h/x")[4] == "Text here."
+    assert "NAV" not in read_page("<body><main><div role='navigation menu'>NAV</div>Text here.</main></body>", "http://h/x")[4]
+
+
 def test_dates_of_pages():
     data = '<script type="application/ld+json">{"@graph": [{"url": "http://h/x", "datePublished": "2026-09-07T10:00:00+08:00"}, {"url": "http://h/y", "datePublished": "2026-01-01"}, {"datePublished": "2026-01-02"}]}</script>'
     page = f"<head>{data}</head><article>a<time datetime='2026-09-08' itemprop=dateModified>t</time><time datetime='2026-01-03'>u</time><aside><time pubdate datetime='2026-01-04'>v</time></aside></article>"
@@ -225,36 +237,30 @@ def test_recipient_keys(spark):
     assert got == [hmac.new(b"k", b"a@x.org", hashlib.sha256).hexdigest(), None]
 
 
-def test_feeds(spark):
-    item = "<item><title>{}</title><link>http://a/{}</link><pubDate>x</pubDate></item>"
-    good = "<rss><channel><title>c</title>" + item.format("a", 1) + item.format("b", 2) + "</channel></rss>"
-    lacking = "<rss><channel><title>c</title><item><title>a</title></item></channel></rss>"
-    got = feeds.feed_items(spark.createDataFrame([(1, good), (2, lacking), (3, "no feed")], "feed_id long, body string")).collect()
-    assert [(r.feed_id, r.ordinal, r.title, r.link) for r in sorted(got)] == [(1, 0, "a", "http://a/1"), (1, 1, "b", "http://a/2")]
-
-
-def test_proposal_checks(spark):
-    rows = [("ASSIGNED", "c", None, "low_case", ["S1"]), ("ASSIGNED", None, None, "x", ["S1"]), ("ASSIGNED", "c", None, "Bad", ["S1"]), ("UNRESOLVED", None, "r", None, []), ("OTHER", None, None, None, ["S1"])]
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id int, state string, category_id string, reason string, subtype string, cited array<string>")
-    assert [r.violation for r in proposals.category(df).orderBy("event_id").collect()] == [None, "SHAPE", "SUBTYPE", "CITATION", "STATE"]
-    df = spark.createDataFrame([(["a"], ["a"], "AWARD_OR_RANKING", "REPORTABLE"), (["a"], ["a"], "OTHER", "REPORTABLE"), (["a"], ["b"], "OTHER", "REPORTABLE")], "examined array<string>, members array<string>, occurrence string, proposed string")
-    assert [(r.violation, r.state) for r in proposals.reportability(df).collect()] == [(None, "NOT_REPORTABLE"), (None, "REPORTABLE"), ("MEMBERS", None)]
-
-
-def test_exact_partition(spark):
-    ids_of = lambda *x: spark.createDataFrame([(i,) for i in x], "k long")
-    got = constraints.exact_partition(ids_of(1, 2, 3), "k", a=ids_of(1, 2), b=ids_of(2, 4)).collect()
-    assert sorted(map(tuple, got)) == [(2, 1, 2), (3, 1, 0), (4, 0, 1)]
+FEEDS = {
+    "<rss version='2.0'><channel><title>feed</title></channel></rss>": ("SUCCESS_ZERO_RESULTS", None, []),
+    "<rss>": ("INVALID_RESPONSE", "MALFORMED", []),
+    "no feed": ("INVALID_RESPONSE", "MALFORMED", []),
+    "": ("INVALID_RESPONSE", "MALFORMED", []),
+    "<feed><channel><item><title>a</title><link>b</link></item></channel></feed>": ("INVALID_RESPONSE", "UNEXPECTED_ROOT", []),
+    "<rss><channel><item><title>ok</title></item></channel></rss>": ("INVALID_RESPONSE", "MISSING_LINK", []),
+    "<rss><channel><item><title> </title><link>x</link></item></channel></rss>": ("INVALID_RESPONSE", "EMPTY_TITLE", []),
+    "<rss><channel><item><title>a</title><link>x</link><source>s</source><source>t</source></item></channel></rss>": ("INVALID_RESPONSE", "REPEATED_SOURCE", []),
+    "<rss><channel/><channel/></rss>": ("INVALID_RESPONSE", "CHANNELS", []),
+    "<rss/>": ("INVALID_RESPONSE", "CHANNELS", []),
+    "<?xml version='1.0'?><!-- c --><rss><channel><item><title>Story</title><link> https://n.example/story?a=1&amp;b </link><source url=' http://p.example '>Publisher</source><pubDate>2026-01-01</pubDate><description>Snippet</description></item></channel></rss>":
+        ("SUCCESS_WITH_RESULTS", None, [("Story", " https://n.example/story?a=1&b ", "Publisher", "2026-01-01", "Snippet", "http://p.example")]),
+    "<rss><channel><item><title>a</title><link>x</link><description/></item><item><title>b</title><link>y</link></item></channel></rss>":
+        ("SUCCESS_WITH_RESULTS", None, [("a", "x", "", "", "", ""), ("b", "y", "", "", "", "")]),
+}
 
 
-@pytest.mark.parametrize(
-    ("moves", "state", "refused"),
-    [
-        ([("ATTEMPTED", "a"), ("SENT", "a")], "SENT", 0), ([("ATTEMPTED", "a"), ("SENT", "b")], "ATTEMPTED", 1), ([("SENT", "a")], None, 1),
-        ([("ATTEMPTED", "a"), ("NOT_SENT", "a"), ("ATTEMPTED", "b"), ("SENT", "b"), ("ATTEMPTED", "c")], "SENT", 1), ([("ATTEMPTED", "a"), ("ATTEMPTED", "b"), ("RELEASED", "a")], "RELEASED", 1),
-    ],
-)
-def test_ledger(spark, moves, state, refused):
-    df = spark.createDataFrame([("k", i, *m) for i, m in enumerate(moves)], "recipient_key string, seq long, new_state string, claim_id string")
-    row = ledger.fold(df).first()
-    assert (row.state, row.refused, row.legal + row.refused) == (state, refused, len(moves))
+def test_feeds(spark):
+    df = spark.createDataFrame([*enumerate(FEEDS), (99, None)], "feed_id long, body string")
+    state = {r.feed_id: (r.status, r.reason) for r in feeds.feed_documents(df).collect()}
+    items: dict = {}
+    for r in feeds.feed_items(df).orderBy("feed_id", "ordinal").collect():
+        items.setdefault(r.feed_id, []).append((r.title, r.link, r.publisher, r.published, r.snippet, r.publisher_url))
+    for i, (body, (status, reason, want)) in enumerate(FEEDS.items()):
+        assert (*state[i], items.get(i, [])) == (status, reason, want), body
+    assert state[99] == ("INVALID_RESPONSE", "MALFORMED")
