@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions import sql
-from ..operators import outcomes
+from ..functions import plain_json, sql
+from ..functions.dates import LATENCY
+from ..operators import evidence_counts, outcomes
 from ..operators.outcomes import Stage
-from ..sources import feeds, journal
-from ..sources.tables import table
+from ..operators.proposals import GATES
+from ..sources import feeds, journal, outputs
+from ..sources.tables import shared_dir, table
 from ._register import duck, given, query
 
 # a feed of each order, an item of each of its line items; every eleventh part repeats its title, every thirteenth has no link
@@ -105,3 +109,77 @@ def registered_functions(spark, d):
         SELECT priority, week, host, units, characters, agreed_unit FROM n JOIN a USING (priority, week, host)""",
         orders=table(spark, d, "orders"),
     )
+
+
+_EVIDENCE = """SELECT l_orderkey * 100 + l_linenumber * 10 + l_suppkey % 10 AS pos, CASE WHEN l_quantity > 30 THEN 'READY' ELSE 'REJECTED' END AS state,
+  CASE WHEN l_quantity <= 30 AND l_partkey % 3 > 0 THEN 'R' || CAST(l_partkey % 5 AS STRING) END AS reject_reason,
+  CASE l_suppkey % 5 WHEN 0 THEN 'URL_VALIDATION' WHEN 1 THEN 'HTTP_STATUS' WHEN 2 THEN 'SOURCE_PROVENANCE' WHEN 3 THEN 'FACTUAL_SUBSTANCE' ELSE 'SEMANTIC_MATCH' END AS gate,
+  CASE WHEN l_linenumber < 6 THEN 200 + l_linenumber END AS status_code, CASE WHEN l_partkey % 7 = 0 THEN 'timeout' END AS transport_error, CASE WHEN l_partkey % 4 = 0 THEN 'Text/HTML; charset=x' ELSE '' END AS content_type,
+  CASE WHEN l_partkey % 11 = 0 THEN 'no plain token!' WHEN l_partkey % 2 = 0 THEN 'READY' END AS document_status, 'kind' || l_returnflag AS page_kind, CASE WHEN l_partkey % 3 = 0 THEN 'MATCH' END AS source_provenance,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'true' END AS canonical_related, CASE WHEN l_linenumber % 3 = 0 THEN 'true' END AS body_available, CAST(NULL AS STRING) AS factual_substance,
+  CASE WHEN l_partkey % 5 = 0 THEN 'SAME_EVENT' END AS relation, CASE WHEN l_partkey % 6 = 0 THEN 'valid' END AS validation, CASE WHEN l_partkey % 8 = 0 THEN 'DONE' END AS metadata_status,
+  'https://www.H' || CAST(l_suppkey AS STRING) || '.example/a' AS candidate_url, CASE WHEN l_suppkey % 3 > 0 THEN 'https://h' || CAST(l_suppkey + l_suppkey % 2 AS STRING) || '.example/b' END AS resolved_url,
+  l_linenumber * 4 AS hops, CAST(l_quantity AS INT) * 100 AS elapsed_ms, 'DIRECT' AS path, l_returnflag AS final_endpoint, l_linestatus AS consistency, 'h' || CAST(l_partkey % 40 AS STRING) AS initial_host,
+  CASE WHEN l_partkey % 9 = 0 THEN 'f' || CAST(l_partkey % 10 AS STRING) END AS failing_host, CAST(NULL AS STRING) AS mismatch FROM {lineitem}"""
+_BEHIND = {"transport_error": 2, "principal_document_status": 6, "source_provenance": 5, "canonical_related": 5, "body_available": 6, "factual_substance": 8, "semantic_relation": 9, "semantic_response_validation": 9}
+_NAMES = {"principal_document_status": "document_status", "semantic_relation": "relation", "semantic_response_validation": "validation"}
+
+
+def _counts_sql() -> str:
+    gates = ", ".join(f"'{g}'" for g in GATES)
+    token = lambda c: f"CASE WHEN {c} IS NOT NULL THEN CASE WHEN regexp_full_match({c}::VARCHAR, '[A-Za-z0-9_.:/-]{{1,96}}') THEN {c}::VARCHAR ELSE 'UNKNOWN' END END"
+    host = lambda c: f"nullif(regexp_replace(regexp_extract(lower({c}), '://([^/]*)', 1), '^www\\.', ''), '')"
+    one = {
+        "ready_count": "CASE WHEN state = 'READY' THEN 'READY' END", "rejected_count": "CASE WHEN state <> 'READY' THEN 'REJECTED' END", "reject_reason": "CASE WHEN state <> 'READY' THEN coalesce(reject_reason, 'UNKNOWN') END",
+        "rejection_gate": "CASE WHEN state <> 'READY' THEN gate END", "reason_gate": "CASE WHEN state <> 'READY' THEN coalesce(reject_reason, 'UNKNOWN') || '|' || gate END", "http_status": "status_code::VARCHAR",
+        "content_type": "CASE WHEN content_type <> '' THEN lower(split_part(content_type, ';', 1)) END", "page_kind": token("page_kind"), "metadata_extraction_status": "coalesce(metadata_status, CASE WHEN state <> 'READY' THEN 'NOT_REACHED' END)",
+        "candidate_hostname": host("candidate_url"), "resolved_hostname": host("resolved_url"), "redirect_hop_count": "CASE WHEN hops <= 20 THEN hops::VARCHAR ELSE '20+' END",
+        "host_transition": f"CASE WHEN resolved_url IS NULL THEN 'RESOLVED_HOST_MISSING' WHEN {host('candidate_url')} = {host('resolved_url')} THEN 'SAME_HOST' ELSE 'CHANGED_HOST' END",
+        "acquisition_path": "path", "acquisition_final_endpoint": "final_endpoint", "acquisition_redirect_consistency": "consistency", "acquisition_initial_hostname": "initial_host", "acquisition_failing_endpoint_hostname": "failing_host", "source_provenance_mismatch": "mismatch",
+    }
+    low = "0"
+    buckets = ""
+    for high in LATENCY:
+        buckets += f" WHEN elapsed_ms < {high} THEN '{low}-{high - 1}ms'"
+        low = str(high)
+    one["acquisition_latency_bucket"] = f"CASE{buckets} ELSE '{low}ms+' END"
+    for name, after in _BEHIND.items():
+        one[name] = f"coalesce({token(_NAMES.get(name, name))}, CASE WHEN list_position([{gates}], gate) < {after} THEN 'NOT_REACHED' END)"
+    signature = ("rejection_gate", "http_status", "transport_error", "content_type", "principal_document_status", "page_kind", "source_provenance", "canonical_related", "body_available", "factual_substance", "semantic_relation", "semantic_response_validation", "host_transition", "acquisition_path")
+    one["rejection_signature"] = "CASE WHEN state <> 'READY' THEN concat_ws(';', " + ", ".join(f"coalesce({one[p]}, '-')" for p in signature) + ") END"
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS dimension, {v} AS value, pos FROM e" for k, v in one.items())
+    return f"""WITH e AS ({duck(_EVIDENCE)}), v AS ({rows}), c AS (SELECT dimension, value, count(*) AS n, min(pos) AS first FROM v WHERE value IS NOT NULL GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY first, value) AS place FROM c)
+    SELECT dimension, CASE WHEN place > 31 AND dimension IN ('candidate_hostname', 'resolved_hostname', 'acquisition_initial_hostname', 'acquisition_failing_endpoint_hostname') THEN 'OTHER' ELSE value END AS value, sum(n)::BIGINT AS n FROM k GROUP BY ALL"""
+
+
+@query(_counts_sql())
+def evidence_distributions(spark, d):
+    """27 distributions of evidence and its two counts, in one pass over line items as evidence."""
+    return evidence_counts.evidence_distributions(given(spark, d, _EVIDENCE), "pos")
+
+
+@query("""
+WITH i AS (SELECT l_orderkey, '[' || string_agg('{"line": ' || l_linenumber || ', "flag": "' || l_returnflag || '", "quantity": ' || l_quantity::INTEGER || '.0, "none": null}', ', ' ORDER BY l_linenumber, l_partkey, l_suppkey) || ']' AS items FROM lineitem GROUP BY 1)
+SELECT o_orderkey, length(t)::BIGINT AS size, sha256(t) AS text_sha256 FROM (SELECT o_orderkey, '{"id": ' || o_orderkey || ', "said": "tab\\t \\"' || o_orderpriority || '\\" 億\\n", "day": "' || strftime(o_orderdate, '%Y-%m-%d') || '", "open": ' || CASE WHEN o_orderstatus = 'O' THEN 'true' ELSE 'false' END
+  || ', "items": ' || items || '}' AS t FROM orders JOIN i ON l_orderkey = o_orderkey)""")
+def payload_sizes(spark, d):
+    """Orders with their line items as nested rows: the size and hash of their JSON text."""
+    line = F.struct(F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").cast("int").cast("double").alias("quantity"), F.lit(None).cast("string").alias("none"))
+    sort = F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line"))
+    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(sort)), lambda x: x["line"]).alias("items"))  # an order has few lines
+    said = F.concat(F.lit('tab\t "'), "o_orderpriority", F.lit('" 億\n'))
+    record = F.struct(F.col("o_orderkey").alias("id"), said.alias("said"), F.col("o_orderdate").cast("date").alias("day"), (F.col("o_orderstatus") == "O").alias("open"), "items")
+    rows = table(spark, d, "orders").join(items, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", record.alias("r"))
+    kind = rows.schema["r"].dataType
+    return rows.select("o_orderkey", plain_json.payload_size(F.col("r"), kind).alias("size"), F.sha2(plain_json.plain(F.col("r"), kind), 256).alias("text_sha256"))
+
+
+@query("""
+SELECT 'orders' AS output, count(*) AS rows, count(DISTINCT o_custkey) AS keys FROM orders UNION ALL SELECT 'customers', count(*), count(DISTINCT c_custkey) FROM customer""")
+def published_outputs(spark, d):
+    """Two outputs of a run, published together and read from there."""
+    folder, run = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}", "run"
+    named = {"orders": table(spark, d, "orders").withColumnRenamed("o_custkey", "key"), "customers": table(spark, d, "customer").withColumnRenamed("c_custkey", "key")}
+    outputs.publish(named, folder, run)
+    return outputs.summary(outputs.published(spark, folder, run), "key")

@@ -1,14 +1,18 @@
 """Recorded answers, bodies, staged outcomes and registered functions."""
 
+import datetime
 import hashlib
+import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.functions import sql
-from evidentia.operators import outcomes
+from evidentia.functions import plain_json, sql
+from evidentia.operators import evidence_counts, outcomes
 from evidentia.operators.outcomes import RunAborted, Stage
-from evidentia.sources import feeds, journal
+from evidentia.sources import feeds, journal, outputs
 
 CALLS = "kind string, request string, response string, definitive boolean"
 
@@ -74,3 +78,51 @@ def test_registered_functions(spark):
     assert [(r.id, r.n, r.unit) for r in units] == [(1, 1, "甲。"), (1, 2, "乙")]
     agreed = spark.sql("SELECT k, agreed(v) AS a FROM VALUES (1, 'x'), (1, 'x'), (1, NULL), (2, 'x'), (2, 'y'), (3, NULL) AS t(k, v) GROUP BY k").collect()
     assert {r.k: r.a for r in agreed} == {1: "x", 2: None, 3: None}
+
+
+def test_counts_in_one_pass(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice(("a", "b", None)), f"h{rng.randrange(60)}" if k else None) for k in range(900)]
+    df = spark.createDataFrame(rows, "k long, x string, host string").repartition(7)
+    got = {(r.dimension, r.value): r.n for r in evidence_counts.counted(df, F.col("k"), {"x": F.col("x"), "host": F.col("host"), "none": F.lit(None)}, capped=("host",), cap=10).collect()}
+    seen = list(dict.fromkeys(h for _, _, h in rows if h))[:10]
+    want = Counter(("x", x) for _, x, _ in rows if x) + Counter(("host", h if h in seen else "OTHER") for _, _, h in rows if h)
+    assert got == dict(want)
+    assert evidence_counts.counted(df.limit(0), F.col("k"), {"x": F.col("x")}).count() == 0
+
+
+def test_plain_json(spark):
+    texts = ['plain "quoted" \\ back', "line\nend\r\t\b\f\x01\x1f", "億 é 😀", "", None]
+    doubles = [0.0, -0.0, 1.0, 0.1, -2.5, 1e16, 123456789012345680.0, 1e-4, 1.5e-5, 1e22, 12345678.9, 1e7, 123456789.125, 9999999.0, 1.5e-300, 1.7976931348623157e308, None]
+    schema = "i int, t string, n struct<d: double, l: array<struct<b: boolean, t: string>>, m: map<string, int>, day: date, none: array<int>>"
+    rows = [(k, texts[k % 5], (v, [(True, texts[(k + 1) % 5]), (None, None), None], {"b": 2, "a": None, "ä": 1}, datetime.date(2024, 2, 29) if k % 2 else None, [] if k % 3 else None)) for k, v in enumerate(doubles)]
+    df = spark.createDataFrame([*rows, (99, None, None)], schema)
+    kind = df.schema
+    found = df.select("i", plain_json.plain(F.struct(*df.columns), kind).alias("x"), plain_json.payload_size(F.struct(*df.columns), kind).alias("n")).collect()
+
+    def python(row) -> dict:
+        i, t, n = row
+        return {"i": i, "t": t, "n": n and {"d": n[0], "l": [x and dict(zip("bt", x, strict=True)) for x in n[1]], "m": dict(sorted(n[2].items())), "day": n[3] and n[3].isoformat(), "none": n[4]}}
+
+    want = {r[0]: json.dumps(python(r), ensure_ascii=False) for r in [*rows, (99, None, None)]}
+    for r in found:
+        assert r.x == want[r.i]
+    assert {r.i: r.n for r in found} == {i: len(x) for i, x in want.items()}
+
+
+def test_outputs_appear_together_or_not(spark, tmp_path):
+    folder = str(tmp_path)
+    good = spark.range(5)
+    failing = good.select(F.raise_error(F.lit("lost")).cast("string").alias("x"), "id")
+    assert outputs.published(spark, folder, "r1") == {}
+    with pytest.raises(Exception, match="lost"):
+        outputs.publish({"a": good, "b": failing}, folder, "r1")
+    assert outputs.published(spark, folder, "r1") == {}
+    outputs.publish({"a": good, "b": good.limit(0)}, folder, "r1")
+    assert {k: v.count() for k, v in outputs.published(spark, folder, "r1").items()} == {"a": 5, "b": 0}
+    with pytest.raises(Exception, match="lost"):  # a repeated run that fails leaves nothing of either
+        outputs.publish({"a": good, "b": failing}, folder, "r1")
+    assert outputs.published(spark, folder, "r1") == {}
+    for bad in ({}, {"manifest": good}, {"../x": good}):
+        with pytest.raises(ValueError):
+            outputs.publish(bad, folder, "r2")
