@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import plain_json, sql
 from ..functions.dates import LATENCY
-from ..operators import evidence_counts, outcomes
+from ..operators import audit_star, evidence_counts, integrity, outcomes, replay
 from ..operators.outcomes import Stage
 from ..operators.proposals import GATES
 from ..sources import feeds, journal, outputs
@@ -183,3 +183,97 @@ def published_outputs(spark, d):
     named = {"orders": table(spark, d, "orders").withColumnRenamed("o_custkey", "key"), "customers": table(spark, d, "customer").withColumnRenamed("c_custkey", "key")}
     outputs.publish(named, folder, run)
     return outputs.summary(outputs.published(spark, folder, run), "key")
+
+
+_STAR = """SELECT p_partkey AS candidate_id, p_size AS a, p_partkey % 17 AS b, p_partkey % 23 AS c, p_brand FROM {part}"""
+_GOOD = dict(audit_star.STAGES)
+# a part takes part in a stage by its size, is stopped there by its key, and every seventh leaves a gap instead
+_SIDES = {n: f"SELECT candidate_id, CASE WHEN b = {k} THEN 'STOPPED' ELSE '{good}' END AS state, CASE WHEN b = {k} THEN 'why ' || p_brand END AS reason FROM s WHERE a > {3 * k} AND c <> {k}" for k, (n, good) in enumerate(audit_star.STAGES)}
+
+
+def _star_sql() -> str:
+    sides = ", ".join(f"x_{n} AS ({sql_})" for n, sql_ in _SIDES.items())
+    joins = " ".join(f"LEFT JOIN x_{n} ON x_{n}.candidate_id = s.candidate_id LEFT JOIN gap g_{n} ON g_{n}.candidate_id = s.candidate_id AND g_{n}.stage = '{n}'" for n, _ in audit_star.STAGES)
+    case = lambda gap, missing, other, end: "CASE " + " ".join(f"WHEN g_{n}.reason IS NOT NULL THEN {gap(n)} WHEN x_{n}.state IS NULL THEN {missing(n)} WHEN x_{n}.state <> '{good}' THEN {other(n)}" for n, good in audit_star.STAGES) + f" ELSE {end} END"
+    said = lambda n: f"'{n}'"
+    states = " || ".join(f"coalesce(',\"{n}\":\"' || x_{n}.state || '\"', '')" for n, _ in audit_star.STAGES)
+    return f"""WITH s AS ({duck(_STAR)}), {sides}, gap AS (SELECT candidate_id, CASE c WHEN 0 THEN 'evidence' WHEN 3 THEN 'identity' ELSE 'writer' END AS stage, 'TIMEOUT' AS reason FROM s WHERE c IN (0, 3, 8) AND candidate_id % 7 = 0)
+    SELECT s.candidate_id, {case(said, said, said, "'writer'")} AS terminal_stage, {case(lambda n: "'TECHNICAL_GAP'", lambda n: "'NOT_REACHED'", lambda n: f"x_{n}.state", "'REPORTED'")} AS terminal_state,
+      {case(lambda n: f"g_{n}.reason", lambda n: "NULL", lambda n: f"x_{n}.reason", "NULL")} AS reason, '{{' || substr({states}, 2) || '}}' AS states FROM s {joins}"""
+
+
+@query(_star_sql())
+def selection_audit(spark, d):
+    """Parts as candidates with nine stages: where each of them ended."""
+    s = given(spark, d, _STAR)
+    sides = {n: spark.sql(sql_.replace("FROM s", "FROM {s}"), s=s) for n, sql_ in _SIDES.items()}
+    stage = F.when(F.col("c") == 0, "evidence").when(F.col("c") == 3, "identity").otherwise("writer")
+    gaps = s.where("c in (0, 3, 8) and candidate_id % 7 = 0").select("candidate_id", stage.alias("stage"), F.lit("TIMEOUT").alias("reason"))
+    return audit_star.selection(audit_star.star(s, sides, gaps))
+
+
+@query("""
+SELECT o_orderkey AS candidate_id, CASE WHEN o_orderkey % 13 = 0 THEN 'UNSUPPORTED_VERSION' WHEN o_orderkey % 11 = 0 THEN 'SOURCE_CONTENT_DIGEST_MISMATCH' WHEN o_orderkey % 7 = 0 THEN 'REQUEST_IDENTITY_DIGEST_MISMATCH'
+    WHEN o_orderkey % 5 = 0 THEN 'NO_REPLAYABLE_PARSED_PROPOSAL' WHEN o_orderkey % 3 = 0 THEN 'PROPOSAL_DIGEST_MISMATCH' END AS reason,
+  CASE WHEN o_orderkey % 13 > 0 AND o_orderkey % 11 > 0 AND o_orderkey % 7 > 0 AND o_orderkey % 5 = 0 THEN 'BLOCKED' WHEN o_orderkey % 13 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 3 = 0 THEN 'FAIL' ELSE 'READY' END AS status,
+  sha256('{"state": "' || o_orderstatus || '", "score": ' || o_orderkey % 9 || '}') AS proposal_sha256 FROM orders WHERE o_orderkey % 5 > 0 UNION ALL
+SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'UNSUPPORTED_VERSION' WHEN o_orderkey % 11 = 0 THEN 'SOURCE_CONTENT_DIGEST_MISMATCH' WHEN o_orderkey % 7 = 0 THEN 'REQUEST_IDENTITY_DIGEST_MISMATCH' ELSE 'NO_REPLAYABLE_PARSED_PROPOSAL' END,
+  CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 7 = 0 THEN 'FAIL' ELSE 'BLOCKED' END, NULL FROM orders WHERE o_orderkey % 5 = 0""")
+def replayed_proposals(spark, d):
+    """Orders as saved proposals, some of which were changed since."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    proposal = F.when(k % 5 > 0, F.struct(F.col("o_orderstatus").alias("state"), (k % 9).alias("score")))
+    rows = o.select(k.alias("candidate_id"), F.col("o_orderpriority").alias("title"), F.concat_ws(" ", "o_orderstatus", "o_custkey").alias("content"), F.struct("o_orderdate", "o_custkey").alias("metadata"), proposal.alias("proposal"), F.when(k % 5 > 0, "PARSED").otherwise("INVALID").alias("parse_status"))
+    k = F.col("candidate_id")
+    kept = replay.saved(rows).withColumns({
+        "version": F.when(k % 13 == 0, "scope-v0").otherwise(F.col("version")), "content": F.when(k % 11 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")),
+        "title": F.when(k % 7 == 0, "another title").otherwise(F.col("title")), "proposal": F.when(k % 3 == 0, F.col("proposal").withField("score", F.col("proposal.score") + 1)).otherwise(F.col("proposal")),
+    })
+    return replay.replayable(kept).select("candidate_id", "reason", "status", "proposal_sha256")
+
+
+@query("""
+WITH e AS (SELECT p_partkey, CASE WHEN p_partkey % 4 > 0 THEN sha256(p_brand) ELSE p_partkey::VARCHAR END AS key, CASE WHEN p_partkey % 6 > 0 THEN p_size % 13 + 1 ELSE 1 END AS i, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS region FROM part),
+m AS (SELECT key, max(i) AS n FROM e GROUP BY 1),
+b AS (SELECT key, list_transform(range(1, n + 1), lambda x: key || ' sentence ' || x || '.') AS lines FROM m)
+SELECT p_partkey AS candidate_id, key AS content_key, array_to_string(lines, chr(10)) || coalesce(chr(10) || 'Region ' || region, '') AS body,
+  coalesce(list_sum(list_transform(lines[1:i - 1], lambda x: length(x) + 1)), 0)::INTEGER AS focus_start, lines[i] AS focus_text FROM e JOIN b USING (key)""")
+def rebuilt_records(spark, d):
+    """Records rebuilt from what an audit keeps; parts of a brand are of one content."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    cited = F.when(k % 6 > 0, F.array(F.concat(F.lit("S"), (F.col("p_size") % 13 + 1).cast("string"))))
+    found = replay.rebuilt(p.select(k.alias("candidate_id"), F.when(k % 4 > 0, F.sha2("p_brand", 256)).alias("content_sha256"), cited.alias("excerpt"), F.when(k % 3 == 0, F.col("p_type")).alias("region_id")))
+    focus = F.col("focus")[0]
+    return found.select("candidate_id", "content_key", "body", focus["start"].alias("focus_start"), F.substring("body", focus["start"] + 1, focus["end"] - focus["start"]).alias("focus_text"))
+
+
+_RUN = "SELECT p_partkey AS candidate_id, p_partkey AS position, p_size FROM {part}"
+_ANSWERS = """
+  SELECT 'evidence' AS stage, p_partkey AS candidate_id, CASE WHEN p_size > 5 THEN 'READY' ELSE 'REJECTED' END AS state, p_partkey + CASE WHEN p_partkey % 100 = 0 THEN 2 ELSE 0 END AS position FROM {part} WHERE p_partkey % 41 > 0
+  UNION ALL SELECT 'evidence', p_partkey, 'REJECTED', p_partkey FROM {part} WHERE p_partkey % 61 = 0 AND p_size <= 5
+  UNION ALL SELECT 'scope', p_partkey, CASE WHEN p_size % 2 = 0 THEN 'IN_SCOPE' ELSE 'OUT' END, p_partkey FROM {part} WHERE p_size > 4 AND p_partkey % 41 > 0 AND p_partkey % 43 > 0
+  UNION ALL SELECT 'identity', p_partkey, 'GROUPED', p_partkey FROM {part} WHERE p_size = 30
+  UNION ALL SELECT 'unheard', p_partkey, 'X', p_partkey FROM {part} WHERE p_size = 1"""
+_GAPS = """
+  SELECT 'evidence' AS stage, p_partkey AS subject_id, 'TIMEOUT' AS failure_class FROM {part} WHERE p_partkey % 82 = 0 OR p_partkey % 97 = 0
+  UNION ALL SELECT 'scope', p_partkey, 'TIMEOUT' FROM {part} WHERE p_partkey % 43 = 0 UNION ALL SELECT 'scope', p_partkey, 'NO_ANSWER' FROM {part} WHERE p_partkey % 86 = 0"""
+
+
+@query(f"""
+WITH c AS ({duck(_RUN)}), r AS ({duck(_ANSWERS)}), g AS ({duck(_GAPS)}),
+i AS (SELECT 'evidence' AS stage, candidate_id, position FROM c UNION ALL SELECT 'scope', candidate_id, position FROM r WHERE stage = 'evidence' AND state = 'READY'
+  UNION ALL SELECT 'temporal', candidate_id, position FROM r WHERE stage = 'scope' AND state = 'IN_SCOPE'),
+ni AS (SELECT stage, candidate_id, min(position) AS input_at FROM i GROUP BY ALL), nr AS (SELECT stage, candidate_id, count(*) AS n, min(position) AS result_at FROM r WHERE stage <> 'unheard' GROUP BY ALL),
+ng AS (SELECT stage, subject_id AS candidate_id, count(*) AS n FROM g GROUP BY ALL),
+k AS (SELECT stage, candidate_id FROM ni UNION SELECT stage, candidate_id FROM nr UNION SELECT stage, candidate_id FROM ng),
+m AS (SELECT k.stage, k.candidate_id, input_at, result_at, coalesce(nr.n, 0) AS results, coalesce(ng.n, 0) AS gaps FROM k LEFT JOIN ni USING (stage, candidate_id) LEFT JOIN nr USING (stage, candidate_id) LEFT JOIN ng USING (stage, candidate_id)),
+o AS (SELECT stage, candidate_id, row_number() OVER (PARTITION BY stage ORDER BY input_at, candidate_id) AS a, row_number() OVER (PARTITION BY stage ORDER BY result_at, candidate_id) AS b FROM m WHERE input_at IS NOT NULL AND results > 0 AND gaps = 0)
+SELECT stage, candidate_id, 'REPEATED_RESULT' AS fault FROM m WHERE results > 1 UNION ALL SELECT stage, candidate_id, 'REPEATED_GAP' FROM m WHERE gaps > 1
+UNION ALL SELECT stage, candidate_id, 'NO_RESULT' FROM m WHERE input_at IS NOT NULL AND results = 0 AND gaps = 0 AND stage <> 'temporal'
+UNION ALL SELECT stage, candidate_id, 'RESULT_DESPITE_GAP' FROM m WHERE input_at IS NOT NULL AND results > 0 AND gaps > 0
+UNION ALL SELECT stage, candidate_id, 'NO_INPUT' FROM m WHERE input_at IS NULL AND results > 0 UNION ALL SELECT stage, candidate_id, 'UNKNOWN_SUBJECT' FROM m WHERE input_at IS NULL AND gaps > 0
+UNION ALL SELECT stage, candidate_id, 'OUT_OF_ORDER' FROM o WHERE a <> b UNION ALL SELECT stage, candidate_id, 'UNKNOWN_STAGE' FROM r WHERE stage = 'unheard'
+UNION ALL SELECT 'identity', NULL, 'NO_PREDECESSOR' FROM (SELECT 1 FROM r WHERE stage = 'identity' LIMIT 1)""")
+def run_faults(spark, d):
+    """A run over parts with results and gaps of its stages, into which faults of every kind were put."""
+    return integrity.run_faults(given(spark, d, _RUN), given(spark, d, _ANSWERS), given(spark, d, _GAPS))
