@@ -80,7 +80,45 @@ def safe_token(value: Column, vocabulary: tuple[str, ...] = (), most: int = 96)
 def places_listed(text: Column) -> Column:
     """The names in a list of places."""
     parts = F.split(text, r"\s*(?:[,&/、，與和及]|\band\b)\s*")
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+
+
+def all_generic(places: Column, generic: Column) -> Column:
+    """Whether a list of places names nothing but general terms (an array in lower case); a list without places does not."""
+    return (F.size(places) > 0) & F.forall(places, lambda p: F.array_contains(generic, F.lower(p)))
+
+
+def highlights(sentences: Column, most: int = 2) -> Column:
+    """The first sentences of an array."""
+    return F.slice(F.coalesce(sentences, F.array().cast("array<string>")), 1, most)
+
+
+def stated_facts(claims: Column | None = None, **facts: Column) -> Column:
+    """map of the facts that aren't blank, as they stand, with source_claims (JSON of a map, by key) if there are claims."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in facts.items()])
+    stated = F.filter(pairs, lambda p: F.trim(F.coalesce(p["value"], F.lit(""))) != "")
+    if claims is not None:
+        entry = F.struct(F.lit("source_claims").alias("key"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(claims)))).alias("value"))
+        stated = F.concat(stated, F.when(F.coalesce(F.size(claims), F.lit(0)) > 0, F.array(entry)).otherwise(F.filter(F.array(entry), lambda e: F.lit(False))))
+    return F.map_from_entries(stated)
+
+
+def period_display(start: Column, end: Column) -> Column:
+    """A period as readers see it: the year once where both ends share it."""
+    full = F.date_format(start, "yyyy/MM/dd")
+    return F.concat(full, F.lit(" - "), F.when(F.year(start) == F.year(end), F.date_format(end, "MM/dd")).otherwise(F.date_format(end, "yyyy/MM/dd")))
+
+
+def subject(title: str, period: Column, report_id: Column, events: Column) -> Column:
+    """Subject of a report: title, period (the report's id without one) and number of events."""
+    named = F.coalesce(F.nullif(F.trim(period), F.lit("")), report_id)
+    return F.concat_ws("｜", F.lit(title), named, F.concat(events.cast("string"), F.lit(" 則")))
+
+
+def file_names(kind: str, end: Column) -> Column:
+    """struct of the file names of a period's debug file and summary."""
+    day = F.date_format(end, "yyyy-MM-dd")
+    return F.struct(*[F.concat(F.lit(f"{name}_{kind}_"), day, F.lit(".json")).alias(name) for name in ("developer_debug", "engineering_summary")])
 
 
 def or_group(terms: Column, prefix: str = "") -> Column:

@@ -71,3 +71,32 @@ def exact(url: Column) -> Column:
 def same_publisher(a: Column, b: Column) -> Column:
     """Whether two hosts are equal or one is a subdomain of the other; null where one isn't declared."""
     return F.when((a != "") & (b != ""), (a == b) | a.endswith(F.concat(F.lit("."), b)) | b.endswith(F.concat(F.lit("."), a)))
+
+
+def joined(base: Column, ref: Column) -> Column:
+    """ref as it is meant on a page at base: absolute, with the scheme, from the root, a query, or beside the page. Leading ./ and ../ are resolved."""
+    place = F.concat(_part(base, 1), F.lit("://"), _part(base, 2))
+    folder = F.regexp_replace(_part(base, 3), "[^/]*$", "")
+    up = F.length(F.regexp_extract(ref, r"^(?:\.\./|\./)*", 0)) - F.length(F.replace(F.regexp_extract(ref, r"^(?:\.\./|\./)*", 0), F.lit("../"), F.lit("")))
+    parts = F.filter(F.split(folder, "/"), lambda p: p != "")
+    kept = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - (up / 3).cast("int"), F.lit(0)))
+    beside = F.concat(place, F.lit("/"), F.array_join(F.transform(kept, lambda p: F.concat(p, F.lit("/"))), ""), F.regexp_replace(ref, r"^(?:\.\./|\./)*", ""))
+    return (
+        F.when(F.regexp_like(ref, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), ref).when(F.startswith(ref, F.lit("//")), F.concat(_part(base, 1), F.lit(":"), ref))
+        .when(F.startswith(ref, F.lit("/")), F.concat(place, ref)).when(F.startswith(ref, F.lit("?")), F.concat(place, _part(base, 3), ref)).when(ref == "", base).otherwise(beside)
+    )
+
+
+#: Characters of a page in which its head stands.
+HEAD = 20_000
+
+
+def amp_canonical(content: Column, resolved: Column) -> Column:
+    """The article that an AMP page declares as its canonical one, if it declares exactly one, on the same host, and
+    another than the page itself; else empty."""
+    head = F.left(F.coalesce(content, F.lit("")), F.lit(HEAD))
+    links = F.regexp_extract_all(head, F.lit(r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical[\"']?[^>]*>"), F.lit(0))
+    href = F.regexp_extract(F.get(links, F.lit(0)), r"(?i)\bhref\s*=\s*[\"']([^\"']+)[\"']", 1)
+    found = strip_tracking(joined(resolved, F.trim(F.coalesce(href, F.lit("")))))
+    good = F.regexp_like(head, F.lit(r"(?i)<html\b[^>]*?\s(?:\u26a1|amp)[\s=>/]")) & (F.size(links) == 1) & (F.coalesce(href, F.lit("")) != "") & (found != "") & (found != strip_tracking(resolved)) & (host(found) == host(resolved))
+    return F.when(good, found).otherwise("")

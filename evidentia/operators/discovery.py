@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, text, urls
+from .ordering import running
 
 
 def plan_items(markets: DataFrame, families: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -16,11 +17,35 @@ def plan_items(markets: DataFrame, families: DataFrame, bindings: DataFrame) ->
     markets: market, profile; families: family, intent, markets (array); bindings: profile, provider,
     support. All are small dimensions. Returns market, profile, family, intent, provider.
     """
-    open_to = (F.size("markets") == 0) | F.array_contains("markets", F.col("market"))
-    met = markets.join(F.broadcast(families), open_to).drop("markets")
+    fields = families.select("family", "intent", F.coalesce("markets", F.array().cast("array<string>")).alias("markets"))
+    listed = fields.select("family", "intent", F.explode(F.array_distinct("markets")).alias("market"))
+    # families for all markets meet them on the empty list that both carry
+    open_ = fields.where(F.size("markets") == 0).select("family", "intent", F.lit(0).alias("__all"))
+    met = markets.join(listed, "market").select("market", "profile", "family", "intent")
+    met = met.unionByName(markets.withColumn("__all", F.lit(0)).join(open_, "__all").select("market", "profile", "family", "intent"))
     return met.join(bindings, "profile").where("support <> 'UNSUPPORTED'").select("market", "profile", "family", "intent", "provider")
 
 
+#: The intent that runs in a monthly check only.
+MONITORED = "MONITORED_STANDARDS"
+
+
+def intents_due(items: DataFrame, check_due: Column) -> DataFrame:
+    """Plan items whose intent is due: the monitored one only where a monthly check is (null: is not)."""
+    return items.where((F.col("intent") != MONITORED) | F.coalesce(check_due, F.lit(False)))
+
+
+#: What plan items are ordered by.
+ORDER = ("intent_place", "market", "profile", "family", "provider", "language", "anchor", "term", "query")
+
+
+def canonical_order(items: DataFrame) -> DataFrame:
+    """items with position (from 1) in the order of ORDER, nulls first. Ranges of the order are numbered side by side."""
+    keys = [F.col(c).asc_nulls_first() for c in ORDER]
+    found = running(items.withColumn("__plan", F.lit(0)), ["__plan"], keys, name="position")
+    return found.withColumn("position", F.col("position") + 1).drop("__plan")
+
+
 def unbound(markets: DataFrame, bindings: DataFrame) -> DataFrame:
     """Markets whose profile has no binding at all."""
     return markets.join(bindings.select("profile").distinct(), "profile", "left_anti").select("market")

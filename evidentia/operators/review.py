@@ -166,3 +166,33 @@ def reportable(rows: DataFrame) -> DataFrame:
     return rows.withColumn("gate", F.when(F.coalesce(ready, F.lit(False)), state).otherwise("NOT_REACHED"))
 
 
+
+
+def citation_spans(citations: DataFrame, references: DataFrame, sentences: DataFrame) -> DataFrame:
+    """subject_id, valid, reason and spans (candidate_id, start, end; each once, in the order they are cited first).
+
+    citations: subject_id, ordinal, source_ref, sentence_id (one row for each sentence cited, ordinal total within the subject);
+    references: subject_id, source_ref, candidate_id; sentences: candidate_id, sentence_id, start, end. A citation
+    whose source or sentence is unknown makes its subject invalid; a subject without citations isn't listed.
+    """
+    named = citations.join(references, ["subject_id", "source_ref"], "left").join(sentences, ["candidate_id", "sentence_id"], "left")
+    fault = F.when(F.col("candidate_id").isNull(), "UNKNOWN_SOURCE").when(F.col("start").isNull(), "UNRESOLVED_SENTENCE")
+    once = named.groupBy("subject_id", "candidate_id", "start", "end").agg(F.min("ordinal").alias("ordinal"), F.min(F.when(fault.isNotNull(), F.struct("ordinal", fault.alias("reason")))).alias("fault"))
+    span = F.when(F.col("fault").isNull(), F.struct("ordinal", "candidate_id", "start", "end"))
+    found = once.groupBy("subject_id").agg(F.min("fault").alias("fault"), F.array_sort(F.collect_list(span)).alias("spans"))
+    spans = F.transform("spans", lambda s: F.struct(s["candidate_id"].alias("candidate_id"), s["start"].alias("start"), s["end"].alias("end")))
+    return found.select("subject_id", F.col("fault").isNull().alias("valid"), F.col("fault.reason").alias("reason"), F.when(F.col("fault").isNull(), spans).alias("spans"))
+
+
+def aligned(groups: DataFrame, members: DataFrame, categories: DataFrame, key: str = "event_id") -> DataFrame:
+    """One row for each key of three results that belong together, and fault where one of them lacks it or has it twice:
+    results are matched by key, never by their position. Columns other than key must differ between the three."""
+    counted = None
+    for name, df in (("groups", groups), ("members", members), ("categories", categories)):
+        one = df.select(key, F.lit(name).alias("side"))
+        counted = one if counted is None else counted.unionByName(one)
+    sides = counted.groupBy(key).agg(F.collect_set("side").alias("sides"), F.count(F.lit(1)).alias("n"))
+    fault = F.when(F.size("sides") < 3, "MISSING").when(F.col("n") > 3, "REPEATED")
+    whole = sides.select(key, fault.alias("fault"))
+    good = whole.where("fault is null").join(groups, key).join(members, key).join(categories, key)
+    return good.unionByName(whole.where("fault is not null"), allowMissingColumns=True)

@@ -16,7 +16,7 @@ from ..operators import constraints, dedup, entities, lookup, proposals, tempora
 from ..sources import html
 from ..sources.tables import table
 from ..streaming import weekly
-from . import delivery, discovery, identity, prose, report, review, sources, trials  # noqa: F401
+from . import delivery, details, discovery, identity, prose, report, review, sources, trials  # noqa: F401
 from ._register import ORACLES, QUERIES, duck, given, query  # noqa: F401
 
 REPORT_START, REPORT_END = "1997-03-10", "1997-03-16"

@@ -264,3 +264,21 @@ def test_feeds(spark):
     for i, (body, (status, reason, want)) in enumerate(FEEDS.items()):
         assert (*state[i], items.get(i, [])) == (status, reason, want), body
     assert state[99] == ("INVALID_RESPONSE", "MALFORMED")
+
+
+def test_amp_pages(spark):
+    base = "https://www.h.example/a/b/c"
+    refs = {"/x": "https://www.h.example/x", "../y?utm_source=1&q=2": "https://www.h.example/a/y?q=2", "./z": "https://www.h.example/a/b/z", "../../../w": "https://www.h.example/w", "//h.example/v": "https://h.example/v", "https://other.example/z": "", "c": "", "?q": "https://www.h.example/a/b/c?q"}
+    pages = [f"<html amp><link rel=canonical href='{r}'>" for r in refs] + [None, "<html amp>", "<html lang=amped><link rel=canonical href='/x'>", "<html ⚡ x><LINK href=\"/x\" rel='canonical'><link rel=canonical href='/y'>", "<html ⚡>" + " " * 20_000 + "<link rel=canonical href='/x'>"]
+    assert values(spark, lambda c: urls.amp_canonical(c, F.lit(base)), pages) == [*refs.values(), "", "", "", "", ""]
+
+
+def test_facts_and_places(spark):
+    df = spark.createDataFrame([(" a ", None, {"k": "v", "b": "w"}), (" ", "", None), (None, "x", {})], "p string, q string, c map<string, string>")
+    got = [r.x for r in df.select(text.stated_facts(F.col("c"), p=F.col("p"), q=F.col("q")).alias("x")).collect()]
+    assert got == [{"p": " a ", "source_claims": '{"b":"w","k":"v"}'}, {}, {"q": "x"}]
+    generic = F.array(F.lit("city"), F.lit("area"))
+    assert values(spark, lambda c: text.all_generic(text.places_listed(c), generic), ["City and Area", "City, Line 1", "", "1市與11區1"]) == [True, False, False, False]
+    assert values(spark, text.places_listed, ["1市與11區1, A1"]) == [["1市", "11區1", "A1"]]
+    days = spark.createDataFrame([(dt.date(2024, 1, 1), dt.date(2024, 1, 7)), (dt.date(2024, 12, 30), dt.date(2025, 1, 5))], "a date, b date")
+    assert [r.x for r in days.select(text.period_display(F.col("a"), F.col("b")).alias("x")).collect()] == ["2024/01/01 - 01/07", "2024/12/30 - 2025/01/05"]

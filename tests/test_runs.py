@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import audit_star, replay
+from evidentia.operators import audit_star, discovery, replay, review
 from evidentia.operators.integrity import run_faults
 
 RESULTS = "stage string, candidate_id long, state string, position long"
@@ -92,3 +92,28 @@ def test_changed_proposals_are_refused(spark):
         ("proposal", F.struct(F.lit("y").alias("s")), "PROPOSAL_DIGEST_MISMATCH"), ("proposal_sha256", F.lit(None).cast("string"), "PROPOSAL_DIGEST_MISMATCH"),
     ):
         assert state(one.withColumn(column, value)) == {1: ("FAIL", reason)}
+
+
+def test_plan_order_and_alignment(spark):
+    """Items numbered by nine keys wherever they stand; results of events matched by key."""
+    rng = random.Random(9)
+    columns = list(discovery.ORDER)
+    rows = [tuple(rng.choice((None, "a", "b")) for _ in columns[:-1]) + (str(k),) for k in range(200)]
+    items = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns)).repartition(6)
+    got = {r.position: tuple(r[c] for c in columns) for r in discovery.canonical_order(items).collect()}
+    order = sorted(rows, key=lambda r: [(v is not None, v or "") for v in r])
+    assert [got[k + 1] for k in range(200)] == order
+    frame = lambda ids, c: spark.createDataFrame([(i, f"{c}{i}") for i in ids], f"event_id long, {c} string")
+    found = {r.event_id: (r.g, r.m, r.c, r.fault) for r in review.aligned(frame([3, 1, 2], "g"), frame([1, 2, 3, 4], "m"), frame([2, 2, 1, 3], "c")).collect()}
+    assert found == {1: ("g1", "m1", "c1", None), 3: ("g3", "m3", "c3", None), 2: (None, None, None, "REPEATED"), 4: (None, None, None, "MISSING")}
+
+
+def test_citations(spark):
+    cited = [(1, 1, "A", "S2"), (1, 2, "B", "S1"), (1, 3, "A", "S2"), (2, 1, "A", "S1"), (2, 2, "Z", "S1"), (3, 1, "A", "S9"), (3, 2, "Z", "S1")]
+    refs = [(1, "A", 10), (1, "B", 20), (2, "A", 10), (3, "A", 10)]
+    told = [(10, "S1", 0, 4), (10, "S2", 5, 9), (20, "S1", 0, 7)]
+    found = review.citation_spans(
+        spark.createDataFrame(cited, "subject_id long, ordinal long, source_ref string, sentence_id string"), spark.createDataFrame(refs, "subject_id long, source_ref string, candidate_id long"),
+        spark.createDataFrame(told, "candidate_id long, sentence_id string, start int, end int"),
+    )
+    assert {r.subject_id: (r.reason, r.spans and [tuple(s) for s in r.spans]) for r in found.collect()} == {1: (None, [(10, 5, 9), (20, 0, 7)]), 2: ("UNKNOWN_SOURCE", None), 3: ("UNRESOLVED_SENTENCE", None)}
