@@ -47,7 +47,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates: shingles of five words, similarity 0.8
-    or more. Documents without words have no duplicates; rows that share an id and are not of the smallest go together."""
+    or more. Documents without words have no duplicates; rows that share an id and are not of the smallest go together.
+    Rows without an id can't be told from each other here, so they always stay."""
     found = near_dedup.near_duplicates(docs, shingle=5, threshold=0.8)
     gone, seen = materialise(found.where("not kept").select("doc_id"))
     return docs.join(small(gone, seen["rows"], 8), "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])
