@@ -47,6 +47,13 @@ def test_stages_return_documents(spark):
         P.STAGES[-1][1](spark, docs, "").collect()
 
 
+def test_near_copies_without_id_stay(spark):
+    long = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, long, "en", "s", 0), (2, long + " more", "en", "s", 0), (None, long + " other", None, None, None), (None, long, None, None, None)]
+    kept = P.drop_near_copies(spark, H.docs(spark, rows), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, long + " other"), (0, long), (1, long)])
+
+
 def test_foreign_and_random_texts_go(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rng = random.Random(1)
