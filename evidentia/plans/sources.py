@@ -160,7 +160,7 @@ def evidence_distributions(spark, d):
 
 
 @query("""
-WITH i AS (SELECT l_orderkey, '[' || string_agg('{"line": ' || l_linenumber || ', "flag": "' || l_returnflag || '", "quantity": ' || l_quantity::INTEGER || '.0, "none": null}', ', ' ORDER BY l_linenumber, l_partkey, l_suppkey) || ']' AS items FROM lineitem GROUP BY 1)
+WITH i AS (SELECT l_orderkey, '[' || string_agg('{"line": ' || l_linenumber || ', "flag": "' || l_returnflag || '", "quantity": ' || l_quantity::INTEGER || '.0, "none": null}', ', ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity::INTEGER) || ']' AS items FROM lineitem GROUP BY 1)
 SELECT o_orderkey, length(t)::BIGINT AS size, sha256(t) AS text_sha256 FROM (SELECT o_orderkey, '{"id": ' || o_orderkey || ', "said": "tab\\t \\"' || o_orderpriority || '\\" 億\\n", "day": "' || strftime(o_orderdate, '%Y-%m-%d') || '", "open": ' || CASE WHEN o_orderstatus = 'O' THEN 'true' ELSE 'false' END
   || ', "items": ' || items || '}' AS t FROM orders JOIN i ON l_orderkey = o_orderkey)""")
 def payload_sizes(spark, d):
