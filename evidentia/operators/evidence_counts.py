@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
+from ..sources.tables import written
 from .audit import field_state
 from .proposals import gate_order
 
@@ -54,12 +55,14 @@ def counted(rows: DataFrame, position: Column, values: dict[str, Column], capped
 
     A task sums up its own rows and shuffles a row for each value it has met, so what is shuffled grows with
     distinct values and tasks, never with rows. Of the capped dimensions only the cap values that stand first by
-    position have rows; the others are OTHER. position is a long without nulls; an empty table gives no rows.
+    position have rows; the others are OTHER, for which the counts are written once and read twice. position is a
+    long without nulls; an empty table gives no rows.
     """
     narrow = rows.select(position.cast("long").alias("__at"), *[v.cast("string").alias(k) for k, v in values.items()])
     found = narrow.mapInArrow(_summed, _PART).groupBy("dimension", "value").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     if not capped:
         return found.drop("first")
+    found, _ = written(found)
     limited = F.col("dimension").isin(*capped)
     place = F.row_number().over(Window.partitionBy("dimension").orderBy("first", "value"))
     early = found.where(limited).withColumn("__k", place).where(F.col("__k") <= cap).select("dimension", "value", F.lit(True).alias("__early"))
@@ -68,30 +71,35 @@ def counted(rows: DataFrame, position: Column, values: dict[str, Column], capped
     return named.groupBy("dimension", value.alias("value")).agg(F.sum("n").alias("n"))
 
 
-def evidence_values(gate_place: Column) -> dict[str, Column]:
-    """The 27 fields of evidence that are counted, and its two states, by name. Fields behind a gate that was not reached say so."""
+#: Fields that make up the signature of a rejection.
+SIGNATURE = ("rejection_gate", "http_status", "transport_error", "content_type", "principal_document_status", "page_kind", "source_provenance", "canonical_related", "body_available", "factual_substance", "semantic_relation", "semantic_response_validation", "host_transition", "acquisition_path")
+
+
+def evidence_fields(evidence: DataFrame, position: str) -> DataFrame:
+    """The position, the 27 fields of evidence that are counted, and its two states, by name. Fields behind a gate
+    that was not reached say so. What several fields need is a column of its own first, so that it is computed once."""
     c, rejected = F.col, F.col("state") != "READY"
-    behind = lambda name, after: field_state(text.safe_token(c(name)), gate_place, after)
-    hosts = {n: F.when(urls.host(c(u)) != "", urls.host(c(u))) for n, u in (("candidate", "candidate_url"), ("resolved", "resolved_url"))}
-    moved = F.when(hosts["candidate"].isNull() | hosts["resolved"].isNull(), "RESOLVED_HOST_MISSING").when(hosts["candidate"] == hosts["resolved"], "SAME_HOST").otherwise("CHANGED_HOST")
+    reached = evidence.withColumns({"__gate": gate_order(c("gate")), "__candidate": F.nullif(urls.host(c("candidate_url")), F.lit("")), "__resolved": F.nullif(urls.host(c("resolved_url")), F.lit(""))})
+    behind = lambda name, after: field_state(text.safe_token(c(name)), c("__gate"), after)
+    moved = F.when(c("__candidate").isNull() | c("__resolved").isNull(), "RESOLVED_HOST_MISSING").when(c("__candidate") == c("__resolved"), "SAME_HOST").otherwise("CHANGED_HOST")
     reason, gate = F.coalesce("reject_reason", F.lit("UNKNOWN")), F.coalesce("gate", F.lit("UNKNOWN"))
-    out = {
+    fields = {
         "ready_count": F.when(~rejected, "READY"), "rejected_count": F.when(rejected, "REJECTED"),
         "reject_reason": F.when(rejected, reason), "rejection_gate": F.when(rejected, gate), "reason_gate": F.when(rejected, F.concat_ws("|", reason, gate)),
-        "http_status": c("status_code"), "transport_error": behind("transport_error", 2),
+        "http_status": c("status_code").cast("string"), "transport_error": behind("transport_error", 2),
         "content_type": F.when(c("content_type") != "", text.safe_token(F.lower(F.substring_index("content_type", ";", 1)))),
         "principal_document_status": behind("document_status", 6), "page_kind": text.safe_token(c("page_kind")), "source_provenance": behind("source_provenance", 5),
         "canonical_related": behind("canonical_related", 5), "body_available": behind("body_available", 6), "factual_substance": behind("factual_substance", 8),
         "semantic_relation": behind("relation", 9), "semantic_response_validation": behind("validation", 9),
         "metadata_extraction_status": F.coalesce(text.safe_token(c("metadata_status")), F.when(rejected, "NOT_REACHED")),
-        "candidate_hostname": hosts["candidate"], "resolved_hostname": hosts["resolved"], "redirect_hop_count": dates.hop_bucket(c("hops")), "host_transition": moved,
+        "candidate_hostname": c("__candidate"), "resolved_hostname": c("__resolved"), "redirect_hop_count": dates.hop_bucket(c("hops")), "host_transition": moved,
         "acquisition_latency_bucket": dates.latency_bucket(c("elapsed_ms")), "acquisition_path": text.safe_token(c("path")), "acquisition_final_endpoint": text.safe_token(c("final_endpoint")),
         "acquisition_redirect_consistency": text.safe_token(c("consistency")), "acquisition_initial_hostname": text.safe_token(c("initial_host")),
         "acquisition_failing_endpoint_hostname": text.safe_token(c("failing_host")), "source_provenance_mismatch": text.safe_token(c("mismatch")),
     }
-    parts = ("rejection_gate", "http_status", "transport_error", "content_type", "principal_document_status", "page_kind", "source_provenance", "canonical_related", "body_available", "factual_substance", "semantic_relation", "semantic_response_validation", "host_transition", "acquisition_path")
-    out["rejection_signature"] = F.when(rejected, F.concat_ws(";", *[F.coalesce(out[p].cast("string"), F.lit("-")) for p in parts]))
-    return out
+    named = reached.select(c(position).alias("__at"), *[v.alias(k) for k, v in fields.items()])
+    signature = F.concat_ws(";", *[F.coalesce(p, F.lit("-")) for p in SIGNATURE])
+    return named.withColumn("rejection_signature", F.when(c("rejected_count").isNotNull(), signature))
 
 
 def evidence_distributions(evidence: DataFrame, position: str) -> DataFrame:
@@ -103,4 +111,5 @@ def evidence_distributions(evidence: DataFrame, position: str) -> DataFrame:
     initial_host, failing_host, mismatch; all may be null. Four dimensions of hosts keep the hosts seen first.
     """
     hosts = ("candidate_hostname", "resolved_hostname", "acquisition_initial_hostname", "acquisition_failing_endpoint_hostname")
-    return counted(evidence, F.col(position), evidence_values(gate_order(F.col("gate"))), capped=hosts)
+    fields = evidence_fields(evidence, position)
+    return counted(fields, F.col("__at"), {c: F.col(c) for c in fields.columns if c != "__at"}, capped=hosts)
