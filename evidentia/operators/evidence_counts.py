@@ -71,31 +71,39 @@ def counted(rows: DataFrame, position: Column, values: dict[str, Column], capped
     return named.groupBy("dimension", value.alias("value")).agg(F.sum("n").alias("n"))
 
 
+#: Columns that are shown only where they are plain tokens; the content type without its parameters, in lower case.
+TOKENS = ("transport_error", "document_status", "page_kind", "source_provenance", "canonical_related", "body_available", "factual_substance", "relation", "validation", "metadata_status", "path", "final_endpoint", "consistency", "initial_host", "failing_host", "mismatch", "content_type")
 #: Fields that make up the signature of a rejection.
 SIGNATURE = ("rejection_gate", "http_status", "transport_error", "content_type", "principal_document_status", "page_kind", "source_provenance", "canonical_related", "body_available", "factual_substance", "semantic_relation", "semantic_response_validation", "host_transition", "acquisition_path")
 
 
 def evidence_fields(evidence: DataFrame, position: str) -> DataFrame:
     """The position, the 27 fields of evidence that are counted, and its two states, by name. Fields behind a gate
-    that was not reached say so. What several fields need is a column of its own first, so that it is computed once."""
+    that was not reached say so. What several fields need is a column of its own first, so that it is computed once.
+    Plain tokens are checked as one array: an expression for each of them makes code too long to be compiled."""
     c, rejected = F.col, F.col("state") != "READY"
-    reached = evidence.withColumns({"__gate": gate_order(c("gate")), "__candidate": F.nullif(urls.host(c("candidate_url")), F.lit("")), "__resolved": F.nullif(urls.host(c("resolved_url")), F.lit(""))})
-    behind = lambda name, after: field_state(text.safe_token(c(name)), c("__gate"), after)
+    tokens = F.array(*[c(t).cast("string") for t in TOKENS[:-1]], F.lower(F.substring_index(F.nullif(c("content_type"), F.lit("")), ";", 1)))
+    reached = evidence.withColumns({
+        "__tokens": F.transform(tokens, lambda t: text.safe_token(t)), "__gate": gate_order(c("gate")),
+        "__candidate": F.nullif(urls.host(c("candidate_url")), F.lit("")), "__resolved": F.nullif(urls.host(c("resolved_url")), F.lit("")),
+    })
+    token = lambda name: c("__tokens")[TOKENS.index(name)]
+    behind = lambda name, after: field_state(token(name), c("__gate"), after)
     moved = F.when(c("__candidate").isNull() | c("__resolved").isNull(), "RESOLVED_HOST_MISSING").when(c("__candidate") == c("__resolved"), "SAME_HOST").otherwise("CHANGED_HOST")
     reason, gate = F.coalesce("reject_reason", F.lit("UNKNOWN")), F.coalesce("gate", F.lit("UNKNOWN"))
     fields = {
         "ready_count": F.when(~rejected, "READY"), "rejected_count": F.when(rejected, "REJECTED"),
         "reject_reason": F.when(rejected, reason), "rejection_gate": F.when(rejected, gate), "reason_gate": F.when(rejected, F.concat_ws("|", reason, gate)),
         "http_status": c("status_code").cast("string"), "transport_error": behind("transport_error", 2),
-        "content_type": F.when(c("content_type") != "", text.safe_token(F.lower(F.substring_index("content_type", ";", 1)))),
-        "principal_document_status": behind("document_status", 6), "page_kind": text.safe_token(c("page_kind")), "source_provenance": behind("source_provenance", 5),
+        "content_type": token("content_type"),
+        "principal_document_status": behind("document_status", 6), "page_kind": token("page_kind"), "source_provenance": behind("source_provenance", 5),
         "canonical_related": behind("canonical_related", 5), "body_available": behind("body_available", 6), "factual_substance": behind("factual_substance", 8),
         "semantic_relation": behind("relation", 9), "semantic_response_validation": behind("validation", 9),
-        "metadata_extraction_status": F.coalesce(text.safe_token(c("metadata_status")), F.when(rejected, "NOT_REACHED")),
+        "metadata_extraction_status": F.coalesce(token("metadata_status"), F.when(rejected, "NOT_REACHED")),
         "candidate_hostname": c("__candidate"), "resolved_hostname": c("__resolved"), "redirect_hop_count": dates.hop_bucket(c("hops")), "host_transition": moved,
-        "acquisition_latency_bucket": dates.latency_bucket(c("elapsed_ms")), "acquisition_path": text.safe_token(c("path")), "acquisition_final_endpoint": text.safe_token(c("final_endpoint")),
-        "acquisition_redirect_consistency": text.safe_token(c("consistency")), "acquisition_initial_hostname": text.safe_token(c("initial_host")),
-        "acquisition_failing_endpoint_hostname": text.safe_token(c("failing_host")), "source_provenance_mismatch": text.safe_token(c("mismatch")),
+        "acquisition_latency_bucket": dates.latency_bucket(c("elapsed_ms")), "acquisition_path": token("path"), "acquisition_final_endpoint": token("final_endpoint"),
+        "acquisition_redirect_consistency": token("consistency"), "acquisition_initial_hostname": token("initial_host"),
+        "acquisition_failing_endpoint_hostname": token("failing_host"), "source_provenance_mismatch": token("mismatch"),
     }
     named = reached.select(c(position).alias("__at"), *[v.alias(k) for k, v in fields.items()])
     signature = F.concat_ws(";", *[F.coalesce(p, F.lit("-")) for p in SIGNATURE])
