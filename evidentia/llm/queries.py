@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import url_filter
+from . import url_filter, url_vocabulary
 from ._tables import table
 from .chat_format import format_conversations, under_mask
 from .exact_dedup import exact_duplicates
@@ -63,7 +63,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES, vocabulary=url_vocabulary.standard()).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,16 +117,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _url_sql() -> str:
-    def distinct(terms) -> str:
-        edge = "[^\\p{L}\\p{N}]"
-        listed = ", ".join(f"'{t}'" for t in terms)
-        return f"len(list_filter([{listed}], lambda t: regexp_matches(lower(url), '(^|{edge})' || t || '($|{edge})')))"
-
+    known = url_vocabulary.standard()
+    links = ", ".join(f"('{w}', NULL, NULL)" for w in sorted((*known.links, *"0123456789")))
+    forms = ", ".join(f"('{form}', '{term}', {str(strict).lower()})" for form, (term, strict) in sorted(known.forms.items()))
     fits = " UNION ALL ".join(
         f"SELECT '{r.place}' AS place, '{r.host}' AS rule_host, '{r.path}' AS rule_path, {str(r.allow).lower()} AS allow_it" for r in RULES
     )
     return f"""
-    WITH parts AS (
+    WITH RECURSIVE pieces(form, term, strict) AS (VALUES {links}, {forms}),
+    runs AS (SELECT DISTINCT unnest(regexp_extract_all(lower(url), '[\\p{{L}}\\p{{N}}]+')) AS run FROM pages),
+    starts AS (SELECT run, unnest(range(length(run))) AS s FROM runs),
+    spans AS (SELECT run, s, unnest(range(s + 1, least(length(run), s + (SELECT max(length(form)) FROM pieces)) + 1)) AS e FROM starts),
+    met AS (SELECT run, s, e, term, strict FROM spans JOIN pieces ON form = substr(run, s + 1, e - s)),
+    filled(run, pos) AS (SELECT run, 0::BIGINT FROM runs UNION SELECT met.run, e FROM filled JOIN met ON met.run = filled.run AND s = pos),
+    fills(run, pos) AS (SELECT run, length(run) FROM runs UNION SELECT met.run, s FROM fills JOIN met ON met.run = fills.run AND e = pos),
+    hit AS (SELECT met.run, term, strict FROM met SEMI JOIN filled ON filled.run = met.run AND filled.pos = s SEMI JOIN fills ON fills.run = met.run AND fills.pos = e WHERE term IS NOT NULL),
+    of_page AS (SELECT page_id, unnest(regexp_extract_all(lower(url), '[\\p{{L}}\\p{{N}}]+')) AS run FROM pages),
+    counted AS (SELECT page_id, count(DISTINCT term) FILTER (strict) AS strict_hits, count(DISTINCT term) FILTER (NOT strict) AS soft_hits FROM of_page JOIN hit USING (run) GROUP BY page_id),
+    parts AS (
       SELECT page_id, coalesce(url, '') AS url,
         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
@@ -139,9 +147,9 @@ def _url_sql() -> str:
         ORDER BY length(place) DESC, place DESC LIMIT 1) AS found
       FROM parts)
     SELECT page_id, host, path, found.place AS rule,
-      CASE WHEN coalesce(found.allow_it, NOT ({distinct(url_filter.STRICT)} >= 1 OR {distinct(url_filter.SOFT)} >= {url_filter.SOFT_HITS}))
+      CASE WHEN coalesce(found.allow_it, coalesce(strict_hits, 0) = 0 AND coalesce(soft_hits, 0) < {url_filter.SOFT_HITS})
         THEN 'allow' ELSE 'block' END AS verdict
-    FROM ruled"""
+    FROM ruled LEFT JOIN counted USING (page_id)"""
 
 
 def _mixing_sql(fraction: float, sweeps: int) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import materialise
+from .url_vocabulary import Vocabulary, as_listed
 
 #: One of these rejects.
 STRICT = ("casino", "porn", "porno", "xxx", "viagra", "cialis", "sexcam", "escort", "jackpot", "malware", "phishing", "warez", "spam")
@@ -69,40 +70,44 @@ def _joined_rules(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return numbered.join(best, "__row", "left").drop("__row")
 
 
-def automaton(strict: Sequence[str], soft: Sequence[str]) -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
-    for term in soft:
-        found.add_word(term.lower(), (term.lower(), False))
-    for term in strict:
-        found.add_word(term.lower(), (term.lower(), True))
-    found.make_automaton()
-    return found
-
-
-def hits(url: str, terms: ahocorasick.Automaton) -> tuple[list[str], list[str]]:
-    """Distinct strict and soft terms that stand between characters other than letters and digits."""
-    text, strict, soft = url.lower(), set(), set()
-    for end, (term, is_strict) in terms.iter(text):
-        start = end - len(term) + 1
-        if (start == 0 or not text[start - 1].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
-            (strict if is_strict else soft).add(term)
-    return sorted(strict), sorted(soft)
-
-
-def _counts(strict: Sequence[str], soft: Sequence[str]):
+def hits(url: str, terms: ahocorasick.Automaton, compounds: bool = False) -> tuple[list[str], list[str]]:
+    """Distinct strict and soft terms whose forms stand between boundaries: characters other than letters and digits
+    or, with compounds, other pieces that lead to such a boundary without a gap."""
+    text = url.lower()
+    met = [(end + 1 - length, end + 1, term) for end, (length, term) in terms.iter(text)]
+    found: tuple[set, set] = (set(), set())
+    if any(term for *_, term in met):
+        before, after = set(), set()  # places that pieces reach from a boundary, and from which they reach one
+        opens = lambda at: at == 0 or not text[at - 1].isalnum() or at in before
+        closes = lambda at: at == len(text) or not text[at].isalnum() or at in after
+        if compounds:
+            for s, e, _ in sorted(met, key=lambda m: m[0]):
+                if opens(s):
+                    before.add(e)
+            for s, e, _ in sorted(met, key=lambda m: -m[1]):
+                if closes(e):
+                    after.add(s)
+        for s, e, term in met:
+            if term and opens(s) and closes(e):
+                found[not term[1]].add(term[0])
+    return sorted(found[0]), sorted(found[1])
+
+
+def _counts(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = automaton(strict, soft)
+        terms = vocabulary.automaton()
         kind = pa.list_(pa.string())
         for batch in batches:
-            found = [hits(x, terms) if x else ([], []) for x in batch.column("url").to_pylist()]
+            found = [hits(x, terms, vocabulary.compounds) if x else ([], []) for x in batch.column("url").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([s for s, _ in found], kind), pa.array([s for _, s in found], kind)], names=["page_id", "url", "strict_terms", "soft_terms"])
 
     return run
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule] = (), strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_hits: int = SOFT_HITS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[Rule] = (), strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_hits: int = SOFT_HITS, vocabulary: Vocabulary | None = None) -> DataFrame:
     """A verdict for each url: that of the longest rule that fits, else block on one strict term or on
-    soft_hits different soft terms, else allow.
+    soft_hits different soft terms, else allow. A vocabulary takes the place of strict and soft; its forms of
+    one term are one hit.
 
     pages needs page_id (long) and url; other columns are ignored. A null url, an empty one and one
     without :// have an empty host and path; their text is searched all the same. Rows come back one
@@ -110,7 +115,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = (), strict: Sequence[st
     Returns page_id, host, path, rule (null without), verdict, strict_terms, soft_terms.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    rows = rows.mapInArrow(_counts(strict, soft), "page_id long, url string, strict_terms array<string>, soft_terms array<string>")
+    rows = rows.mapInArrow(_counts(vocabulary or as_listed(strict, soft)), "page_id long, url string, strict_terms array<string>, soft_terms array<string>")
     rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "strict_terms", "soft_terms")
     rows = rows.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules)) if len(rules) <= INLINE_RULES else _joined_rules(materialise(rows)[0], rules)
     bad = (F.size("strict_terms") > 0) | (F.size("soft_terms") >= soft_hits)

@@ -12,6 +12,7 @@ import pytest
 
 from evidentia.llm import language_id as L
 from evidentia.llm import url_filter as U
+from evidentia.llm import url_vocabulary as V
 from pyspark.sql import functions as F
 
 from . import helpers as H
@@ -144,3 +145,67 @@ def test_odd_pages(spark):
     rows = [(1, "http://x.com/", 5), (1, "http://x.com/", 6), (None, "http://y.com/", 7), (None, None, None)]
     got = U.judge_urls(spark.createDataFrame(rows, "page_id long, url string, `rule.x` int")).collect()
     assert len(got) == 4 and {r.verdict for r in got} == {"allow"}
+
+
+VOCABULARY = {
+    "http://www.pornhub.com/": "block",  # a strict term and a link
+    "https://freecasino.com": "block",
+    "https://x.com/casinos": "block",
+    "https://c4s1no365.com/x": "block",  # digits for letters, and digits beside
+    "https://free-bets.example.com": "block",
+    "https://freebets.example.com": "block",
+    "https://winwin.com/wins": "allow",  # forms of one term are one hit
+    "https://web.de/billige-kredite": "block",
+    "https://x.es/préstamos/gratis": "block",
+    "http://essex.ac.uk/": "allow",
+    "https://therapist.org/free": "allow",
+    "https://casinox.com": "allow",  # the rest of the run is no piece
+    "https://freedom.org/winner": "allow",
+    "https://x.com/" + "casino" * 2000: "block",
+    "https://x.com/" + "a" * 20_000 + "casino": "allow",
+}
+
+
+def test_vocabulary(spark):
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(VOCABULARY)], "page_id long, url string")
+    got = H.by_id(U.judge_urls(df, vocabulary=V.standard()), "page_id")
+    for i, (url, want) in enumerate(VOCABULARY.items()):
+        assert got[i].verdict == want, url[:60]
+    assert got[6].soft_terms == ["win"]
+
+
+def test_vocabulary_against_all_divisions():
+    """Compounds against a search through all ways to divide a run."""
+    known = V.weighted([("free", "en", False), ("bet", "en", False), ("casino", "en", True)], links=("hub", "my", "e"))
+    pieces = [*known.forms, *known.links, *"0123456789"]
+    terms = known.automaton()
+
+    def divisions(run):
+        if not run:
+            yield []
+        for p in pieces:
+            if run.startswith(p):
+                yield from ([p, *rest] for rest in divisions(run[len(p) :]))
+
+    rng = np.random.default_rng(5)
+    words = ["free", "bet", "bets", "casino", "cas1no", "hub", "my", "e", "7", "x", "be", "fre"]
+    for _ in range(400):
+        runs = ["".join(rng.choice(words, rng.integers(1, 5))) for _ in range(rng.integers(1, 4))]
+        used = {known.forms[p] for run in runs for d in divisions(run) for p in d if p in known.forms}
+        want = sorted(t for t, strict in used if strict), sorted(t for t, strict in used if not strict)
+        assert U.hits("-".join(runs), terms, compounds=True) == want
+
+
+def test_vocabulary_of_a_table(spark, monkeypatch):
+    rows = [(" Bad ", "en", True), ("odd", None, None), (None, "en", True), ("", "en", True), ("bad", "en", True)]
+    terms = spark.createDataFrame(rows, "term string, language string, strict boolean")
+    found = V.from_table(terms)
+    assert found.forms["bads"] == found.forms["b4d"] == ("bad", True) and found.forms["0dd"] == ("odd", False) and "odds" not in found.forms
+    assert V.from_table(terms.limit(0)).forms == {}
+    monkeypatch.setattr(V, "MOST_FORMS", 60)
+    with pytest.raises(ValueError):
+        V.from_table(terms)
+
+
+def test_a_listed_term_goes_before_a_derived_one():
+    assert V.weighted([("bet", "en", True), ("bets", "en", False)]).forms["bets"] == ("bets", False)
