@@ -22,22 +22,62 @@ def folded(value: Column) -> Column:
     return F.coalesce(F.lower(F.trim(value)), F.lit(""))
 
 
+#: Facts that must be stated and equal.
+FACT_KEYS = ("action", "lifecycle_step", "occurrence_context")
+
+
+def _clean_facts(records: DataFrame) -> DataFrame:
+    """Records whose FACT_KEYS are stated, with folded facts; blank anchors are empty."""
+    clean = records.select("candidate_id", "occurrence_date", *[folded(F.col(c)).alias(c) for c in (*FACT_KEYS, *ANCHORS)])
+    return clean.where(" and ".join(f"{k} <> ''" for k in FACT_KEYS))
+
+
+def fact_classes(records: DataFrame) -> DataFrame:
+    """Records by what they state: candidate_id, class_id and the folded facts; one row for each record and class.
+
+    Records of a class state the same keys, anchors and date, so they are what fact_pairs would pair with each other and
+    with the same others. class_id is a digest of the facts. Records without a key or without any anchor pair with
+    nothing and are left out; a record that is given with several facts is in a class for each; a null id is kept."""
+    facts = [*[F.col(c) for c in (*FACT_KEYS, *ANCHORS)], F.coalesce(F.col("occurrence_date").cast("string"), F.lit(""))]
+    told = F.concat(*[F.concat(F.length(f).cast("string"), F.lit(":"), f) for f in facts])
+    named = _clean_facts(records).where(" or ".join(f"{a} <> ''" for a in ANCHORS))
+    return named.select("candidate_id", F.sha2(told, 256).alias("class_id"), "occurrence_date", *FACT_KEYS, *ANCHORS).distinct()
+
+
+def fact_class_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (left_class, right_class) of different classes whose records tell of the same fact. Together with the
+    classes they say what fact_pairs says, in as many rows as there are different facts, however often each is told."""
+    told = classes.groupBy("class_id").agg(*[F.min(c).alias(c) for c in ("occurrence_date", *FACT_KEYS, *ANCHORS)])
+    return fact_pairs(told.withColumnRenamed("class_id", "candidate_id")).select(F.col("left_id").alias("left_class"), F.col("right_id").alias("right_class"))
+
+
+def fact_components(records: DataFrame) -> DataFrame:
+    """(node, root) as components() gives it for the pairs of fact_pairs, without listing them: records point at the
+    least member of their class, and of linked classes the least members are linked."""
+    classes, _ = written(fact_classes(records))
+    least, _ = written(classes.groupBy("class_id").agg(F.min("candidate_id").alias("least")))
+    inside = classes.join(least, "class_id").select(F.col("least").alias("left_id"), F.col("candidate_id").alias("right_id"))
+    across = fact_class_pairs(classes)
+    for side in ("left", "right"):
+        across = across.join(least.select(F.col("class_id").alias(f"{side}_class"), F.col("least").alias(f"{side}_id")), f"{side}_class")
+    return components(inside.unionByName(across.select("left_id", "right_id")))
+
+
 def fact_pairs(records: DataFrame, least_anchors: int = 1) -> DataFrame:
     """Pairs (left_id, right_id) of records that tell of the same fact.
 
     records: candidate_id, action, lifecycle_step, occurrence_context, occurrence_date and the ANCHORS.
     Action, step and context must be equal and stated; anchors and dates must not contradict each
     other, and at least one anchor must be stated alike. Records meet on the hash of the three keys
-    and one anchor, so blocks are as small as the facts allow.
+    and one anchor, so blocks are as small as the facts allow. Where many records state the same, take
+    fact_classes and fact_class_pairs.
     """
-    keys = ("action", "lifecycle_step", "occurrence_context")
-    clean = records.select("candidate_id", "occurrence_date", *[folded(F.col(c)).alias(c) for c in (*keys, *ANCHORS)])
-    clean = clean.where(" and ".join(f"{k} <> ''" for k in keys))
+    clean = _clean_facts(records)
     anchor = F.explode(F.filter(F.array(*[F.struct(F.lit(a).alias("name"), F.col(a).alias("value")) for a in ANCHORS]), lambda a: a["value"] != ""))
     blocked = clean.withColumn("anchor", anchor)
     left, right = (blocked.select(*[F.col(c).alias(f"{side}_{c}") for c in blocked.columns]) for side in ("left", "right"))
     same = F.lit(True)
-    for c in (*keys, "anchor"):
+    for c in (*FACT_KEYS, "anchor"):
         same &= F.col(f"left_{c}") == F.col(f"right_{c}")
     pairs = left.join(right, same & (F.col("left_candidate_id") < F.col("right_candidate_id")))
     for c in ANCHORS:

@@ -529,7 +529,25 @@ WITH RECURSIVE {_FACTS}, e AS (SELECT left_id AS a, right_id AS b FROM p UNION S
 walk AS (SELECT a AS node, a AS seen FROM e UNION SELECT node, b FROM walk JOIN e ON seen = a)
 SELECT node, min(seen) AS root FROM walk GROUP BY node""")
 def connected_components(spark, d):
-    return entities.components(fact_pairs(spark, d))
+    return entities.fact_components(_records(spark, d))
+
+
+_CLASSES = """
+k AS (SELECT DISTINCT *, list_transform([a, s, c, subject, coalesce(asset, ''), '', '', '', coalesce(day::VARCHAR, '')], lambda v: length(v) || ':' || v) AS told FROM r),
+classed AS (SELECT * EXCLUDE (told), sha256(list_aggregate(told, 'string_agg', '')) AS class_id FROM k)"""
+
+
+@query(f"WITH {_FACTS}, {_CLASSES} SELECT id AS candidate_id, class_id FROM classed")
+def fact_classes(spark, d):
+    return entities.fact_classes(_records(spark, d)).select("candidate_id", "class_id")
+
+
+@query(f"""
+WITH {_FACTS}, {_CLASSES}, f AS (SELECT DISTINCT * EXCLUDE (id) FROM classed)
+SELECT x.class_id AS left_class, y.class_id AS right_class FROM f x JOIN f y ON x.a = y.a AND x.s = y.s AND x.c = y.c AND x.subject = y.subject AND x.class_id < y.class_id
+WHERE (x.asset IS NULL OR y.asset IS NULL OR x.asset = y.asset) AND (x.day IS NULL OR y.day IS NULL OR x.day = y.day)""")
+def fact_class_pairs(spark, d):
+    return entities.fact_class_pairs(entities.fact_classes(_records(spark, d)))
 
 
 _GREEDY = """
