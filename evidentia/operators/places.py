@@ -41,12 +41,16 @@ def _character_runs(value: Column, n: int) -> Column:
     return F.when(F.length(value) >= n, F.transform(F.sequence(F.lit(1), F.length(value) - n + 1), lambda i: F.substring(value, i, F.lit(n))))
 
 
+def _sized(runs: Column, n: int) -> Column:
+    return F.transform(runs, lambda x: F.struct(F.lit(n).alias("__words"), x.alias("__shape")))
+
+
 def contained(rows: DataFrame, row_id: str, value: str, names: DataFrame) -> DataFrame:
     """row_id, kind, region_id from the names inside a longer value: AMBIGUOUS if they disagree.
 
     Ambiguous names don't count. Names in ASCII are whole words: a value shows its runs of as many words as
     names have. Other names may stand anywhere: a value shows its runs of as many characters. So values
-    and names meet by equality.
+    and names meet by equality, the runs of all lengths in one pass over the values.
     """
     clear = names.where((F.col("kind") != AMBIGUOUS) & (F.length("key") >= LEAST))
     ascii_ = F.regexp_like("key", F.lit(r"^[\x00-\x7F]*$"))
@@ -54,14 +58,14 @@ def contained(rows: DataFrame, row_id: str, value: str, names: DataFrame) -> Dat
     listed = clear.withColumn("__shape", F.when(ascii_, F.regexp_replace(spaced, r"\s+", " ")).otherwise(F.col("key"))).withColumn("__words", F.when(ascii_, F.size(F.split("__shape", " "))).otherwise(-F.length("key")))
     source = rows.select(row_id, lookup_key(F.col(value)).alias("__value"))
     tokens = F.split(F.trim(F.regexp_replace(F.regexp_replace("__value", r"(\W)", " $1 "), r"\s+", " ")), " ")
-    found = None
-    for (n,) in listed.select("__words").distinct().collect():  # lengths of names
-        runs = _word_runs(tokens, n) if n > 0 else _character_runs(F.col("__value"), -n)
-        shown = source.select(row_id, "__value", F.explode(F.array_distinct(runs)).alias("__shape"))
-        met = shown.join(listed.where(F.col("__words") == n).select("__shape", "key", "kind", "region_id"), "__shape").where("key <> __value").select(row_id, "kind", "region_id")
-        found = met if found is None else found.unionByName(met)
-    if found is None:
+    lengths = [n for (n,) in listed.select("__words").distinct().collect()]  # no more than the longest name has characters
+    # a value shorter than a length has no runs of it
+    runs = {n: _word_runs(tokens, n) if n > 0 else _character_runs(F.col("__value"), -n) for n in lengths}
+    shapes = F.array(*[_sized(r, n) for n, r in runs.items()])
+    if not lengths:
         return source.limit(0).select(row_id, F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("region_id"))
+    shown = source.select(row_id, "__value", F.explode(F.array_distinct(F.flatten(F.array_compact(shapes)))).alias("__run")).select(row_id, "__value", "__run.*")
+    found = shown.join(listed.select("__words", "__shape", "key", "kind", "region_id"), ["__words", "__shape"]).where("key <> __value").select(row_id, "kind", "region_id")
     one = F.count_distinct("region_id") == 1
     return found.groupBy(row_id).agg(F.when(one, F.min_by("kind", _rank(F.col("kind")))).otherwise(AMBIGUOUS).alias("kind"), F.when(one, F.min("region_id")).alias("region_id"))
 
