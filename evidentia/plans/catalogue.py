@@ -14,7 +14,7 @@ from ..operators import aggregates as agg
 from ..operators import identity as identity_operators
 from ..operators import constraints, dedup, entities, lookup, proposals, temporal
 from ..sources import html
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from ..streaming import weekly
 from . import delivery, details, discovery, identity, prose, report, review, sources, trials  # noqa: F401
 from ._register import ORACLES, QUERIES, duck, given, query  # noqa: F401
@@ -503,8 +503,9 @@ def clipped_text(spark, d):
 
 
 def _records(spark, d) -> DataFrame:
-    items = table(spark, d, "lineitem")
-    o = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    n = table(spark, d, "lineitem").count()
+    items = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_suppkey"), n, "l_orderkey")
+    o = dealt(table(spark, d, "orders").drop("o_totalprice"), n, "o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
     return o.select(
         (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("candidate_id"), F.col("o_orderpriority").alias("action"), F.col("o_orderstatus").alias("lifecycle_step"), F.date_format("o_orderdate", "yyyy-MM").alias("occurrence_context"),
         F.when(F.col("l_returnflag") != "N", _day(F.col("o_orderdate"))).alias("occurrence_date"), F.col("o_custkey").cast("string").alias("subject"),
@@ -521,7 +522,7 @@ p AS (SELECT DISTINCT x.id AS left_id, y.id AS right_id FROM r x JOIN r y ON x.a
 
 @query(f"WITH {_FACTS} SELECT left_id, right_id FROM p")
 def fact_pairs(spark, d):
-    return entities.fact_pairs(_records(spark, d))
+    return entities.fact_pairs(_records(spark, d), rows=table(spark, d, "lineitem").count())
 
 
 @query(f"""
@@ -529,7 +530,7 @@ WITH RECURSIVE {_FACTS}, e AS (SELECT left_id AS a, right_id AS b FROM p UNION S
 walk AS (SELECT a AS node, a AS seen FROM e UNION SELECT node, b FROM walk JOIN e ON seen = a)
 SELECT node, min(seen) AS root FROM walk GROUP BY node""")
 def connected_components(spark, d):
-    return entities.fact_components(_records(spark, d))
+    return entities.fact_components(_records(spark, d), table(spark, d, "lineitem").count())
 
 
 _CLASSES = """
@@ -539,7 +540,7 @@ classed AS (SELECT * EXCLUDE (told), sha256(list_aggregate(told, 'string_agg', '
 
 @query(f"WITH {_FACTS}, {_CLASSES} SELECT id AS candidate_id, class_id FROM classed")
 def fact_classes(spark, d):
-    return entities.fact_classes(_records(spark, d)).select("candidate_id", "class_id")
+    return entities.class_members(_records(spark, d), table(spark, d, "lineitem").count())
 
 
 @query(f"""
@@ -547,7 +548,7 @@ WITH {_FACTS}, {_CLASSES}, f AS (SELECT DISTINCT * EXCLUDE (id) FROM classed)
 SELECT x.class_id AS left_class, y.class_id AS right_class FROM f x JOIN f y ON x.a = y.a AND x.s = y.s AND x.c = y.c AND x.subject = y.subject AND x.class_id < y.class_id
 WHERE (x.asset IS NULL OR y.asset IS NULL OR x.asset = y.asset) AND (x.day IS NULL OR y.day IS NULL OR x.day = y.day)""")
 def fact_class_pairs(spark, d):
-    return entities.fact_class_pairs(entities.fact_classes(_records(spark, d)))
+    return entities.fact_class_pairs(entities.classed(_records(spark, d)), table(spark, d, "lineitem").count())
 
 
 _GREEDY = """

@@ -40,3 +40,13 @@ def written(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     measures = {"rows": F.count(F.lit(1)), **measures}
     df.observe(seen, *[c.alias(k) for k, c in measures.items()]).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+
+
+#: Rows of a task where a step is dealt by keys.
+PER_TASK = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
+    """df dealt by keys to a task for every PER_TASK of about so many rows: what a task holds doesn't grow with the tables.
+    Rows are counted on the table that df comes from, which Parquet tells without reading it. A task holds a whole key."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PER_TASK)), *keys)
