@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,11 +38,13 @@ def embedded_url(link: Column, own_domain: str) -> Column:
     return F.when(F.hex(raw).startswith(EMBEDDED) & ~said.startswith(SEALED) & outside, said)
 
 
-def resolved_links(links: DataFrame, recorded: DataFrame, aggregator: str, own_domain: str) -> DataFrame:
+def resolved_links(links: DataFrame, recorded: DataFrame, aggregator: str, own_domain: str, key: Sequence[str] = ("url",)) -> DataFrame:
     """links with publisher_url and method: DIRECT (no opaque link), EMBEDDED, RECORDED (the answer of an earlier
-    request) or UNRESOLVABLE. links: url; recorded: url, publisher_url (one row for each url)."""
+    request) or UNRESOLVABLE. links: url; recorded: url, publisher_url; key: the columns by which a link has its answer, where
+    several links have the same url. Of several answers for a key the least one counts, so that no link is repeated."""
     kept = list(links.columns)
-    found = links.join(recorded.select("url", F.col("publisher_url").alias("__known")), "url", "left")
+    known = recorded.groupBy(*key).agg(F.min("publisher_url").alias("__known"))
+    found = links.join(known, list(key), "left")
     opaque = link_id(F.col("url"), aggregator)
     inside = embedded_url(opaque, own_domain)
     method = F.when(opaque.isNull(), "DIRECT").when(inside.isNotNull(), "EMBEDDED").when(F.col("__known").isNotNull(), "RECORDED").otherwise("UNRESOLVABLE")
