@@ -48,8 +48,9 @@ def feed_documents(feeds: DataFrame) -> DataFrame:
 def feed_items(feeds: DataFrame) -> DataFrame:
     """Entries of sound feed documents: feed_id, ordinal (from 0), title, link, publisher, published, snippet (as they
     stand, empty where there is none) and publisher_url (trimmed)."""
-    entry = F.posexplode("items").alias("ordinal", "item")
-    rows = feed_documents(feeds).where("status = 'SUCCESS_WITH_RESULTS'").select("feed_id", entry)
+    # a filter on the status would take every document apart once more; one on the rows of the outer form doesn't
+    entry = F.posexplode_outer(F.when(F.col("status") == "SUCCESS_WITH_RESULTS", F.col("items"))).alias("ordinal", "item")
+    rows = feed_documents(feeds).select("feed_id", entry).where("ordinal is not null")
     text = lambda n: F.coalesce(F.get(F.col(f"item.{n}._VALUE"), F.lit(0)), F.lit(""))
     optional = lambda n: F.when(F.trim(text(n)) == "", "").otherwise(text(n))
     return rows.select(

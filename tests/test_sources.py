@@ -9,10 +9,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.functions import plain_json, sql
+from evidentia.functions import plain_json, quantities, sql
 from evidentia.operators import evidence_counts, outcomes
 from evidentia.operators.outcomes import RunAborted, Stage
-from evidentia.sources import feeds, journal, outputs
+from evidentia.sources import feeds, journal, links, outputs
 
 CALLS = "kind string, request string, response string, definitive boolean"
 
@@ -126,3 +126,21 @@ def test_outputs_appear_together_or_not(spark, tmp_path):
     for bad in ({}, {"manifest": good}, {"../x": good}):
         with pytest.raises(ValueError):
             outputs.publish(bad, folder, "r2")
+
+
+def test_links_of_equal_urls_keep_their_rows(spark):
+    """Two pages with one opaque url and several recorded answers: a row each, and with a key the answer of the page."""
+    url = "https://news.example.org/rss/articles/CBMxx?oc=5"
+    pages = spark.createDataFrame([(1, url), (2, url)], "page_id long, url string")
+    recorded = spark.createDataFrame([(2, url, "https://b.example/"), (2, url, "https://a.example/"), (4, url, "https://c.example/")], "page_id long, url string, publisher_url string")
+    told = lambda *key: sorted((r.page_id, r.publisher_url, r.method) for r in links.resolved_links(pages, recorded, "news.example.org", "example.net", *key).collect())
+    assert told() == [(1, "https://a.example/", "RECORDED"), (2, "https://a.example/", "RECORDED")]
+    assert told(("page_id", "url")) == [(1, None, "UNRESOLVABLE"), (2, "https://a.example/", "RECORDED")]
+
+
+def test_documents_are_taken_apart_once(spark):
+    """No filter of a plan repeats what takes a feed or a text apart."""
+    df = spark.createDataFrame([(1, "<rss><channel/></rss>")], "feed_id long, body string")
+    for found, step in ((feeds.feed_items(df), "from_xml("), (quantities.stated(df, "feed_id", F.col("body")), "regexp_replace(")):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert step in plan and not any(step in line for line in plan.splitlines() if line.strip(" :+-").startswith("Filter"))
