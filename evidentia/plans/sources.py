@@ -172,7 +172,8 @@ def payload_sizes(spark, d):
     record = F.struct(F.col("o_orderkey").alias("id"), said.alias("said"), F.col("o_orderdate").cast("date").alias("day"), (F.col("o_orderstatus") == "O").alias("open"), "items")
     rows = table(spark, d, "orders").join(items, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", record.alias("r"))
     kind = rows.schema["r"].dataType
-    return rows.select("o_orderkey", plain_json.payload_size(F.col("r"), kind).alias("size"), F.sha2(plain_json.plain(F.col("r"), kind), 256).alias("text_sha256"))
+    said = rows.select("o_orderkey", plain_json.plain(F.col("r"), kind).alias("t"))
+    return said.select("o_orderkey", F.length("t").cast("long").alias("size"), F.sha2("t", 256).alias("text_sha256"))
 
 
 @query("""
