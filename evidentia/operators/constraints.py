@@ -25,6 +25,15 @@ def without_parent(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.join(parent.select(key), key, "left_anti")
 
 
+def key_faults(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+    """key, fault and n (rows of the child): keys that stand in several rows are REPEATED, those that no parent has NO_PARENT.
+    Both sides are counted in one aggregation, so rows are neither sorted nor joined."""
+    sides = child.select(key, F.lit(1).alias("__child")).unionByName(parent.where(F.col(key).isNotNull()).select(key, F.lit(0).alias("__child")))
+    counts = sides.groupBy(key).agg(F.sum("__child").alias("n"), (F.min("__child") == 0).alias("__known")).where("n > 0")
+    faults = F.array_compact(F.array(F.when(F.col("n") > 1, "REPEATED"), F.when(~F.col("__known"), "NO_PARENT")))
+    return counts.select(key, F.explode(faults).alias("fault"), "n")
+
+
 def symmetric_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows (with their multiplicity) of one side that the other doesn't have, and which side."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))

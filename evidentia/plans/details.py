@@ -107,8 +107,7 @@ def key_faults(spark, d):
     """Keys that repeat, and those without a parent."""
     items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"))
     parents = table(spark, d, "orders").where("o_orderkey % 9 > 0").select(F.col("o_orderkey").alias("key"))
-    lost = constraints.without_parent(items, parents, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return constraints.duplicates(items, ["key"]).select("key", F.lit("REPEATED").alias("fault"), "n").unionByName(lost.select("key", F.lit("NO_PARENT").alias("fault"), "n"))
+    return constraints.key_faults(items, parents, "key")
 
 
 @query("""

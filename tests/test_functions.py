@@ -282,3 +282,11 @@ def test_facts_and_places(spark):
     assert values(spark, text.places_listed, ["1市與11區1, A1"]) == [["1市", "11區1", "A1"]]
     days = spark.createDataFrame([(dt.date(2024, 1, 1), dt.date(2024, 1, 7)), (dt.date(2024, 12, 30), dt.date(2025, 1, 5))], "a date, b date")
     assert [r.x for r in days.select(text.period_display(F.col("a"), F.col("b")).alias("x")).collect()] == ["2024/01/01 - 01/07", "2024/12/30 - 2025/01/05"]
+
+
+def test_key_faults(spark):
+    """Repeated keys, keys without a parent, both at once, null keys (which no parent has), and parents without a child; no join."""
+    child = spark.createDataFrame([(1,), (1,), (2,), (3,), (3,), (None,)], "key long")
+    found = constraints.key_faults(child, spark.createDataFrame([(1,), (2,), (2,), (9,), (None,)], "key long"), "key")
+    assert sorted((r.key or 0, r.fault, r.n) for r in found.collect()) == [(0, "NO_PARENT", 1), (1, "REPEATED", 2), (3, "NO_PARENT", 2), (3, "REPEATED", 2)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
