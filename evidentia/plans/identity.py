@@ -79,7 +79,7 @@ SELECT response_id, group_no, candidate_id FROM p WHERE response_id NOT IN (SELE
 def valid_proposals(spark, d):
     """Responses that name an unknown record are void; members that repeat or cite nothing drop out alone."""
     rows = given(spark, d, _PROPOSED).withColumn("cited", F.when(F.col("cites") > 0, F.array(F.lit("S1"))).otherwise(F.array().cast("array<string>")))
-    return entities.valid_proposals(rows, table(spark, d, "part").where("p_size < 45").select(F.col("p_partkey").alias("candidate_id")))
+    return entities.valid_proposals(rows, table(spark, d, "part").where("p_size < 45").select(F.col("p_partkey").alias("candidate_id")), table(spark, d, "lineitem").count())
 
 
 @query(f"""
