@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import dealt
 from .proposals import LOW_VALUE, first_violation
 
 # Systems in their order, and assessments that a field may rest on.
@@ -86,15 +87,33 @@ def boundaries(rows: DataFrame, members: DataFrame) -> DataFrame:
     )).drop("n", "member", "member_url")
 
 
-def structure(assessed: DataFrame, units: DataFrame, known: DataFrame) -> DataFrame:
+#: What may be wrong with an assessment, worst first.
+STRUCTURE = ("MISSING_UNIT", "EXTRA_UNIT", "REPEATED_UNIT", "CITATION")
+
+
+def structure(assessed: DataFrame, units: DataFrame, known: DataFrame, count: int | None = None) -> DataFrame:
     """event_id and violation of an assessment: it must have each unit of its event once, no others, and cite known
-    references only. assessed: event_id, unit_id, reference (or null); units: event_id, unit_id; known: event_id, reference."""
-    counts = assessed.groupBy("event_id", "unit_id").agg(F.count(F.lit(1)).alias("times"))
-    sides = units.select("event_id", "unit_id", F.lit(1).alias("there")).join(counts, ["event_id", "unit_id"], "full_outer")
-    shape = sides.groupBy("event_id").agg(F.max(F.col("times").isNull()).alias("missing"), F.max(F.col("there").isNull()).alias("extra"), F.max(F.coalesce(F.col("times") > 1, F.lit(False))).alias("twice"))
-    bad = assessed.where("reference is not null").join(known, ["event_id", "reference"], "left_anti").select("event_id").distinct().withColumn("unknown", F.lit(True))
-    met = shape.join(bad, "event_id", "left")
-    return met.select("event_id", first_violation(MISSING_UNIT=~F.col("missing"), EXTRA_UNIT=~F.col("extra"), REPEATED_UNIT=~F.col("twice"), CITATION=F.col("unknown").isNull()).alias("violation"))
+    references only. assessed: event_id, unit_id, reference (or null); units: event_id, unit_id; known: event_id, reference.
+    Units and known references may repeat; null ids equal nothing. count: rows of all sides, or more, if that is known.
+
+    All sides meet as one table, dealt before it is summed up, so a task neither sorts nor holds more rows as the tables
+    grow. An event's rows are dealt by unit and reference; by event only the place of their fault goes on.
+    """
+    side = lambda df, key, what: df.select("event_id", F.col(key).alias("id"), F.lit(what).cast("tinyint").alias("what"))
+    said, given, cites, knows = range(4)
+    rows = side(assessed, "unit_id", said).unionByName(side(units, "unit_id", given))
+    rows = rows.unionByName(side(assessed.where("reference is not null"), "reference", cites)).unionByName(side(known, "reference", knows))
+    count = rows.count() if count is None else count
+    unit, apart = F.col("what") < cites, F.col("event_id").isNull() | F.col("id").isNull()
+    ids = ("event_id", "id", unit.alias("is_unit"))
+    met = dealt(rows, count, "event_id", "id").groupBy(*ids).agg(F.count_if(F.col("what").isin(said, cites)).alias("said"), F.count_if(F.col("what").isin(given, knows)).alias("given"))
+    says, has = F.col("said") > 0, F.col("given") > 0
+    place = (
+        F.when(~F.col("is_unit"), F.when(says & (~has | apart), 4))
+        .when(has & (~says | apart), 1).when(says & (~has | apart), 2).when(F.col("said") > 1, 3).otherwise(len(STRUCTURE) + 1)
+    )
+    worst = dealt(met.select("event_id", place.alias("place")).where("place is not null"), count, "event_id").groupBy("event_id").agg(F.min("place").alias("place"))
+    return worst.select("event_id", F.get(F.array(*[F.lit(v) for v in STRUCTURE]), F.col("place") - 1).alias("violation"))
 
 
 def assessed_fields(rows: DataFrame) -> DataFrame:
