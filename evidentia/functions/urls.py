@@ -45,9 +45,10 @@ def identity_form(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    """Lower-case host without user, port and a leading www."""
-    bare = F.regexp_replace(F.lower(_part(url, 2)), r"^.*@|:\d*$", "")
-    return F.regexp_replace(bare, r"^www\.", "")
+    """Lower-case host without user, port and a leading www. Most have neither user nor port, so one is asked for first."""
+    authority = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    bare = F.when(F.contains(authority, F.lit("@")) | F.contains(authority, F.lit(":")), F.regexp_replace(authority, r"^.*@|:\d*$", "")).otherwise(authority)
+    return F.when(F.startswith(bare, F.lit("www.")), F.substr(bare, F.lit(5))).otherwise(bare)
 
 
 def resource_key(url: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,37 +16,47 @@ from .proposals import gate_order
 
 #: Distinct values that a task sums up before it passes its counts on.
 HELD = 50_000
+#: Bytes of rows that wait to be grouped at once.
+WAITING = 32 << 20
 #: Hosts that have rows of their own; the others are counted together.
 HOSTS = 31
 _PART = "dimension string, value string, n long, first long"
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of each column's values and where they were seen first, over all batches of a task."""
-    counts: Counter = Counter()
-    first: dict = {}
+def _grouped(rows: pa.Table, n: tuple[str, str], first: str) -> pa.Table:
+    """value, n and first of each value but null; n: the column to count or sum up, and which of both."""
+    found = rows.group_by("value", use_threads=False).aggregate([n, (first, "min")])
+    return pa.table({"value": found["value"], "n": found["_".join(n)], "first": found[f"{first}_min"]}).filter(pc.field("value").is_valid())
+
 
-    def rows() -> pa.RecordBatch:
-        keys = list(counts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64()), pa.array([first[k] for k in keys], pa.int64())],
-            names=[c.split()[0] for c in _PART.split(", ")],
-        )
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each column's values and where they were seen first, over all batches of a task. Batches wait until they
+    are worth grouping: a group for each value of each small batch takes longer than the rows."""
+    held: dict[str, pa.Table] = {}
+    waiting: list[pa.RecordBatch] = []
+
+    def take() -> None:
+        table = pa.Table.from_batches(waiting)
+        waiting.clear()
+        for name in table.schema.names:
+            if name != "__at":
+                found = _grouped(pa.table({"value": table[name], "p": table["__at"]}), ("p", "count"), "p")
+                held[name] = _grouped(pa.concat_tables([held[name], found]), ("n", "sum"), "first") if name in held else found
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for name, found in held.items():
+            yield from found.add_column(0, "dimension", pa.repeat(name, found.num_rows)).combine_chunks().to_batches()
+        held.clear()
 
     for batch in batches:
-        at = batch.column("__at")
-        for name, column in zip(batch.schema.names, batch.columns, strict=True):
-            if name == "__at":
-                continue
-            found = pa.table({"v": column, "p": at}).filter(pc.is_valid(column)).group_by("v").aggregate([("p", "count"), ("p", "min")])
-            for value, n, least in zip(*[found.column(c).to_pylist() for c in ("v", "p_count", "p_min")], strict=True):
-                counts[name, value] += n
-                first[name, value] = min(least, first.get((name, value), least))
-        if len(counts) > HELD:
-            yield rows()
-            counts, first = Counter(), {}
-    if counts:
-        yield rows()
+        waiting.append(batch)
+        if sum(b.nbytes for b in waiting) > WAITING:
+            take()
+            if sum(t.num_rows for t in held.values()) > HELD:
+                yield from rows()
+    if waiting:
+        take()
+    yield from rows()
 
 
 def counted(rows: DataFrame, position: Column, values: dict[str, Column], capped: tuple[str, ...] = (), cap: int = HOSTS) -> DataFrame:

@@ -1,6 +1,10 @@
 """What a step holds as its tables grow."""
 
-from evidentia.operators import review
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from evidentia.functions import urls
+from evidentia.operators import evidence_counts, review
 from evidentia.sources import tables
 
 
@@ -24,3 +28,30 @@ def test_structure_is_dealt_by_rows(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("REPARTITION_BY_NUM") == 2 and "20), REPARTITION_BY_NUM" in plan
     assert found.count() == 10
+
+
+def test_counts_of_batches_are_grouped_together(monkeypatch):
+    """Batches wait for each other, and however many wait or are held, sums and first places are the same."""
+    batches = [pa.RecordBatch.from_pydict({"__at": pa.array([10 - i, 20 + i], pa.int64()), "x": pa.array(["a", None]), "y": pa.array([f"v{i}", "a"])}) for i in range(6)]
+    want = {("x", "a"): (6, 5), ("y", "a"): (6, 20)} | {("y", f"v{i}"): (1, 10 - i) for i in range(6)}
+    grouped = list(evidence_counts._summed(iter(batches)))
+    assert sum(b.num_rows for b in grouped) == len(want)
+    for waiting, held in ((32 << 20, 50_000), (0, 50_000), (0, 0), (100, 3)):
+        monkeypatch.setattr(evidence_counts, "WAITING", waiting)
+        monkeypatch.setattr(evidence_counts, "HELD", held)
+        got = {}
+        for b in evidence_counts._summed(iter(batches)):
+            for dimension, value, n, first in zip(*b.to_pydict().values(), strict=True):
+                before = got.get((dimension, value), (0, first))
+                got[dimension, value] = (before[0] + n, min(before[1], first))
+        assert got == want
+    assert list(evidence_counts._summed(iter([]))) == []
+
+
+def test_host_as_by_its_patterns(spark):
+    """Users, ports and www go as the patterns say, in urls of any shape."""
+    said = [None, "", "x", "://a", "http://", "HTTPS://User@WWW.H.Example:80/a", "http://u@v@h:1:2?q", "http://h:/", "http://www.:80", "http://WWW.", "http://www.www.a", "http://a\nb@c:80\n/x", "http://h:80\n", "ftp+x.1-y://é.İ:9#f", "1http://a", "http://@", "http://:8", "http://u:p@www.h", "a http://b", "http://h:8x"]
+    df = spark.createDataFrame([(u,) for u in said], "u string")
+    bare = F.regexp_replace(F.lower(F.regexp_extract("u", r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?", 2)), r"^.*@|:\d*$", "")
+    rows = df.select("u", urls.host(F.col("u")).alias("got"), F.regexp_replace(bare, r"^www\.", "").alias("want")).collect()
+    assert [(r.u, r.got) for r in rows] == [(r.u, r.want) for r in rows]
