@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, ids, text, urls
 from ..operators import aggregates as agg
-from ..operators import identity as identity_operators
 from ..operators import constraints, dedup, entities, lookup, proposals, temporal
 from ..sources import html
-from ..sources.tables import dealt, table, written
+from ..sources.tables import dealt, table
 from ..streaming import weekly
 from . import delivery, details, discovery, identity, prose, report, review, sources, trials  # noqa: F401
 from ._register import ORACLES, QUERIES, duck, given, query  # noqa: F401
@@ -578,12 +577,11 @@ def complete_link_groups(spark, d):
     first = F.min(F.struct("l_partkey", "l_suppkey")).alias("x")
     items = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("candidate_id"), "l_orderkey").agg(first).select("candidate_id", F.concat_ws(":", "l_orderkey", "x.l_partkey").alias("source"), "x.l_suppkey")
     places = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.when(F.col("s_acctbal") > 5000, F.col("n_regionkey")).alias("region_id"))
-    facts, _ = written(fact_pairs(spark, d))  # read three times
-    proposed = items.where("candidate_id % 50 in (1, 3)").select(F.col("candidate_id").alias("left_id"), (F.col("candidate_id") + 1).alias("right_id")).join(items.select(F.col("candidate_id").alias("right_id")), "right_id", "left_semi").select("left_id", "right_id")
+    proposed = items.where("candidate_id % 50 in (1, 3)").select(F.col("candidate_id").alias("left_id"), (F.col("candidate_id") + 1).alias("right_id"))
     records = items.join(places, "l_suppkey").select("candidate_id", F.col("candidate_id").alias("order_key"), "source", F.col("region_id").alias("region"))
-    none = facts.limit(0)
-    distinct = identity_operators.region_conflicts(facts.unionByName(proposed).distinct(), records.select("candidate_id", F.col("region").alias("region_id")))
-    return entities.complete_link_groups(records, entities.relations(distinct, none, facts, proposed))
+    # regions are known of the records, so conflicts need no pairs; what names a pair first doesn't matter here
+    facts = entities.fact_pairs(_records(spark, d), rows=table(spark, d, "lineitem").count(), once=False)
+    return entities.complete_link_groups(records, facts.unionByName(proposed).withColumn("relation", F.lit("SAME_EVENT")))
 
 
 # ---- pages

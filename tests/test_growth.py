@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evidentia.functions import urls
-from evidentia.operators import evidence_counts, review
+from evidentia.operators import entities, evidence_counts, review
 from evidentia.sources import tables
 
 
@@ -55,3 +55,22 @@ def test_host_as_by_its_patterns(spark):
     bare = F.regexp_replace(F.lower(F.regexp_extract("u", r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?", 2)), r"^.*@|:\d*$", "")
     rows = df.select("u", urls.host(F.col("u")).alias("got"), F.regexp_replace(bare, r"^www\.", "").alias("want")).collect()
     assert [(r.u, r.got) for r in rows] == [(r.u, r.want) for r in rows]
+
+
+def test_small_components_share_tasks(spark):
+    """Components are placed one after the other in a few tasks of Arrow batches, not in a call of pandas for each; pairs
+    that repeat, are turned or name unknown records change nothing."""
+    n = 3_000
+    ids = spark.range(n * 3).withColumnRenamed("id", "candidate_id")
+    records = ids.select("candidate_id", F.col("candidate_id").alias("order_key"), F.when(F.col("candidate_id") % 9 == 1, "x").when(F.col("candidate_id") % 9 == 2, "y").alias("region"))
+    first = ids.where("candidate_id % 3 = 0").select(F.col("candidate_id").alias("left_id"))
+    pairs = [first.select("left_id", (F.col("left_id") + k).alias("right_id")) for k in (1, 2)]
+    pairs = [*pairs, first.select(F.col("left_id") + 2, F.col("left_id") + 1), pairs[0], first.select("left_id", F.lit(-1).cast("long")).limit(5)]
+    related = pairs[0]
+    for more in pairs[1:]:
+        related = related.union(more)
+    found = entities.complete_link_groups(records, related.withColumn("relation", F.lit("SAME_EVENT")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapCoGroupsInPandas" not in plan
+    got = {r.candidate_id: r.group_id for r in found.collect()}
+    assert got == {i: i if i % 9 == 2 else i - i % 3 for i in range(n * 3)}
