@@ -91,7 +91,7 @@ SELECT item, value FROM q WHERE NOT EXISTS (SELECT 1 FROM q e WHERE e.l_orderkey
   AND abs(e.value - q.value) <= q.place / 2 + 1e-9 * greatest(abs(e.value), 1.0))""")
 def numeric_grounding(spark, d):
     """Quantities of a line item that no line item of its order with the other parity states, within the rounding of the last digit."""
-    rows = given(spark, d, _PRICES)
-    found = quantities.stated(rows, "item", F.col("said")).withColumn("l_orderkey", F.floor(F.col("item") / 10))
-    own, other = (found.withColumn("side", F.concat_ws(":", "l_orderkey", parity)) for parity in (F.col("item") % 2, 1 - F.col("item") % 2))
+    found = quantities.stated_by_text(given(spark, d, _PRICES), "item", F.col("said")).select("item", "value", "unit", "place")
+    order, parity = F.expr("(item - pmod(item, 10)) div 10"), F.col("item") % 2
+    own, other = (found.withColumn("side", order * 4 + side) for side in (parity, 1 - parity))
     return quantities.without_evidence(quantities.checked(own), other, "side").select("item", "value")

@@ -3,8 +3,9 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from evidentia.functions import urls
+from evidentia.functions import quantities, urls
 from evidentia.operators import entities, evidence_counts, review
+from evidentia.plans import prose
 from evidentia.sources import tables
 
 
@@ -74,3 +75,16 @@ def test_small_components_share_tasks(spark):
     assert "MapInArrow" in plan and "FlatMapCoGroupsInPandas" not in plan
     got = {r.candidate_id: r.group_id for r in found.collect()}
     assert got == {i: i if i % 9 == 2 else i - i % 3 for i in range(n * 3)}
+
+
+def test_equal_texts_are_taken_apart_once(spark, monkeypatch):
+    """Quantities of texts that repeat come from one row for each text, for few and for many of them; no row of
+    numeric_grounding is taken apart by itself."""
+    rows = spark.createDataFrame([(1, "US$5 million and 3 km"), (2, "US$5 million and 3 km"), (2, "nothing"), (3, None), (None, "1,5 t"), (4, "US$5 million and 3 km"), (4, "")], "k long, said string")
+    want = sorted(map(str, quantities.stated(rows, "k", F.col("said")).collect()))
+    for few in (quantities.FEW, 0):
+        monkeypatch.setattr(quantities, "FEW", few)
+        assert sorted(map(str, quantities.stated_by_text(rows, "k", F.col("said")).collect())) == want
+    assert len(want) == 7
+    plan = prose.numeric_grounding(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "regexp" not in plan
