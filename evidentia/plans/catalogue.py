@@ -503,12 +503,13 @@ def clipped_text(spark, d):
 
 def _records(spark, d) -> DataFrame:
     n = table(spark, d, "lineitem").count()
-    items = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_suppkey"), n, "l_orderkey")
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") != "N").alias("dated"), F.when(F.col("l_quantity") < 25, F.col("l_suppkey")).alias("asset"))
+    items = dealt(items, n, "l_orderkey")
     o = dealt(table(spark, d, "orders").drop("o_totalprice"), n, "o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
     return o.select(
         (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("candidate_id"), F.col("o_orderpriority").alias("action"), F.col("o_orderstatus").alias("lifecycle_step"), F.date_format("o_orderdate", "yyyy-MM").alias("occurrence_context"),
-        F.when(F.col("l_returnflag") != "N", _day(F.col("o_orderdate"))).alias("occurrence_date"), F.col("o_custkey").cast("string").alias("subject"),
-        F.when(F.col("l_quantity") < 25, F.col("l_suppkey").cast("string")).alias("asset"), F.lit(None).cast("string").alias("project"), F.lit(None).cast("string").alias("package"), F.lit(None).cast("string").alias("location"),
+        F.when(F.col("dated"), _day(F.col("o_orderdate"))).alias("occurrence_date"), F.col("o_custkey").cast("string").alias("subject"),
+        F.col("asset").cast("string").alias("asset"), F.lit(None).cast("string").alias("project"), F.lit(None).cast("string").alias("package"), F.lit(None).cast("string").alias("location"),
     )
 
 

@@ -88,3 +88,39 @@ def test_equal_texts_are_taken_apart_once(spark, monkeypatch):
     assert len(want) == 7
     plan = prose.numeric_grounding(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "regexp" not in plan
+
+
+def _facts(spark, rows):
+    """Records of (id, subject, asset)."""
+    text = "cast(null as string)"
+    df = spark.createDataFrame(rows, "candidate_id long, subject string, asset string")
+    return df.selectExpr("*", "cast(null as date) occurrence_date", "'a' action", "'b' lifecycle_step", "'c' occurrence_context", *[f"{text} {c}" for c in ("project", "package", "location")])
+
+
+def test_components_are_settled_in_their_blocks(spark, monkeypatch):
+    """Where each record is in one block no round over edges is needed; records in several blocks take them."""
+    called = []
+    components = entities.components
+    monkeypatch.setattr(entities, "components", lambda edges: called.append(1) or components(edges))
+    one = [(1, "s", "x"), (2, "s", None), (3, "s", "y"), (4, "t", "x"), (5, "t", "y"), (5, "t", "x"), (6, "u", "x"), (7, "u", "x"), (7, "u", "x")]
+    found = entities.fact_components(_facts(spark, one))
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6)]
+    assert not called
+    several = [*one, (8, None, "x"), (9, None, "y"), (10, "v", None)]
+    found = entities.fact_components(_facts(spark, several))
+    assert sorted(map(tuple, found.collect())) == [*((k, 1) for k in range(1, 10))]
+    assert called
+
+
+def test_records_go_where_they_may_meet_first():
+    assert entities._meeting_places({0b1, 0b11}) == {0: [1, 3], 1: [], 2: [], 3: [], 4: []}
+    assert entities._meeting_places({0b1, 0b11, 0b10}) == {0: [1, 3], 1: [2, 3], 2: [], 3: [], 4: []}
+    assert entities._meeting_places({0b101, 0b110}) == {0: [5], 1: [6], 2: [5, 6], 3: [], 4: []}
+
+
+def test_links_of_blocks_are_handed_on_at_their_ends(monkeypatch):
+    rows = [(1, 3, 2), (1, 5, 4), (1, 4, 2), (2, 9, 8), (2, 8, 7), (3, 5, 1)]
+    batches = [pa.RecordBatch.from_pydict(dict(zip(("block", "id", "other"), map(list, zip(*rows[k : k + 2], strict=True)), strict=True))) for k in (0, 2, 4)]
+    monkeypatch.setattr(entities, "LINKED", 0)
+    found = [sorted(zip(*b.to_pydict().values(), strict=True)) for b in entities._block_roots(batches)]
+    assert found == [[(2, 2), (3, 2), (4, 2), (5, 2)], [(7, 7), (8, 7), (9, 7)], [(1, 1), (5, 1)]]
